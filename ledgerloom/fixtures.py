@@ -90,16 +90,26 @@ SELECT s.statement_id AS id, s.ledger_id, CASE WHEN s.ledger_id % 2 = 0 THEN 'ko
        CAST(a.running_balance - CASE WHEN a.debit_credit = 'credit' THEN a.amount ELSE -a.amount END AS DECIMAL(18,2)) AS opening_balance,
        CAST(b.running_balance + CASE WHEN substr(statement_month, 6, 2) = '06' THEN 1 ELSE 0 END AS DECIMAL(18,2)) AS closing_balance
 FROM stmt_raw s JOIN transactions a ON a.ledger_id = s.ledger_id AND a.row_seq = s.lo JOIN transactions b ON b.ledger_id = s.ledger_id AND b.row_seq = s.hi""",
+    "stmt_no": "SELECT statement_id, ledger_id, lo, hi, row_number() OVER (ORDER BY statement_id) AS n FROM stmt_raw",
+    "statement_rows": """
+SELECT statement_id AS doc_id, ledger_id, 0 AS table_no, CAST(0 AS BIGINT) AS row_no,
+       {array}('Date', 'Narration', CASE WHEN n % 7 = 0 THEN 'Deposit Amt' ELSE 'Withdrawal Amt' END, CASE WHEN n % 7 = 0 THEN 'Withdrawal Amt' ELSE 'Deposit Amt' END, 'Balance') AS cells
+FROM stmt_no
+UNION ALL
+SELECT s.statement_id, s.ledger_id, 0, CASE WHEN n % 3 = 0 THEN s.hi - t.row_seq + 1 ELSE t.row_seq - s.lo + 1 END,
+       {array}(CAST(t.txn_date AS STRING), t.raw_description,
+         CASE WHEN debit_credit = 'debit' THEN CAST(amount + CASE WHEN n % 11 = 0 AND t.row_seq = s.lo + 1 THEN 7 ELSE 0 END AS STRING) ELSE '' END,
+         CASE WHEN debit_credit = 'credit' THEN CAST(amount + CASE WHEN n % 11 = 0 AND t.row_seq = s.lo + 1 THEN 7 ELSE 0 END AS STRING) ELSE '' END,
+         CAST(running_balance + 10000000 AS STRING))
+FROM stmt_no s JOIN transactions t ON t.statement_id = s.statement_id""",
     "feedback_events": """
 SELECT event_id, CASE event_type WHEN 'view' THEN 'confirmed' WHEN 'click' THEN 'confirmed' WHEN 'signup' THEN 'refined' ELSE 'corrected' END AS feedback,
        CASE user_id % 5 WHEN 0 THEN 'llm' WHEN 1 THEN 'rag_prompted' WHEN 2 THEN 'rag_direct' WHEN 3 THEN 'rule' ELSE 'manual' END AS source,
        CASE user_id % 7 WHEN 0 THEN 'Food & Dining' WHEN 1 THEN 'Transport' WHEN 2 THEN 'Transfers' WHEN 3 THEN 'Health' WHEN 4 THEN 'Income' WHEN 5 THEN 'Investments' ELSE 'Entertainment' END AS category
 FROM {events}""",
     "categories": """
-SELECT 'c1' AS id, 'Food & Dining' AS name, CAST(NULL AS STRING) AS parent_id UNION ALL SELECT 'c2', 'Transport', NULL UNION ALL SELECT 'c3', 'Transfers', NULL
-UNION ALL SELECT 'c4', 'Income', NULL UNION ALL SELECT 'c5', 'Investments', NULL UNION ALL SELECT 'c6', 'Health', NULL UNION ALL SELECT 'c7', 'Entertainment', NULL
-UNION ALL SELECT 'c8', 'Self Transfers', NULL UNION ALL SELECT 's1', 'Restaurants', 'c1' UNION ALL SELECT 's2', 'Dining', 'c1'
-UNION ALL SELECT 's3', 'ATM Withdrawal', 'c3' UNION ALL SELECT 's4', 'Salary', 'c4' UNION ALL SELECT 's5', 'Refund', 'c4'""",
+SELECT 'c:' || category AS id, category AS name, CAST(NULL AS STRING) AS parent_id FROM annotations WHERE category <> 'Miscellaneous' GROUP BY category
+UNION ALL SELECT 's:' || category || ':' || subcategory, subcategory, 'c:' || category FROM annotations WHERE subcategory <> 'Opening Balance' AND category <> 'Miscellaneous' GROUP BY category, subcategory""",
     "predictions": """
 SELECT t.id AS transaction_id, t.ledger_id, CASE WHEN k % 3 = 0 THEN 'rag_prompted' ELSE 'llm' END AS stage,
        CASE WHEN k % 7 = 0 THEN 'Transfers' WHEN k % 7 = 1 THEN 'Health' WHEN k % 7 < 4 THEN 'Food & Dining' ELSE 'Transport' END AS category,

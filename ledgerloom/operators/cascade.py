@@ -23,13 +23,14 @@ def person_history_gate(matched: DataFrame, prior: DataFrame, th: Thresholds = T
 def annotate_cascade(txns: DataFrame, stages: list[tuple[str, DataFrame]]) -> DataFrame:
     """One label a transaction from the first stage that has one; rows of no stage stay out.
 
-    Each stage sees only what the ones before left, so costly stages read few rows.
+    Each stage sees only what the ones before left, so costly stages read few rows. The
+    labels of a stage are persisted, for every later stage asks for them.
     """
-    left, out = txns.select("id"), None
+    out = None
     for name, stage in stages:
-        label = stage.select(*LABEL).join(left, "id", "left_semi").withColumn("stage", F.lit(name))
+        left = txns.select("id") if out is None else txns.select("id").join(out.select("id"), "id", "left_anti")
+        label = stage.select(*LABEL).join(left, "id", "left_semi").withColumn("stage", F.lit(name)).persist()
         out = label if out is None else out.unionByName(label)
-        left = left.join(label.select("id"), "id", "left_anti")
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
@@ -95,36 +95,39 @@ def _words(patterns: list[str]) -> str:
     return r"(?U)(?<!\w)(?:" + "|".join(re.sub(r"([^\w\s])", r"\\\1", p) for p in patterns) + r")(?!\w)"
 
 
-def _label(category: str, sub: str | None, merchant: str | None, tags: list[str]) -> Column:
-    value = [F.lit(category), F.lit(sub).cast("string"), F.lit(merchant).cast("string"), F.array(*map(F.lit, tags)), F.lit(RULE_CONFIDENCE), F.lit("rule")]
-    return F.struct(*[v.alias(n) for v, n in zip(value, ("category", "subcategory", "merchant", "tags", "confidence", "source"), strict=True)])
-
-
-def rule_label(desc: Column, note: Column) -> Column:
-    """The label of the first rule that holds, null if none does; a null note is empty."""
+def rule_number(desc: Column, note: Column) -> Column:
+    """The place of the first rule that holds, null if none does; a null note is empty."""
     plain = F.lower(F.coalesce(desc, F.lit("")))
     both = F.concat(plain, F.lit(" "), F.lower(F.coalesce(note, F.lit(""))))
-    out = None
-    for base, override, *label in DISAMBIGUATION_RULES:
+    out, n = None, 0
+    for base, override, *_ in DISAMBIGUATION_RULES:
         test = both.rlike(_words(base)) & both.rlike(_words(override))
-        out = F.when(test, _label(*label)) if out is None else out.when(test, _label(*label))
-    for patterns, category, sub, merchant, tags, *fields in KEYWORD_RULES:
-        out = out.when((plain if fields else both).rlike(_words(patterns)), _label(category, sub, merchant, tags))
-    return out.cast(LABEL)
+        out, n = (F.when(test, n) if out is None else out.when(test, n)), n + 1
+    for patterns, _, _, _, _, *fields in KEYWORD_RULES:
+        out, n = out.when((plain if fields else both).rlike(_words(patterns)), n), n + 1
+    return out
+
+
+def rule_table(spark: SparkSession) -> DataFrame:
+    """What each rule says: rule, label."""
+    labels = [r[2:] for r in DISAMBIGUATION_RULES] + [r[1:5] for r in KEYWORD_RULES]
+    rows = [(n, (category, sub, merchant, tags, RULE_CONFIDENCE, "rule")) for n, (category, sub, merchant, tags) in enumerate(labels)]
+    return spark.createDataFrame(rows, f"rule int, label {LABEL}")
 
 
 def match_keyword_rules(txns: DataFrame) -> DataFrame:
     """``label`` of each transaction by keyword rules.
 
     Descriptions repeat but for their reference number, so each distinct (description
-    without reference, note) is matched once, behind one alternation of all patterns.
+    without reference, note) is matched once, behind one alternation of all patterns;
+    the number of the rule then finds its label.
     """
     slim = txns.withColumn("_desc", S.strip_upi_ref(F.col("raw_description")))
-    texts = slim.select("_desc", "note").distinct()
+    texts = slim.select(F.col("_desc").alias("_d"), F.col("note").alias("_n")).distinct()
     every = [p for r in KEYWORD_RULES for p in r[0]] + [p for r in DISAMBIGUATION_RULES for p in r[0]]
-    hay = F.lower(F.concat_ws(" ", "_desc", "note"))
-    labels = texts.where(hay.rlike(_words(every))).withColumn("label", rule_label(F.col("_desc"), F.col("note")))
-    labels = labels.withColumnRenamed("_desc", "_d").withColumnRenamed("note", "_n")
+    hay = F.lower(F.concat_ws(" ", "_d", "_n"))
+    found = texts.where(hay.rlike(_words(every))).withColumn("rule", rule_number(F.col("_d"), F.col("_n"))).persist()  # one row a distinct text
+    labels = found.join(F.broadcast(rule_table(txns.sparkSession)), "rule").drop("rule")
     return slim.join(labels, (F.col("_desc") == F.col("_d")) & F.col("note").eqNullSafe(F.col("_n")), "left").drop("_desc", "_d", "_n")
 
 

@@ -22,6 +22,8 @@ def knn(queries: DataFrame, donors: DataFrame, k: int = 5, causal: bool = False,
     query, and the best of these are ranked. Similarities are rounded to six places
     before ranking, ties go to the smaller id. Vectors of length zero have similarity 0.
     """
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both may come from one table
+    queries, donors = fresh(queries), fresh(donors)
     parts = lambda df, name: df.groupBy("ledger_id").agg(F.ceil(F.count("*") / block).alias(name))
     sizes = parts(queries, "nq").join(parts(donors, "nd"), "ledger_id")
     fields = ["id", "embedding", *(["day"] if causal else [])]

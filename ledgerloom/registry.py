@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = ("scalar_plans", "listing_plans", "insight_plans")
+PLANS = ("scalar_plans", "listing_plans", "insight_plans", "label_plans", "merge_plans", "statement_plans", "io_plans")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
