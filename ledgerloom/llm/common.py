@@ -90,5 +90,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         moved = small.join(pairs, ["u", "v"], "left_anti").isEmpty() and pairs.join(small, ["u", "v"], "left_anti").isEmpty()
         pairs = small
         if moved:
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            found = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return found.union(found.select("root", "root").distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
