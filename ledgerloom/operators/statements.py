@@ -44,7 +44,9 @@ def map_header(cells: Column) -> Column:
 
     found = F.aggregate(cells, start, claim)
     usable = found["date"].isNotNull() & found["description"].isNotNull() & (found["debit"].isNotNull() | found["credit"].isNotNull() | found["amount"].isNotNull())
-    return F.when(usable, found)
+    words = dict(ROLES)
+    holds = lambda role: F.exists(cells, lambda c: F.lower(c).rlike("|".join(words[role])))
+    return F.when(holds("date") & holds("description"), F.when(usable, found))  # most rows fail the first test
 
 
 def carry_header(rows: DataFrame) -> DataFrame:
