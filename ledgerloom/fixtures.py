@@ -6,6 +6,7 @@ and their oracles read the same rows.
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -122,10 +123,18 @@ FROM {embeddings} e""",
 SOURCES = ("orders", "events", "embeddings")
 
 
-#: Derived tables that stand for stored ones; they are persisted, so that what reads them twice derives them once.
+#: Derived tables that stand for stored ones; they are checkpointed, so that what reads them twice derives them once.
 STORED = ("transactions", "annotations")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, kept in the cluster's shared folder; one of this machine only where none is set."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(f"/tmp/checkpoints/local-{os.getpid()}")
+    return df.checkpoint()
+
+
 def spark_table(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
     """One derived table, built on the tables it names; what it does not need is never read."""
     made = {} if made is None else made
@@ -138,7 +147,7 @@ def spark_table(spark: SparkSession, sf_dir: str, name: str, made: dict[str, Dat
                 text = re.sub(rf"\b(FROM|JOIN)\s+{c}\b", rf"\1 {{{c}}}", text)
         made[name] = spark.sql(text, **used)
         if name in STORED:
-            made[name] = made[name].persist()
+            made[name] = checkpointed(made[name])
     return made[name]
 
 

@@ -12,8 +12,8 @@ from ledgerloom.thresholds import NON_SPEND
 class Ledger:
     """The derived tables of one data folder as attributes.
 
-    The tables that stand for stored ones are persisted, so that a query that reads
-    them in several places derives them once.
+    The tables that stand for stored ones are checkpointed, so that a query that reads
+    them in several places derives them once and its plan stays small.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -26,7 +26,7 @@ class Ledger:
     def rows(self) -> DataFrame:
         """Transactions with their labels."""
         if "rows" not in self._made:
-            self._made["rows"] = listing.labelled(self.transactions, self.annotations).persist()
+            self._made["rows"] = fixtures.checkpointed(listing.labelled(self.transactions, self.annotations))
         return self._made["rows"]
 
 
