@@ -54,6 +54,11 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def same_row(docs: DataFrame, keys: DataFrame):
+    """Whether a row of ``docs`` has the doc_id and the text of ``keys(doc_id, text_hash)``; null is a value here."""
+    return docs["doc_id"].eqNullSafe(keys["doc_id"]) & (F.xxhash64(docs["text"]) == keys["text_hash"])
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

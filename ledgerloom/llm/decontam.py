@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stage
+from .common import ascii_lower, same_row, stage
 
 WINDOW = 10
 #: Windows that are broadcast, at most; a larger benchmark is joined by shuffle.
@@ -57,25 +57,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     by the row. A benchmark of more than ``PAIRS`` windows skips the first test, one of
     more than ``BROADCAST`` windows is joined by shuffle. Null texts have no words. An
     empty benchmark hits nothing, empty tables give empty results, repeated rows are
-    returned each. Returns doc_id, n_words, n_hit, n_items, items, spans (half-open word
-    ranges), contaminated.
+    returned each. Returns doc_id, text_hash, n_words, n_hit, n_items, items, spans
+    (half-open word ranges), contaminated.
     """
     windows = stage(benchmark_windows(benchmark, window), "windows")
     lengths = windows.groupBy("len").count().collect()  # at most ``window`` rows
     total = sum(r["count"] for r in lengths)
     pairs = windows.select("ends").distinct().limit(PAIRS + 1).collect() if total <= PAIRS else None
     ends = [r["ends"] for r in pairs] if pairs else None
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", words_of(F.col("text")).alias("w"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
     found = F.array().cast("array<struct<at:int,len:int,hash:bigint,window:string>>")
     hashes = [r["hash"] for r in windows.select("hash").distinct().collect()] if ends else None
     for r in sorted(lengths, key=lambda r: r["len"]):
         found = F.concat(found, _hits(r["len"], ends, hashes))
-    seen = rows.select("_row", "doc_id", F.size("w").cast("long").alias("n_words"), F.explode_outer(found).alias("_f")).select("_row", "doc_id", "n_words", "_f.*")
+    seen = rows.select("_row", "doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.explode_outer(found).alias("_f")).select("_row", "doc_id", "text_hash", "n_words", "_f.*")
     known = windows.select(F.col("len").alias("l"), F.col("hash").alias("h"), F.col("window").alias("t"), "items")
     known = F.broadcast(known) if total <= BROADCAST else known
     joined = seen.join(known, (F.col("hash") == F.col("h")) & (F.col("len") == F.col("l")) & (F.col("window") == F.col("t")), "left")
     hit = F.col("items").isNotNull()
-    gathered = joined.groupBy("_row", "doc_id", "n_words").agg(
+    gathered = joined.groupBy("_row", "doc_id", "text_hash", "n_words").agg(
         F.collect_set(F.when(hit, F.struct("at", "len"))).alias("ranges"), F.flatten(F.collect_set("items")).alias("items")
     )
     # overlapping and touching ranges become spans
@@ -89,12 +89,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         )
 
     spans = F.aggregate(F.array_sort("ranges"), start, lambda s, r: widen(s, r))
-    out = gathered.select("doc_id", "n_words", F.array_sort(F.array_distinct("items")).alias("items"), spans.alias("spans"))
+    out = gathered.select("doc_id", "text_hash", "n_words", F.array_sort(F.array_distinct("items")).alias("items"), spans.alias("spans"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans").withColumn("contaminated", F.col("n_hit") > 0)
+    return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans").withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents in which no benchmark window occurs, all columns kept."""
-    marks = contamination(docs.select("doc_id", "text"), benchmark, window).where("contaminated").select("doc_id").distinct()
-    return docs.join(marks, docs["doc_id"].eqNullSafe(marks["doc_id"]), "left_anti")
+    """The documents in which no benchmark window occurs, all columns kept.
+
+    Rows of equal or null doc_id and different texts are judged each by its own text.
+    """
+    marks = contamination(docs.select("doc_id", "text"), benchmark, window).where("contaminated").select("doc_id", "text_hash").distinct()
+    return docs.join(marks, same_row(docs, marks), "left_anti")

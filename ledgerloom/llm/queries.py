@@ -28,7 +28,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.drop("score")
+    return scored.drop("score", "text_hash")
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

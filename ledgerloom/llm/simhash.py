@@ -86,14 +86,14 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``docs(doc_id, text)`` to doc_id and fp, the fingerprint as a signed long."""
+    """``docs(doc_id, text)`` to doc_id, text_hash and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, shingle) for t in utf8(batch.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found)], names=["doc_id", "text_hash", "fp"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, "doc_id long, text_hash long, fp long")
 
 
 def golay_keys(points: DataFrame) -> DataFrame:
@@ -156,6 +156,17 @@ def links(points: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     return edges
 
 
+def _grouped(docs: DataFrame, shingle: int) -> DataFrame:
+    """Every row's doc_id, text_hash, fp, root (the component's smallest fingerprint) and component_id."""
+    rows = stage(fingerprints(docs, shingle), "fingerprints")
+    points = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    roots = connected_components(links(points))
+    joined = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = stage(joined.join(least, "root").select("fp", "root", "component_id"), "labels")
+    return rows.join(labels, "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """Components of documents whose fingerprints differ in two or fewer bits.
 
@@ -166,10 +177,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     are returned each. An empty table gives an empty result. Returns doc_id,
     fingerprint (16 hex digits), component_id; other columns are ignored.
     """
-    rows = stage(fingerprints(docs, shingle), "fingerprints")
-    points = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    roots = connected_components(links(points))
-    joined = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = stage(joined.join(least, "root").select("fp", "component_id"), "labels")
-    return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(docs, shingle).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """One doc_id and text_hash for each component of :func:`near_duplicates`.
+
+    It is the smallest doc_id, null last, and of rows that share it the smallest hash
+    of the text; components of null ids alone have one each. An empty table gives none.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("_f")
+    return _grouped(docs, shingle).groupBy("root").agg(first).select("_f.doc_id", "_f.text_hash")
