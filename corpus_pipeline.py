@@ -11,15 +11,15 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the likelihood ratio keep."""
-    verdict = quality.quality(docs, common.table(spark, sf_dir, "labels")).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    """Documents that the base rules and the likelihood ratio keep, each judged by its own text."""
+    verdict = quality.quality(docs, common.table(spark, sf_dir, "labels")).where("kept").select("doc_id", "text_hash").distinct()
+    return docs.join(verdict, common.same_row(docs, verdict), "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest doc_id, a null id only where it stands alone."""
-    groups = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(groups, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates: the smallest doc_id, a null id only in groups without others."""
+    first = simhash.representatives(docs)
+    return docs.join(first, common.same_row(docs, first), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +28,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; repeats are equal rows."""
     sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    times = mixing.mix(sizes).where("times > 0").select(F.col("doc_id").alias("_id"), "times").distinct()
-    taken = docs.join(times, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*docs.columns)
+    # times depend on these three alone, so rows of equal or null ids get their own
+    times = mixing.mix(sizes).where("times > 0").select("doc_id", "source", (F.col("size") > 0).alias("worded"), "times").distinct()
+    worded = F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = docs["doc_id"].eqNullSafe(times["doc_id"]) & docs["source"].eqNullSafe(times["source"]) & (worded == times["worded"])
+    copies = F.array_repeat(F.struct(*[docs[c] for c in docs.columns]), times["times"].cast("int"))
+    return docs.join(times, same).select(F.explode(copies).alias("row")).select("row.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
