@@ -30,7 +30,9 @@ _CONTROL = re.compile(r"[\x1c-\x1f\x85\xa0]")
 _KNOWN = "\u0250"
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-MEMO = 600_000
+MEMO = 300_000
+#: Pieces between spaces that the encoder remembers in a generation, and pre-tokens of other shapes.
+PIECES, SHAPES = 500_000, 50_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -52,16 +54,24 @@ def odd(text: str) -> bool:
 
 
 class _Memo(dict):
-    """Remembers ``fn(key)``; starts anew when ``limit`` keys are held."""
+    """Remembers ``fn(key)`` in two generations of ``limit`` keys each.
+
+    A full generation becomes the old one, and what is asked for again comes back
+    from there, so that frequent keys stay.
+    """
 
     def __init__(self, fn, limit: int = MEMO):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.limit, self.old = fn, limit, {}
 
     def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.fn(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        self[key] = value = self.fn(key)
+        self[key] = value
         return value
 
 
@@ -79,14 +89,27 @@ class BytePairEncoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self._pre = _Memo(self._merge)
-        self._piece = _Memo(lambda p: self._split(p if p[:1] == "\n" else " " + p))
+        self._tokenize = self.tokenizer.model.tokenize
+        self._pre = _Memo(lambda pre: self._merge(as_letters(pre)), SHAPES)
+        self._piece = _Memo(self._after_space, PIECES)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.dtype.char, ids).tobytes()
 
-    def _merge(self, pre: str) -> bytes:
-        return self._bytes([t.id for t in self.tokenizer.model.tokenize(as_letters(pre))])
+    def _merge(self, letters: str) -> bytes:
+        return self._bytes([t.id for t in self._tokenize(letters)])
+
+    def _after_space(self, piece: str) -> bytes:
+        """Ids of a piece with the space before it; a line feed stands without one.
+
+        A word is remembered here alone, and marks attached to it cost no second merge.
+        """
+        word = piece.rstrip(_MARKS)
+        if not word.isalpha() or not (piece.isascii() or max(piece) < _KNOWN):
+            return self._split(piece if piece[:1] == "\n" else " " + piece)
+        if len(word) < len(piece):
+            return self._piece[word] + self._pre[piece[len(word) :]]
+        return self._merge(_LETTERS[32] + word if word.isascii() else as_letters(" " + word))
 
     def _split(self, piece: str) -> bytes:
         if not piece or max(piece) >= _KNOWN or _CONTROL.search(piece):
