@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import common, decontam, mixing, quality, simhash, token_output
+from ledgerloom.llm import common, decontam, mixing, near_copies, quality, token_output
 
 ORACLE_SQL = None
 
@@ -17,8 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest doc_id, a null id only in groups without others."""
-    first = simhash.representatives(docs)
+    """One document of each group of near copies (5-word Jaccard of 0.8 or more): the smallest doc_id, a null id only in groups without others."""
+    first = near_copies.representatives(docs)
     return docs.join(first, common.same_row(docs, first), "left_semi").dropDuplicates(["doc_id", "text"])
 
 

@@ -67,20 +67,26 @@ def nearby(words: np.ndarray) -> np.ndarray:
     return found
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
-    words = text.lower().split()  # both touch ASCII only
+def digests(words: list[bytes], shingle: int) -> Iterator[bytes]:
+    """The xxHash64 digests of all word shingles, repeats included, in pieces; fewer words are one shingle."""
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     n = max(1, len(words) - shingle + 1)
     stops = np.cumsum(lengths)
     starts = (stops - lengths)[:n].tolist()
     ends = (stops - 1)[min(shingle, len(words)) - 1 :].tolist()
-    digest, ones = xxhash.xxh64_digest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_digest
     for at in range(0, n, 1 << 14):
-        raw = b"".join([digest(joined[a:b], 42) for a, b in zip(starts[at : at + (1 << 14)], ends[at : at + (1 << 14)], strict=True)])
+        yield b"".join([digest(joined[a:b], 42) for a, b in zip(starts[at : at + (1 << 14)], ends[at : at + (1 << 14)], strict=True)])
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for raw in digests(text.lower().split(), shingle):  # both touch ASCII only
+        n += len(raw) // 8
         ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
