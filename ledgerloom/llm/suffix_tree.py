@@ -1,442 +1,458 @@
-"""Language-model scores from a probabilistic suffix tree (operator 9)."""
+"""Language-model scores from a probabilistic suffix tree over words (operator 9).
+
+The tree's symbols are words and an end. Its contexts are the last words of a text,
+none to ``DEPTH`` of them; the root is the smoothed unigram. A longer context is
+retained where the distribution of the next word diverges enough from that after its
+suffix, and is smoothed towards it. The longest retained suffix scores each token.
+
+Documents are cut into chunks, which are stored as packed arrays. For each depth, a
+chunk sends its different n-grams once, in sorted blocks, to the bucket of their
+context; the bucket sums the blocks of all chunks, tests the contexts, and answers
+each block in the order of its n-grams. Contexts that are hotter than a bucket are
+dealt by n-gram instead, and their sums are added by a grouping. So the tree lies
+spread over the buckets, as large as the corpus makes it, and nothing but the
+statistics of hot contexts (fewer than there are buckets) reaches the driver.
+"""
 
 from __future__ import annotations
 
+import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, stage, utf8
+from .tokens import Memo, once
 
-#: Longest context in bytes; with the byte that follows it makes a 56-bit number.
-DEPTH = 6
-#: A context must make up this share of the training bytes: at most ``DEPTH / RARE`` contexts exist.
-RARE = 2.0**-18
-#: Cells of the table that scores: states times symbols. The share above doubles until the tree fits.
-CELLS = 1 << 23
-#: A context is retained if its next-byte distribution diverges from its suffix's by so many nats a byte, and in all.
-DIVERGENCE, EVIDENCE = 0.005, 12.0
-#: Weight of the suffix's distribution in that of a context.
-PRIOR = 4.0
-#: Share of the word's own smoothed frequency in its probability; the tree has the rest.
-WORD_SHARE = 0.5
-#: Words that make up this share of the training tokens are broadcast, so at most its inverse; others are joined.
-FREQUENT = 2.0**-20
-END = 10
-GRAMS = 1 << 21
-#: Blocks into which windows are dealt by the last three bytes of their contexts.
-BUCKETS = 512
-
-
-def _stream(words: list[bytes]) -> bytes:
-    """A text as the model reads it: words with single spaces, then an end; line feeds stand before."""
-    return b"\n" * DEPTH + b" ".join(words) + b"\n"
-
-
-def held_out(doc_id) -> F.Column:
+#: Words of the longest context.
+DEPTH = 2
+#: A context occurs so often in training, and its next words diverge from those of its suffix by so many nats a word, and in all.
+LEAST, DIVERGENCE, EVIDENCE = 2, 0.005, 12.0
+#: Weight of the suffix's distribution for each different next word of a context.
+PRIOR = 2.0
+#: What is added to each word's count in the root.
+ROOT = 0.1
+#: The divergence test reads log probabilities of the suffix in units of 1 / STEPS nats.
+STEPS = 256
+#: Bytes of text in a chunk, but for its last document; tokens for which there is a bucket.
+CHUNK, TOKENS_A_BUCKET = 1 << 22, 1 << 20
+FEWEST_BITS, MOST_BITS = 6, 17
+
+_ONE, _HIGH30, _LOW30 = np.uint64(1), np.uint64(30), np.uint64((1 << 30) - 1)
+_HIGH40, _LOW40 = np.uint64(40), np.uint64((1 << 40) - 1)
+
+
+def _symbol(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+#: The end of a text and what stands before it; no word holds a line feed.
+END, START = _symbol(b"\n"), _symbol(b"\n\n")
+
+
+def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each (context, word)."""
+    x = context * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ (x >> np.uint64(32))) + word) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(32))
+
+
+def _starts() -> list[np.ndarray]:
+    """The context of a text's first word, by depth."""
+    one = np.array([START], np.uint64)
+    out = [one]
+    for _ in range(1, DEPTH):
+        out.append(pair(out[-1], one))
+    return out
+
+
+def held_out(doc_id: int | None) -> bool:
     """Whether a document is kept from training, by the crc32 of its doc_id (null: empty)."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
+
 
+_HEAD = struct.Struct("<3sQQ")
 
-def _grams(streams: list[bytes]) -> np.ndarray:
-    """All windows of DEPTH bytes and the byte after, inside each stream, as sorted numbers."""
-    text = np.frombuffer(b"".join(streams), np.uint8)
-    n = len(text) - DEPTH
-    key = np.zeros(n, np.uint64)
-    for k in range(DEPTH + 1):
-        key = (key << np.uint64(8)) | text[k : k + n]
-    lengths = np.fromiter(map(len, streams), np.int64, len(streams))
-    inside = np.ones(n, bool)
-    for stop in np.cumsum(lengths)[:-1]:  # windows that would cross into the next stream
-        inside[stop - DEPTH : stop] = False
-    return np.sort(key[inside])
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed planes of bytes."""
+    out = []
+    for x in arrays:
+        planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T)
+        body = zstandard.compress(planes.tobytes(), 1)
+        out += [_HEAD.pack(x.dtype.str.encode(), len(x), len(body)), body]
+    return b"".join(out)
 
-def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is not None:
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-    if not len(keys):
-        return keys, np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], (np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first))
 
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, n, size = _HEAD.unpack_from(data, at)
+        at += _HEAD.size
+        dtype = np.dtype(kind.decode())
+        planes = np.frombuffer(zstandard.decompress(data[at : at + size]) if n else b"", np.uint8).reshape(dtype.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype))
+        at += size
+    return out
 
-def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted windows as differences, with their counts, compressed."""
-    raw = np.concatenate((keys[:1], np.diff(keys))).astype("<u8").tobytes() + counts.astype("<u8").tobytes()
-    return zstandard.compress(np.frombuffer(raw, np.uint8).reshape(-1, 8).T.tobytes(), 3)
 
+def _deltas(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate((keys[:1], np.diff(keys)))
 
-def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zstandard.decompress(block), np.uint8)
-    both = np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel()
-    n = len(both) // 2
-    return np.cumsum(both[:n], dtype=np.uint64), both[n:].astype(np.int64)
 
+def _undeltas(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint64)
 
-def _bucket(keys: np.ndarray) -> np.ndarray:
-    tail = (keys >> np.uint64(8)) & np.uint64(0xFFFFFF)
-    return ((tail * np.uint64(0x9E3779B1)) >> np.uint64(12)) % np.uint64(BUCKETS)
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """Counts in the smallest unsigned type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
-def corpus_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts over the training documents: (word, n) of all words, and packed windows.
 
-    A null word stands for the end of a document. Windows leave a task as sorted,
-    compressed blocks, one for each bucket: (bucket, block, n), where n sums the
-    block's counts.
-    """
+@dataclass
+class Chunk:
+    """Some documents: ids, which train, numbers of tokens, different words and the tokens as places in these."""
+
+    ids: list
+    train: np.ndarray
+    lengths: np.ndarray
+    vocabulary: np.ndarray
+    tokens: np.ndarray
+
+    @staticmethod
+    def of(ids: list, texts: list[bytes]) -> Chunk:
+        symbol = once("suffix-tree-words", lambda: Memo(_symbol))
+        found, lengths = [], []
+        for text in texts:
+            words = text.lower().split()
+            found += map(symbol.__getitem__, words)
+            found.append(END)
+            lengths.append(len(words) + 1)
+        vocabulary, tokens = np.unique(np.array(found, np.uint64), return_inverse=True)
+        return Chunk(ids, np.array([not held_out(i) for i in ids], bool), np.array(lengths, np.int64), vocabulary, tokens)
+
+    def packed(self) -> bytes:
+        nulls = np.array([i is None for i in self.ids], bool)
+        ids = np.array([i or 0 for i in self.ids], np.int64)
+        return pack(ids, nulls, self.train, self.lengths, _deltas(self.vocabulary), self.tokens.astype(np.uint32))
+
+    @staticmethod
+    def unpacked(data: bytes) -> Chunk:
+        ids, nulls, train, lengths, steps, tokens = unpack(data)
+        return Chunk([None if z else i for i, z in zip(ids.tolist(), nulls.tolist(), strict=True)], train, lengths, _undeltas(steps), tokens.astype(np.int64))
+
+
+@dataclass
+class Model:
+    """Sums of the whole corpus: training tokens and documents, different words, and hot contexts by depth."""
+
+    tokens: int
+    docs: int
+    bits: int
+    words: int = 0
+    hot: dict[int, tuple] = field(default_factory=dict)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ends, streams, size, parts, held = Counter(), 0, [], 0, [], 0
-
-        def rows(w, n, k, blocks):
-            return pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(n, pa.int64()), pa.array(k, pa.int32()), pa.array(blocks, pa.binary())], names=["word", "n", "bucket", "block"])
-
-        def grams():
-            nonlocal size, held
-            if streams:
-                parts.append(_summed(_grams(streams)))
-                held += len(parts[-1][0])
-                streams.clear()
-                size = 0
-
-        def merge():
-            nonlocal held
-            if len(parts) > 1:
-                parts[:] = [_summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
-            held = 0  # only what comes after the merge counts towards the next
-
-        def flush(last: bool):
-            nonlocal ends
-            if last or len(words) > GRAMS // 4:
-                yield rows(list(words), list(words.values()), [None] * len(words), [None] * len(words))
-                words.clear()
-            if last or held > 2 * GRAMS:
-                merge()
-            if parts and (last or len(parts[0][0]) > 4 * GRAMS):
-                keys, n = parts.pop()
-                bucket = _bucket(keys)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-                found = [(k, order[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-                for at in range(0, len(found), 64):
-                    some = found[at : at + 64]
-                    yield rows([None] * len(some), [int(n[i].sum()) for _, i in some], [k for k, _ in some], [_pack(keys[i], n[i]) for _, i in some])
-            if last and ends:
-                yield rows([None], [ends], [None], [None])
+    @property
+    def hot_at(self) -> float:
+        """A context that occurs so often is more than a bucket's share."""
+        return max(LEAST, self.tokens / (1 << self.bits))
+
+    @property
+    def floor(self) -> float:
+        return self.tokens + ROOT * (self.words + 1)
+
+
+@dataclass
+class Slots:
+    """The different n-grams of a chunk at one depth, by (bucket, hot, key), and the places where they occur."""
+
+    places: np.ndarray
+    slot: np.ndarray
+    bucket: np.ndarray
+    hot: np.ndarray
+    key: np.ndarray
+    counts: np.ndarray
+    nats: np.ndarray
+
+    def cuts(self, bits: int) -> np.ndarray:
+        return np.searchsorted(self.bucket, np.arange((1 << bits) + 1))
+
+    def blocks(self, bits: int) -> Iterator[tuple[int, bytes]]:
+        cuts = self.cuts(bits)
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[b], cuts[b + 1])
+            hot, key = self.hot[own], self.key[own]
+            yield b, pack(_deltas(key[~hot]), _deltas(key[hot]), _small(self.counts[own]), self.nats[own])
+
+
+def _slots(depth: int, gram: np.ndarray, context: np.ndarray, hot: np.ndarray, places: np.ndarray, train: np.ndarray, lower: np.ndarray, bits: int) -> Slots:
+    _, first, slot = np.unique(gram[places], return_index=True, return_inverse=True)
+    at = places[first]
+    g, c, h = gram[at], context[at], hot[at]
+    mask = np.uint64((1 << bits) - 1)
+    if depth:
+        bucket = np.where(h, g & mask, (c >> np.uint64(4)) & mask)
+        key = np.where(h, (c >> _HIGH40) << _HIGH40 | (g >> np.uint64(24)) & _LOW40, (c >> _HIGH30) << _HIGH30 | g & _LOW30)
+    else:
+        bucket, key = g >> np.uint64(64 - bits), g
+    order = np.lexsort((key, h, bucket))
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    slot = back[slot]
+    counts = np.bincount(slot[train[places]], minlength=len(order))
+    nats = np.minimum(np.rint(-np.log(lower[at][order]) * STEPS), 65535).astype(np.uint16)
+    return Slots(places, slot, bucket[order].astype(np.int64), h[order], key[order], counts, nats)
+
+
+@dataclass
+class Scores:
+    """Where the answers so far lead: what to ask next, or the tokens' probabilities."""
+
+    ask: Slots | None
+    root: np.ndarray | None = None
+    known: np.ndarray | None = None
+    tree: np.ndarray | None = None
+
+
+def climb(chunk: Chunk, answers: list[list[np.ndarray]], model: Model) -> Scores:
+    """Take a chunk up the tree as far as there are answers, one list of arrays for each depth."""
+    words = chunk.vocabulary[chunk.tokens]
+    n = len(words)
+    first = np.zeros(n, bool)
+    first[np.cumsum(chunk.lengths) - chunk.lengths] = True
+    train = np.repeat(chunk.train, chunk.lengths)
+    every, never = np.arange(n), np.zeros(n, bool)
+    slots = _slots(0, words, words, never, every, train, np.ones(n), model.bits)
+    if not answers:
+        return Scores(slots)
+    seen = answers[0][0][slots.slot]
+    root = (seen + ROOT) / model.floor
+    known, tree, gram = seen > 0, root, words
+    for depth in range(1, DEPTH + 1):
+        context, before = np.roll(gram, 1), np.roll(seen, 1)
+        context[first], before[first] = _STARTS[depth - 1][0], model.docs
+        gram = pair(context, words)
+        slots = _slots(depth, gram, context, before >= model.hot_at, np.flatnonzero(before >= LEAST), train, tree, model.bits)
+        if len(answers) == depth:
+            return Scores(slots)
+        count, total, kinds = answers[depth]
+        of = np.zeros((2, len(slots.key)), np.int64)  # occurrences and different next words of each slot's context, if it is retained
+        plain = np.flatnonzero(~slots.hot)
+        if len(plain):
+            name, bucket = slots.key[plain] >> _HIGH30, slots.bucket[plain]
+            run = np.cumsum(np.concatenate(([0], (name[1:] != name[:-1]) | (bucket[1:] != bucket[:-1]))))
+            of[:, plain] = np.stack((total, kinds))[:, run]
+        if slots.hot.any():
+            names, *sums = model.hot[depth]
+            of[:, slots.hot] = np.stack(sums)[:, np.searchsorted(names, (slots.key[slots.hot] >> _HIGH40).astype(np.int64))]
+        own, weight = of[:, slots.slot], PRIOR * of[1, slots.slot]
+        lower = tree[slots.places]
+        tree = tree.copy()
+        tree[slots.places] = np.where(own[0] > 0, (count[slots.slot] + weight * lower) / np.maximum(own[0] + weight, 1), lower)
+        seen = np.zeros(n, np.int64)
+        seen[slots.places] = count[slots.slot]
+    return Scores(None, root, known, tree)
+
+
+_STARTS = _starts()
+
+
+def retained(n: np.ndarray, nats: np.ndarray) -> np.ndarray:
+    """Whether contexts that occur ``n`` times and diverge from their suffixes by ``nats`` in all are kept."""
+    return (n >= LEAST) & (nats >= EVIDENCE) & (nats >= DIVERGENCE * n)
+
+
+def _sums(name: np.ndarray, counts: np.ndarray, nats: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each context, in sorted order: name, occurrences, different next words, sum of c * ln(c / lower)."""
+    if not len(name):
+        return name, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    starts = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+    own = counts * (np.log(np.maximum(counts, 1)) + nats / STEPS)
+    return name[starts], np.add.reduceat(counts, starts), np.add.reduceat((counts > 0).astype(np.int64), starts), np.add.reduceat(own, starts)
+
+
+_REPLY = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("body", pa.binary()), ("hot", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()), ("nats", pa.float64())])
+_REPLY_DDL = "chunk long, bucket int, body binary, hot long, n long, kinds long, nats double"
+
+
+def _answers(depth: int, bucket: int, chunks: list[int], blocks: list[bytes]) -> Iterator[dict]:
+    """Sum the blocks of a bucket and answer each; rows of a null chunk hold the bucket's part of global sums."""
+    parts = [unpack(b) for b in blocks]
+    plain = [_undeltas(p[0]) for p in parts]
+    hot = [_undeltas(p[1]) for p in parts]
+    ends = [len(p) for p in plain]
+
+    def totals(keys, pick):
+        each, where = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([pick(p[2], e) for p, e in zip(parts, ends, strict=True)]), len(each)).astype(np.int64)
+        nats = np.zeros(len(each), np.uint16)
+        nats[where] = np.concatenate([pick(p[3], e) for p, e in zip(parts, ends, strict=True)])
+        return each, counts, nats, np.split(where, np.cumsum([len(k) for k in keys])[:-1])
+
+    each, counts, nats, where = totals(plain, lambda x, e: x[:e])
+    hot_each, hot_counts, hot_nats, hot_where = totals(hot, lambda x, e: x[e:])
+    if depth:
+        name = each >> _HIGH30
+        _, n, kinds, nats = _sums(name, counts, nats)
+        keep = retained(n, nats - n * np.log(np.maximum(n, 1)))
+        n, kinds = np.where(keep, n, 0), np.where(keep, kinds, 0)
+        run = np.cumsum(np.concatenate(([0], name[1:] != name[:-1]))) if len(name) else np.zeros(0, np.int64)
+        for x in zip(*(a.tolist() for a in _sums(hot_each >> _HIGH40, hot_counts, hot_nats)), strict=True):
+            yield dict(zip(("bucket", "hot", "n", "kinds", "nats"), (bucket, *x), strict=True))
+    else:
+        yield {"bucket": bucket, "n": int(counts.sum()), "kinds": int((counts > 0).sum())}
+    for chunk, at, hot_at in zip(chunks, where, hot_where, strict=True):
+        found = np.concatenate((counts[at], hot_counts[hot_at]))
+        if depth:
+            of = run[at]
+            of = of[np.concatenate(([True], of[1:] != of[:-1]))] if len(of) else of
+            body = pack(_small(found), _small(n[of]), _small(kinds[of]))
+        else:
+            body = pack(_small(found))
+        yield {"chunk": chunk, "bucket": bucket, "body": body}
+
+
+def chunks_of(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` in chunks: chunk, body, and the training tokens, training documents and tokens of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        ids, texts, size = [], [], 0
+
+        def made():
+            nonlocal number, ids, texts, size
+            chunk = Chunk.of(ids, texts)
+            row = (number, chunk.packed(), int(chunk.lengths[chunk.train].sum()), int(chunk.train.sum()), len(chunk.tokens))
+            number, ids, texts, size = number + 1, [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["chunk", "body", "train", "docs", "tokens"])
 
         for batch in batches:
-            for text in utf8(batch.column("text")):
-                own = text.lower().split()
-                words.update(own)
-                ends += 1
-                streams.append(_stream(own))
-                size += len(streams[-1])
-                if size > GRAMS:
-                    grams()
-                    yield from flush(False)
-        grams()
-        yield from flush(True)
-
-    train = docs.where(~held_out(F.col("doc_id"))).select("text")
-    both = stage(map_batches(train, count, "word binary, n long, bucket int, block binary"), "partial")
-    words = both.where("bucket is null").groupBy("word").agg(F.sum("n").alias("n"))
-    return stage(words, "words"), both.where("bucket is not null").select("bucket", "block", "n")
-
-
-def frequent_contexts(blocks: DataFrame, least: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By depth: (context and next byte) and counts, of contexts seen ``least`` times or more.
-
-    Contexts that end in the same three bytes meet in one bucket, where all longer
-    ones are summed and the rare ones are left out. Shorter ones are summed over the
-    buckets. What reaches the driver is bounded: ``1 / RARE`` contexts a depth, and the
-    windows of three bytes.
-    """
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text)
+                if size >= CHUNK:
+                    yield made()
+        if ids:
+            yield made()
+
+    return stage(map_batches(docs.select("doc_id", "text"), run, "chunk long, body binary, train long, docs long, tokens long"), "chunks")
+
+
+def _meet(chunks: DataFrame, replies: list[DataFrame]) -> DataFrame:
+    """Each chunk's row, followed by the answers to it by depth and bucket."""
+    rows = chunks.select("chunk", F.lit(-1).alias("depth"), F.lit(0).alias("bucket"), "body")
+    for depth, reply in enumerate(replies):
+        rows = rows.union(reply.where("chunk is not null").select("chunk", F.lit(depth), "bucket", "body"))
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "depth", "bucket") if replies else rows
+
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, held = None, [], 0
+def _met(batches: Iterator[pa.RecordBatch], depths: int) -> Iterator[tuple[int, Chunk, list[list[np.ndarray]]]]:
+    """Chunks with the arrays of their answers, one at a time."""
+    held, body, found = None, None, None
 
-        def rows(depth, keys, n):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), depth, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)], names=["depth", "gram", "n"])
+    def made():
+        joined = [[np.concatenate(x).astype(np.int64) for x in zip(*own, strict=True)] for own in found]
+        return held, Chunk.unpacked(body), joined
 
-        def close():
-            keys, n = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            for depth in range(DEPTH, 2, -1):
-                if depth < DEPTH:
-                    keys, n = _summed(keys & np.uint64((1 << 8 * (depth + 1)) - 1), n)
-                context = keys >> np.uint64(8)
-                first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-                often = np.repeat(np.add.reduceat(n, first) >= least, np.diff(np.append(first, len(keys))))
-                if often.any():
-                    yield rows(depth, keys[often], n[often])
-            yield rows(2, *_summed(keys & np.uint64(0xFFFFFF), n))
+    for batch in batches:
+        for chunk, depth, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "depth", "body")), strict=True):
+            if depth < 0:
+                if held is not None:
+                    yield made()
+                held, body, found = chunk, data, [[] for _ in range(depths)]
+            else:
+                found[depth].append(unpack(data))
+    if held is not None:
+        yield made()
+
+
+def _exchange(chunks: DataFrame, replies: list[DataFrame], model: Model) -> DataFrame:
+    """Ask for the n-grams of the next depth; the answers, stored."""
+    depth = len(replies)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, chunk, answers in _met(batches, depth):
+            sent = list(climb(chunk, answers, model).ask.blocks(model.bits))
+            for at in range(0, len(sent), 64):
+                some = sent[at : at + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.array([number] * len(some), pa.int64()), pa.array([x for _, x in some], pa.binary())], names=["bucket", "chunk", "block"])
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, blocks = None, [], []
+
+        def rows():
+            return pa.RecordBatch.from_pylist(list(_answers(depth, at, own, blocks)), schema=_REPLY)
 
         for batch in batches:
-            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                if bucket != at and parts:
-                    yield from close()
-                    parts, held = [], 0
+            for bucket, chunk, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "block")), strict=True):
+                if bucket != at and own:
+                    yield rows()
+                    own, blocks = [], []
                 at = bucket
-                parts.append(_unpack(block))
-                held += len(parts[-1][0])
-                if held > 2 * GRAMS:
-                    parts = [_summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
-                    held = 0
-        if parts:
-            yield from close()
-
-    found = map_batches(blocks.select("bucket", "block").repartition("bucket").sortWithinPartitions("bucket"), reduce, "depth int, gram long, n long")
-    sums = found.groupBy("depth", "gram").agg(F.sum("n").alias("n")).toArrow()
-    depths, keys, n = (sums.column(c).to_numpy() for c in ("depth", "gram", "n"))
-    out = {d: (keys[depths == d], n[depths == d]) for d in range(2, DEPTH + 1)}
-    level = _summed(*out[2])
-    for depth in (2, 1, 0):
-        level = _summed(level[0] & ((1 << 8 * (depth + 1)) - 1), level[1]) if len(level[0]) else level
-        context = level[0] >> 8
-        _, inverse = np.unique(context, return_inverse=True)
-        often = np.bincount(inverse, level[1])[inverse] >= least if len(context) else np.zeros(0, bool)
-        out[depth] = (level[0], level[1]) if depth == 0 else (level[0][often], level[1][often])
-    return out
+                own.append(chunk)
+                blocks.append(block)
+        if own:
+            yield rows()
 
+    sent = map_batches(_meet(chunks, replies), ask, "bucket int, chunk long, block binary")
+    return stage(map_batches(sent.repartition("bucket").sortWithinPartitions("bucket"), reply, _REPLY_DDL), f"depth{depth}")
 
-@dataclass
-class Tree:
-    """The suffix tree as an automaton: next state and log10 probability for each state and symbol."""
-
-    symbol: np.ndarray  # of each byte
-    rare: float  # log10 share of one byte among those that have no symbol of their own
-    step: np.ndarray
-    logp: np.ndarray
-    start: int
-    states: int
-
-
-def grow(found: dict[int, tuple[np.ndarray, np.ndarray]], total: int) -> Tree:
-    """Retain contexts by divergence, smooth, and lay the tree out as a table."""
-    order0, n0 = found[0]
-    used = {END, 32} | {int(b) for b, n in zip(order0, n0, strict=True) if n >= total * RARE}
-    symbols = np.array(sorted(used), np.int64)
-    width = len(symbols) + 1  # the last stands for all other bytes together
-    others = 256 - len(symbols)
-    symbol = np.full(256, width - 1, np.int64)
-    symbol[symbols] = np.arange(len(symbols))
-    rare_share = RARE
-    while True:
-        tree = _grow(found, total * rare_share, symbols, symbol, width)
-        if tree is not None:
-            break
-        rare_share *= 2
-    step, logp, start = tree
-    return Tree(symbol, -np.log10(others) if others else 0.0, step, logp, start, len(step) // width)
-
-
-def _grow(found, least, symbols, symbol, width):
-    contexts, dist, retained = {}, {}, {}
-    for depth in range(DEPTH + 1):
-        # the contexts of this depth, sorted, and their counts by symbol
-        keys, n = found[depth]
-        names, inverse = np.unique(keys >> 8, return_inverse=True)
-        keep = np.bincount(inverse, n, len(names)) >= least if depth else np.ones(len(names), bool)
-        place = np.cumsum(keep) - 1
-        ok = keep[inverse]
-        rows = int(keep.sum()) if depth else 1
-        table = np.bincount(place[inverse[ok]] * width + symbol[keys[ok] & 255], n[ok], rows * width).reshape(rows, width)
-        contexts[depth] = names = names[keep] if depth else np.zeros(1, np.int64)
-        if not depth:
-            dist[0], retained[0] = (table + 0.5) / (table + 0.5).sum(), np.ones(1, bool)
-            continue
-        # divergence from the longest retained suffix; smoothing towards it
-        parent = np.searchsorted(contexts[depth - 1], names & ((1 << 8 * (depth - 1)) - 1))
-        up = dist[depth - 1][parent]
-        n = table.sum(axis=1, keepdims=True)
-        nats = np.where(table > 0, table / n * np.log(np.maximum(table, 1e-300) / n / up), 0.0).sum(axis=1)
-        retained[depth] = keep = (nats >= DIVERGENCE) & (nats * n[:, 0] >= EVIDENCE)
-        dist[depth] = np.where(keep[:, None], (table + PRIOR * up) / (n + PRIOR), up).astype(np.float32)
-    # states are the retained contexts, their suffixes and their prefixes, so that a step never needs more history
-    needed = {d: retained[d].copy() for d in retained}
-    for depth in range(DEPTH, 1, -1):
-        names = contexts[depth][needed[depth]]
-        for shorter in (names & ((1 << 8 * (depth - 1)) - 1), names >> 8):
-            needed[depth - 1][np.searchsorted(contexts[depth - 1], shorter)] = True
-    number, base = {}, 0
-    for depth in range(DEPTH + 1):
-        number[depth] = np.where(needed[depth], base + np.cumsum(needed[depth]) - 1, -1)
-        base += int(needed[depth].sum())
-    if base * width > CELLS:
-        return None
-    step, logp = np.zeros((base, width), np.int32), np.empty((base, width), np.float32)
-    start = 0
-    for depth in range(DEPTH + 1):
-        if not needed[depth].any():
-            continue
-        names, rows = contexts[depth][needed[depth]], number[depth][needed[depth]]
-        logp[rows] = np.log10(dist.pop(depth)[needed[depth]])
-        to = np.zeros((len(names), width), np.int32)
-        for longer in range(1, min(depth + 1, DEPTH) + 1):  # the longest suffix of context and symbol that is a state
-            known = contexts[longer]
-            if not len(known):
-                continue
-            want = ((names[:, None] << 8) | symbols[None, :]) & ((1 << 8 * longer) - 1)
-            at = np.minimum(np.searchsorted(known, want), len(known) - 1)
-            hit = (known[at] == want) & (number[longer][at] >= 0)
-            to[:, :-1] = np.where(hit, number[longer][at], to[:, :-1])
-        step[rows] = to
-        begin = int.from_bytes(bytes([END]) * depth, "big")
-        at = np.searchsorted(names, begin)
-        if at < len(names) and names[at] == begin:
-            start = int(rows[at])
-    return step.ravel(), logp.ravel(), start
-
-
-ROW = 1 << 11
-
-
-def walk(tree: Tree, streams: list[bytes]) -> np.ndarray:
-    """log10 probability of each byte of the joined streams; 0 for the DEPTH ends before each.
-
-    A state depends on the last DEPTH bytes only, so the joined streams are cut into
-    rows that overlap by DEPTH bytes and run side by side.
-    """
-    lengths = np.fromiter(map(len, streams), np.int64, len(streams))
-    raw = np.frombuffer(b"".join(streams), np.uint8)
-    n, width = len(raw), len(tree.step) // tree.states
-    rows = -(-n // ROW)
-    padded = np.full(rows * ROW + DEPTH, END, np.uint8)
-    padded[DEPTH : DEPTH + n] = raw
-    symbols = tree.symbol[padded].astype(np.uint8)
-    view = np.lib.stride_tricks.sliding_window_view(symbols, ROW + DEPTH)[::ROW]
-    columns = np.ascontiguousarray(view.T)
-    state = np.full(rows, tree.start, np.int64)
-    out = np.empty((ROW, rows))
-    for k in range(ROW + DEPTH):
-        at = state * width + columns[k]
-        if k >= DEPTH:
-            out[k - DEPTH] = tree.logp[at]
-        state = tree.step[at].astype(np.int64)
-    scores = out.T.ravel()[:n] + np.where(tree.symbol[raw] == width - 1, tree.rare, 0.0)
-    ends = np.cumsum(lengths)
-    begins = ends - lengths
-    inside = np.ones(n, bool)
-    inside[(begins[:, None] + np.arange(DEPTH)[None, :]).ravel()] = False
-    return np.where(inside, scores, 0.0)
-
-
-def word_scores(tree: Tree, block: list[list[bytes]]) -> np.ndarray:
-    """log10 probability of each token of each text: its words, then the end.
-
-    A word answers for the space after it, the last one for no space.
-    """
-    sizes = []
-    for words in block:
-        own = [len(w) + 1 for w in words]
-        if own:
-            own[-1] -= 1
-        sizes += own
-        sizes.append(1 + DEPTH)  # the end, and what stands before the next text
-    starts = DEPTH + np.cumsum(sizes) - np.array(sizes)
-    return np.add.reduceat(walk(tree, [_stream(w) for w in block]), starts)
+
+def _hot(reply: DataFrame) -> tuple:
+    """Names, occurrences and different next words of hot contexts, fewer than buckets; those not retained have none."""
+    sums = reply.where("hot is not null").groupBy("hot").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"), F.sum("nats").alias("nats")).orderBy("hot").toArrow()
+    names, n, kinds, nats = (sums.column(c).to_numpy().astype(t) for c, t in (("hot", np.int64), ("n", np.int64), ("kinds", np.int64), ("nats", float)))
+    keep = retained(n, nats - n * np.log(np.maximum(n, 1)))
+    return names, np.where(keep, n, 0), np.where(keep, kinds, 0)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
-    """Score every document with a suffix tree and a smoothed unigram base.
-
-    Documents whose crc32 of the doc_id is no multiple of ten train. Tokens are
-    words, A-Z lower-cased, then an end. The tree reads a text as the bytes of its
-    words with a space between them and an end; contexts are up to ``DEPTH`` bytes that
-    make up ``RARE`` of the training bytes, and are retained if the distribution of the
-    next byte diverges from that after their suffix. Distributions are smoothed
-    towards the suffix's, and the longest retained suffix scores each byte, so the
-    bytes of a word give the probability of the token that ``base_score`` rates.
-    ``score`` is smoothed by the words once more: each token's probability is
-    ``WORD_SHARE`` times its smoothed frequency and otherwise the tree's. Counts cover
-    all training documents. The tree has a bounded size and is broadcast; so are words
-    of at least ``FREQUENT`` of all tokens, and the counts of rarer words
-    are joined to the documents that hold them. Null and empty texts have the end
-    alone; repeated rows are scored each; null ids are hashed as an empty string. An
-    empty table gives an empty result. Returns doc_id, held_out, n_tokens, n_known,
-    train_tokens, base_score, score.
+    """Score every document with the suffix tree and with its root alone.
+
+    Documents whose crc32 of the doc_id is no multiple of ten train. Tokens are words,
+    A-Z lower-cased, then an end. ``base_score`` sums the log10 probabilities of the
+    root, ``(c + ROOT) / (N + ROOT * (V + 1))``, and ``score`` those of the tree. A context
+    of one to ``DEPTH`` words is retained if it occurs ``LEAST`` times or more and its next
+    words diverge from those of its suffix by ``EVIDENCE`` nats in all and ``DIVERGENCE`` a
+    word; it gives a word ``(c + k * lower) / (n + k)``, where lower is the suffix's
+    probability and k is ``PRIOR`` times the number of its different next words. What
+    stands before a text is a symbol of its own. These bounds are absolute, so a larger
+    corpus has a larger tree. Words and n-grams are told apart by 64-bit hashes, within
+    a context by 30 bits and more.
+
+    Null and empty texts have the end alone; repeated rows are scored each; null ids
+    are hashed as an empty string and kept null; other columns are ignored. A text of
+    any length stays in one chunk. An empty table gives an empty result. Returns
+    doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
-    spark = docs.sparkSession
-    words, blocks = corpus_counts(docs)
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    size = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    tree = spark.sparkContext.broadcast(grow(frequent_contexts(blocks, max(1.0, size * RARE)), max(1, size)))
-    often = F.col("n") >= max(1.0, total * FREQUENT)
-    common = words.where(often | F.col("word").isNull()).toArrow()  # at most 1 / FREQUENT rows
-    floor = total + 0.1 * (distinct + 1)
-    known = spark.sparkContext.broadcast(dict(zip(common.column("word").to_pylist(), np.log10((common.column("n").to_numpy() + 0.1) / floor).tolist(), strict=True)))
-    unseen = float(np.log10(0.1 / floor))
+    chunks = chunks_of(docs)
+    sums = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("train", "docs", "tokens")]).first()
+    bits = min(max((sums["tokens"] // TOKENS_A_BUCKET).bit_length(), FEWEST_BITS), MOST_BITS)
+    model = Model(sums["train"], sums["docs"], bits)
+    replies = []
+    for depth in range(DEPTH + 1):
+        replies.append(_exchange(chunks, replies, model))
+        if depth:
+            model.hot[depth] = _hot(replies[-1])
+        else:
+            model.words = replies[0].where("chunk is null").agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, end = known.value.get, known.value.get(None, unseen)
-        for batch in batches:
-            keys, ids, found = batch.column("row").to_numpy(), batch.column("doc_id").to_pylist(), utf8(batch.column("text"))
-            first, block, size = 0, [], 0
-            for k, text in enumerate(found):
-                block.append(text.lower().split())
-                size += len(text)
-                if size > GRAMS or k == len(found) - 1:
-                    tokens = []
-                    for own in block:
-                        tokens += own
-                        tokens.append(None)
-                    tree_p = word_scores(tree.value, block)
-                    # 1 marks the words whose counts are joined later
-                    word_p = np.fromiter((get(w, 1.0) for w in tokens), np.float64, len(tokens))
-                    n = np.fromiter((len(w) + 1 for w in block), np.int64, len(block))
-                    at = np.cumsum(n) - n
-                    word_p[at + n - 1] = end
-                    rare = word_p > 0
-                    both = np.where(rare, 0.0, np.log10(WORD_SHARE * 10.0**word_p + (1 - WORD_SHARE) * 10.0**tree_p))
-                    base = np.add.reduceat(np.where(rare, 0.0, word_p), at)
-                    seen = np.add.reduceat((~rare).astype(np.int64), at) - (end == unseen)
-                    out = [zlib.crc32(b"" if x is None else str(x).encode()) % 10 == 0 for x in ids[first : k + 1]]
-                    yield _out([keys[first : k + 1], ids[first : k + 1], out, n, seen, base, np.add.reduceat(both, at)], None)
-                    doc = np.repeat(keys[first : k + 1], n)
-                    places = np.flatnonzero(rare)
-                    for a in range(0, len(places), 1 << 16):
-                        some = places[a : a + (1 << 16)]
-                        yield _out(None, [doc[some], tree_p[some], [tokens[i] for i in some.tolist()]])
-                    first, block, size = k + 1, [], 0
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    mixed = stage(map_batches(rows, score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary"), "scores")
-    lookup = words.where(~often & F.col("word").isNotNull()).select("word", F.col("n").alias("c"))
-    rare = mixed.where("word is not null").select("row", "word", F.col("score").alias("p")).join(lookup.hint("shuffle_hash"), "word", "left")
-    frequency = (F.coalesce("c", F.lit(0)) + 0.1) / F.lit(float(floor))
-    sums = rare.groupBy("row").agg(
-        F.sum(F.log10(frequency)).alias("more"),
-        F.sum(F.log10(frequency * WORD_SHARE + F.pow(F.lit(10.0), F.col("p")) * (1 - WORD_SHARE))).alias("rest"),
-        F.count("c").alias("also"),
-    )
-    base = mixed.where("word is null").join(sums, "row", "left")
-    return base.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
-    )
-
-
-_SCHEMA = pa.schema(
-    [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary())]
-)
-
-
-def _out(docs: list | None, rare: list | None) -> pa.RecordBatch:
-    """Rows of documents, or of rare words in them with the tree's score, in one schema."""
-    n = len((docs or rare)[0])
-    values = [*docs, [None] * n] if docs else [rare[0], *[[None] * n] * 5, rare[1], rare[2]]
-    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _SCHEMA, strict=True)], schema=_SCHEMA)
+        for _, chunk, answers in _met(batches, DEPTH + 1):
+            found = climb(chunk, answers, model)
+            at = np.cumsum(chunk.lengths) - chunk.lengths
+            add = lambda x: np.add.reduceat(x, at)
+            columns = [pa.array(chunk.ids, pa.int64()), ~chunk.train, chunk.lengths, add(found.known.astype(np.int64)), np.full(len(at), model.tokens), add(np.log10(found.root)), add(np.log10(found.tree))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return map_batches(_meet(chunks, replies), score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

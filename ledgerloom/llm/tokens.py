@@ -31,6 +31,8 @@ _KNOWN = "\u0250"
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 MEMO = 300_000
+#: Characters of the longest piece that is remembered.
+LONGEST = 64
 #: Pieces between spaces that the encoder remembers in a generation, and pre-tokens of other shapes.
 PIECES, SHAPES = 500_000, 50_000
 
@@ -53,11 +55,12 @@ def odd(text: str) -> bool:
     return any(c in text for c in _ODD[0]) or (not text.isascii() and any(c in text for c in _ODD[1]))
 
 
-class _Memo(dict):
+class Memo(dict):
     """Remembers ``fn(key)`` in two generations of ``limit`` keys each.
 
     A full generation becomes the old one, and what is asked for again comes back
-    from there, so that frequent keys stay.
+    from there, so that frequent keys stay. Keys of more than ``LONGEST`` characters
+    (or bytes) are computed each time, so what is held is bounded in bytes too.
     """
 
     def __init__(self, fn, limit: int = MEMO):
@@ -65,6 +68,8 @@ class _Memo(dict):
         self.fn, self.limit, self.old = fn, limit, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.fn(key)
         value = self.old.pop(key, None)
         if value is None:
             value = self.fn(key)
@@ -90,8 +95,8 @@ class BytePairEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self._tokenize = self.tokenizer.model.tokenize
-        self._pre = _Memo(lambda pre: self._merge(as_letters(pre)), SHAPES)
-        self._piece = _Memo(self._after_space, PIECES)
+        self._pre = Memo(lambda pre: self._merge(as_letters(pre)), SHAPES)
+        self._piece = Memo(self._after_space, PIECES)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.dtype.char, ids).tobytes()
@@ -169,8 +174,8 @@ class WordPieceCounter:
     def __init__(self, path: str, whole: frozenset[str]):
         self.tokenizer, self.whole = Tokenizer.from_file(path), whole
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._merged = _Memo(lambda pre: len(self.tokenizer.model.tokenize(as_letters(pre))))
-        self._piece = _Memo(self._count)
+        self._merged = Memo(lambda pre: len(self.tokenizer.model.tokenize(as_letters(pre))))
+        self._piece = Memo(self._count)
 
     def _library(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
