@@ -8,10 +8,10 @@ suffix, and is smoothed towards it. The longest retained suffix scores each toke
 Documents are cut into chunks, which are stored as packed arrays. For each depth, a
 chunk sends its different n-grams once, in sorted blocks, to the bucket of their
 context; the bucket sums the blocks of all chunks, tests the contexts, and answers
-each block in the order of its n-grams. Contexts that are hotter than a bucket are
+each block in the order of its n-grams. Contexts that are hotter than a quarter of one are
 dealt by n-gram instead, and their sums are added by a grouping. So the tree lies
 spread over the buckets, as large as the corpus makes it, and nothing but the
-statistics of hot contexts (fewer than there are buckets) reaches the driver.
+statistics of hot contexts (at most four for each bucket) reaches the driver.
 """
 
 from __future__ import annotations
@@ -43,11 +43,11 @@ ROOT = 0.1
 #: The divergence test reads log probabilities of the suffix in units of 1 / STEPS nats.
 STEPS = 256
 #: Bytes of text in a chunk, but for its last document; tokens for which there is a bucket.
-CHUNK, TOKENS_A_BUCKET = 1 << 22, 1 << 20
+CHUNK, TOKENS_A_BUCKET = 1 << 23, 1 << 20
 FEWEST_BITS, MOST_BITS = 6, 17
 
-_ONE, _HIGH30, _LOW30 = np.uint64(1), np.uint64(30), np.uint64((1 << 30) - 1)
-_HIGH40, _LOW40 = np.uint64(40), np.uint64((1 << 40) - 1)
+#: Keys have 56 bits: of the context and of the n-gram 30 and 26, and 24 and 32 if the context is hot; the bucket tells more bits apart.
+_PLAIN, _HOT = (np.uint64(34), np.uint64(26)), (np.uint64(40), np.uint64(32))
 
 
 def _symbol(word: bytes) -> int:
@@ -163,8 +163,8 @@ class Model:
 
     @property
     def hot_at(self) -> float:
-        """A context that occurs so often is more than a bucket's share."""
-        return max(LEAST, self.tokens / (1 << self.bits))
+        """A context that occurs so often is more than a quarter of a bucket's share."""
+        return max(LEAST, self.tokens / (4 << self.bits))
 
     @property
     def floor(self) -> float:
@@ -201,7 +201,8 @@ def _slots(depth: int, gram: np.ndarray, context: np.ndarray, hot: np.ndarray, p
     mask = np.uint64((1 << bits) - 1)
     if depth:
         bucket = np.where(h, g & mask, (c >> np.uint64(4)) & mask)
-        key = np.where(h, (c >> _HIGH40) << _HIGH40 | (g >> np.uint64(24)) & _LOW40, (c >> _HIGH30) << _HIGH30 | g & _LOW30)
+        low = lambda x, n: x & np.uint64((1 << int(n)) - 1)
+        key = np.where(h, (c >> _HOT[0]) << _HOT[1] | low(g >> np.uint64(24), _HOT[1]), (c >> _PLAIN[0]) << _PLAIN[1] | low(g, _PLAIN[1]))
     else:
         bucket, key = g >> np.uint64(64 - bits), g
     order = np.lexsort((key, h, bucket))
@@ -248,12 +249,12 @@ def climb(chunk: Chunk, answers: list[list[np.ndarray]], model: Model) -> Scores
         of = np.zeros((2, len(slots.key)), np.int64)  # occurrences and different next words of each slot's context, if it is retained
         plain = np.flatnonzero(~slots.hot)
         if len(plain):
-            name, bucket = slots.key[plain] >> _HIGH30, slots.bucket[plain]
+            name, bucket = slots.key[plain] >> _PLAIN[1], slots.bucket[plain]
             run = np.cumsum(np.concatenate(([0], (name[1:] != name[:-1]) | (bucket[1:] != bucket[:-1]))))
             of[:, plain] = np.stack((total, kinds))[:, run]
         if slots.hot.any():
             names, *sums = model.hot[depth]
-            of[:, slots.hot] = np.stack(sums)[:, np.searchsorted(names, (slots.key[slots.hot] >> _HIGH40).astype(np.int64))]
+            of[:, slots.hot] = np.stack(sums)[:, np.searchsorted(names, (slots.key[slots.hot] >> _HOT[1]).astype(np.int64))]
         own, weight = of[:, slots.slot], PRIOR * of[1, slots.slot]
         lower = tree[slots.places]
         tree = tree.copy()
@@ -301,12 +302,12 @@ def _answers(depth: int, bucket: int, chunks: list[int], blocks: list[bytes]) ->
     each, counts, nats, where = totals(plain, lambda x, e: x[:e])
     hot_each, hot_counts, hot_nats, hot_where = totals(hot, lambda x, e: x[e:])
     if depth:
-        name = each >> _HIGH30
+        name = each >> _PLAIN[1]
         _, n, kinds, nats = _sums(name, counts, nats)
         keep = retained(n, nats - n * np.log(np.maximum(n, 1)))
         n, kinds = np.where(keep, n, 0), np.where(keep, kinds, 0)
         run = np.cumsum(np.concatenate(([0], name[1:] != name[:-1]))) if len(name) else np.zeros(0, np.int64)
-        for x in zip(*(a.tolist() for a in _sums(hot_each >> _HIGH40, hot_counts, hot_nats)), strict=True):
+        for x in zip(*(a.tolist() for a in _sums(hot_each >> _HOT[1], hot_counts, hot_nats)), strict=True):
             yield dict(zip(("bucket", "hot", "n", "kinds", "nats"), (bucket, *x), strict=True))
     else:
         yield {"bucket": bucket, "n": int(counts.sum()), "kinds": int((counts > 0).sum())}
@@ -409,7 +410,7 @@ def _exchange(chunks: DataFrame, replies: list[DataFrame], model: Model) -> Data
 
 
 def _hot(reply: DataFrame) -> tuple:
-    """Names, occurrences and different next words of hot contexts, fewer than buckets; those not retained have none."""
+    """Names, occurrences and different next words of hot contexts, at most four for each bucket; those not retained have none."""
     sums = reply.where("hot is not null").groupBy("hot").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"), F.sum("nats").alias("nats")).orderBy("hot").toArrow()
     names, n, kinds, nats = (sums.column(c).to_numpy().astype(t) for c, t in (("hot", np.int64), ("n", np.int64), ("kinds", np.int64), ("nats", float)))
     keep = retained(n, nats - n * np.log(np.maximum(n, 1)))
@@ -427,8 +428,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     word; it gives a word ``(c + k * lower) / (n + k)``, where lower is the suffix's
     probability and k is ``PRIOR`` times the number of its different next words. What
     stands before a text is a symbol of its own. These bounds are absolute, so a larger
-    corpus has a larger tree. Words and n-grams are told apart by 64-bit hashes, within
-    a context by 30 bits and more.
+    corpus has a larger tree. Words are told apart by 64-bit hashes, contexts by 36 bits
+    and more and next words within one by 26 and more, the more the larger the corpus.
 
     Null and empty texts have the end alone; repeated rows are scored each; null ids
     are hashed as an empty string and kept null; other columns are ignored. A text of
