@@ -43,7 +43,9 @@ ROOT = 0.1
 #: The divergence test reads log probabilities of the suffix in units of 1 / STEPS nats.
 STEPS = 256
 #: Bytes of text in a chunk, but for its last document; tokens for which there is a bucket.
-CHUNK, TOKENS_A_BUCKET = 1 << 23, 1 << 20
+CHUNK, TOKENS_A_BUCKET = 6 << 20, 1 << 20
+#: Words whose hashes a worker remembers in a generation.
+REMEMBERED = 50_000
 FEWEST_BITS, MOST_BITS = 6, 17
 
 #: Keys have 56 bits: of the context and of the n-gram 30 and 26, and 24 and 32 if the context is hot; the bucket tells more bits apart.
@@ -130,7 +132,7 @@ class Chunk:
 
     @staticmethod
     def of(ids: list, texts: list[bytes]) -> Chunk:
-        symbol = once("suffix-tree-words", lambda: Memo(_symbol))
+        symbol = once("suffix-tree-words", lambda: Memo(_symbol, REMEMBERED))
         found, lengths = [], []
         for text in texts:
             words = text.lower().split()
@@ -148,7 +150,7 @@ class Chunk:
     @staticmethod
     def unpacked(data: bytes) -> Chunk:
         ids, nulls, train, lengths, steps, tokens = unpack(data)
-        return Chunk([None if z else i for i, z in zip(ids.tolist(), nulls.tolist(), strict=True)], train, lengths, _undeltas(steps), tokens.astype(np.int64))
+        return Chunk([None if z else i for i, z in zip(ids.tolist(), nulls.tolist(), strict=True)], train, lengths, _undeltas(steps), tokens.astype(np.int32))
 
 
 @dataclass
@@ -194,24 +196,28 @@ class Slots:
             yield b, pack(_deltas(key[~hot]), _deltas(key[hot]), _small(self.counts[own]), self.nats[own])
 
 
-def _slots(depth: int, gram: np.ndarray, context: np.ndarray, hot: np.ndarray, places: np.ndarray, train: np.ndarray, lower: np.ndarray, bits: int) -> Slots:
+def _root_slots(chunk: Chunk, train: np.ndarray, bits: int) -> Slots:
+    """The chunk's words, which are sorted as they are."""
+    words, n = chunk.vocabulary, len(chunk.vocabulary)
+    counts = np.bincount(chunk.tokens[train], minlength=n)
+    return Slots(np.zeros(0, np.int32), chunk.tokens, (words >> np.uint64(64 - bits)).astype(np.int64), np.zeros(n, bool), words, counts, np.zeros(n, np.uint16))
+
+
+def _slots(gram: np.ndarray, context: np.ndarray, hot: np.ndarray, places: np.ndarray, train: np.ndarray, lower: np.ndarray, bits: int) -> Slots:
     _, first, slot = np.unique(gram[places], return_index=True, return_inverse=True)
     at = places[first]
     g, c, h = gram[at], context[at], hot[at]
     mask = np.uint64((1 << bits) - 1)
-    if depth:
-        bucket = np.where(h, g & mask, (c >> np.uint64(4)) & mask)
-        low = lambda x, n: x & np.uint64((1 << int(n)) - 1)
-        key = np.where(h, (c >> _HOT[0]) << _HOT[1] | low(g >> np.uint64(24), _HOT[1]), (c >> _PLAIN[0]) << _PLAIN[1] | low(g, _PLAIN[1]))
-    else:
-        bucket, key = g >> np.uint64(64 - bits), g
+    low = lambda x, n: x & np.uint64((1 << int(n)) - 1)
+    bucket = np.where(h, g & mask, (c >> np.uint64(4)) & mask).astype(np.int32)
+    key = np.where(h, (c >> _HOT[0]) << _HOT[1] | low(g >> np.uint64(24), _HOT[1]), (c >> _PLAIN[0]) << _PLAIN[1] | low(g, _PLAIN[1]))
     order = np.lexsort((key, h, bucket))
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
+    back = np.empty(len(order), np.int32)
+    back[order] = np.arange(len(order), dtype=np.int32)
     slot = back[slot]
     counts = np.bincount(slot[train[places]], minlength=len(order))
     nats = np.minimum(np.rint(-np.log(lower[at][order]) * STEPS), 65535).astype(np.uint16)
-    return Slots(places, slot, bucket[order].astype(np.int64), h[order], key[order], counts, nats)
+    return Slots(places, slot, bucket[order], h[order], key[order], counts, nats)
 
 
 @dataclass
@@ -231,18 +237,17 @@ def climb(chunk: Chunk, answers: list[list[np.ndarray]], model: Model) -> Scores
     first = np.zeros(n, bool)
     first[np.cumsum(chunk.lengths) - chunk.lengths] = True
     train = np.repeat(chunk.train, chunk.lengths)
-    every, never = np.arange(n), np.zeros(n, bool)
-    slots = _slots(0, words, words, never, every, train, np.ones(n), model.bits)
     if not answers:
-        return Scores(slots)
-    seen = answers[0][0][slots.slot]
+        return Scores(_root_slots(chunk, train, model.bits))
+    seen = answers[0][0][chunk.tokens]
     root = (seen + ROOT) / model.floor
     known, tree, gram = seen > 0, root, words
     for depth in range(1, DEPTH + 1):
         context, before = np.roll(gram, 1), np.roll(seen, 1)
         context[first], before[first] = _STARTS[depth - 1][0], model.docs
         gram = pair(context, words)
-        slots = _slots(depth, gram, context, before >= model.hot_at, np.flatnonzero(before >= LEAST), train, tree, model.bits)
+        slots = _slots(gram, context, before >= model.hot_at, np.flatnonzero(before >= LEAST).astype(np.int32), train, tree, model.bits)
+        del context, before
         if len(answers) == depth:
             return Scores(slots)
         count, total, kinds = answers[depth]
@@ -255,12 +260,15 @@ def climb(chunk: Chunk, answers: list[list[np.ndarray]], model: Model) -> Scores
         if slots.hot.any():
             names, *sums = model.hot[depth]
             of[:, slots.hot] = np.stack(sums)[:, np.searchsorted(names, (slots.key[slots.hot] >> _HOT[1]).astype(np.int64))]
-        own, weight = of[:, slots.slot], PRIOR * of[1, slots.slot]
-        lower = tree[slots.places]
-        tree = tree.copy()
-        tree[slots.places] = np.where(own[0] > 0, (count[slots.slot] + weight * lower) / np.maximum(own[0] + weight, 1), lower)
         seen = np.zeros(n, np.int64)
         seen[slots.places] = count[slots.slot]
+        on = of[0, slots.slot] > 0
+        places, slot = slots.places[on], slots.slot[on]
+        del slots, on
+        weight = PRIOR * of[1, slot]
+        tree = tree.copy() if depth == 1 else tree
+        tree[places] = (seen[places] + weight * tree[places]) / (of[0, slot] + weight)
+        del places, slot, weight
     return Scores(None, root, known, tree)
 
 
@@ -362,17 +370,19 @@ def _met(batches: Iterator[pa.RecordBatch], depths: int) -> Iterator[tuple[int,
     held, body, found = None, None, None
 
     def made():
-        joined = [[np.concatenate(x).astype(np.int64) for x in zip(*own, strict=True)] for own in found]
+        joined = [[np.concatenate(x).astype(np.int64) for x in zip(*map(unpack, own), strict=True)] for own in found]
         return held, Chunk.unpacked(body), joined
 
     for batch in batches:
-        for chunk, depth, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "depth", "body")), strict=True):
+        bodies = batch.column("body")
+        for row, (chunk, depth) in enumerate(zip(batch.column("chunk").to_pylist(), batch.column("depth").to_pylist(), strict=True)):
+            data = bodies[row].as_py()
             if depth < 0:
                 if held is not None:
                     yield made()
                 held, body, found = chunk, data, [[] for _ in range(depths)]
             else:
-                found[depth].append(unpack(data))
+                found[depth].append(data)
     if held is not None:
         yield made()
 
