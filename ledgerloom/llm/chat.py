@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import partial, reduce
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,70 +17,152 @@ from .common import map_batches, stage
 
 TURN = "array<struct<role:string,text:string>>"
 
-#: Declarative mappings: a layout's field paths, the schema to read it with, and the turns it stands for.
-#: ``roles`` renames speakers; ``list`` is a repeated field of messages; ``fields`` are (role, fields joined by a blank line).
+#: Declarative mappings, in the order in which they are tried: the field paths that a layout needs, and the turns that
+#: they and ``also`` stand for. ``list`` is a repeated field with role and text, ``one`` a single turn, ``fields`` are
+#: (role, fields joined by a blank line); a system turn without text is left out.
 LAYOUTS: dict[str, dict] = {
-    "turn": {"paths": "OBJECT<role, text>", "schema": "role string, text string", "one": ("role", "text")},
-    "messages": {"paths": "OBJECT<messages: ARRAY<OBJECT<content, role>>>", "schema": "messages array<struct<content:string,role:string>>", "list": ("messages", "role", "content")},
-    "conversations": {"paths": "OBJECT<conversations: ARRAY<OBJECT<from, value>>>", "schema": "conversations array<struct<from:string,value:string>>", "list": ("conversations", "from", "value")},
-    "prompt": {"paths": "OBJECT<completion, prompt>", "schema": "completion string, prompt string", "fields": (("user", ("prompt",)), ("assistant", ("completion",)))},
-    "prompt_response": {"paths": "OBJECT<prompt, response>", "schema": "prompt string, response string", "fields": (("user", ("prompt",)), ("assistant", ("response",)))},
-    "instruction": {"paths": "OBJECT<instruction, output>", "schema": "instruction string, output string", "fields": (("user", ("instruction",)), ("assistant", ("output",)))},
-    "instruction_input": {"paths": "OBJECT<input, instruction, output>", "schema": "input string, instruction string, output string", "fields": (("user", ("instruction", "input")), ("assistant", ("output",)))},
-    "system_instruction": {"paths": "OBJECT<output, question, system>", "schema": "output string, question string, system string", "fields": (("system", ("system",)), ("user", ("question",)), ("assistant", ("output",)))},
+    "messages": {"paths": ("messages[].content", "messages[].role"), "list": ("messages", "role", "content")},
+    "conversations": {"paths": ("conversations[].from", "conversations[].value"), "list": ("conversations", "from", "value")},
+    "system_instruction": {"paths": ("output", "question"), "also": ("system",), "fields": (("system", ("system",)), ("user", ("question",)), ("assistant", ("output",)))},
+    "instruction": {"paths": ("instruction", "output"), "also": ("input", "system"), "fields": (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))},
+    "prompt": {"paths": ("completion", "prompt"), "also": ("system",), "fields": (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))},
+    "prompt_response": {"paths": ("prompt", "response"), "also": ("system",), "fields": (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))},
+    "turn": {"paths": ("role",), "also": ("text",), "one": ("role", "text")},
 }
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: JSON strings of any length are read; by default the parser stops at 20 million characters.
+_JSON = {"maxStringLen": str((1 << 31) - 1)}
+_PLACES = "_canonical_turns_"
 
 
-def field_paths(record: Column) -> Column:
-    """The sorted nested field paths of a JSON record, without scalar types; null if it isn't JSON."""
-    schema = F.schema_of_variant(F.try_parse_json(record))
-    return F.regexp_replace(schema, r": (?:STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\(\d+,\d+\)|TIMESTAMP\w*|DATE|FLOAT|BINARY)", "")
+def _lists(layouts: dict) -> list[str]:
+    return sorted({v["list"][0] for v in layouts.values() if "list" in v})
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(field_paths(record))
+def _known(layouts: dict) -> list[str]:
+    return sorted({p for v in layouts.values() for p in (*v["paths"], *v.get("also", ()))})
 
 
-def _renamed(role: Column, rename: bool) -> Column:
-    if not rename:
-        return F.coalesce(role, F.lit(""))
+def schema_paths(record: T.StructType) -> list[str]:
+    """The nested field paths of a struct column, those of repeated structs with ``[]``."""
+    out = []
+    for f in record.fields:
+        inner = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else None
+        out += [f"{f.name}[].{x}" for x in inner.names] if isinstance(inner, T.StructType) else [f.name]
+    return sorted(out)
+
+
+def fingerprint(paths: list[str], layouts: dict | None = None) -> Column:
+    """A hash of those of the sorted nested field ``paths`` that any mapping knows; others don't count."""
+    known = set(_known(layouts or LAYOUTS))
+    return F.xxhash64(F.lit("\n".join(p for p in sorted(paths) if p in known)))
+
+
+def _fingerprints(layouts: dict) -> dict[str, list[list[str]]]:
+    """The sets of known paths for which each mapping is declared: what it needs, with any of what it reads besides."""
+    found, taken = {}, set()
+    for name, v in layouts.items():
+        also = v.get("also", ())
+        sets = [sorted({*v["paths"], *extra}) for n in range(len(also) + 1) for extra in combinations(also, n)]
+        found[name] = [x for x in sets if tuple(x) not in taken]
+        taken |= {tuple(x) for x in found[name]}
+    return found
+
+
+def _as_map(names: list[str], row: Column) -> Column:
+    """Fields of a struct as strings by name; none for a null struct."""
+    return F.create_map(*[x for c in names for x in (F.lit(c), row[c].cast("string"))])
+
+
+def _prefixed(prefix: str, name: Column) -> Column:
+    return F.concat(F.lit(prefix), name)
+
+
+def _record_map(record: Column, kind: T.DataType, layouts: dict) -> tuple[Column, dict[str, Column], Column | list[str]]:
+    """A record as (value of each top field as a string, elements of each list, paths)."""
+    if isinstance(kind, T.StructType):
+        lists = {}
+        for name in _lists(layouts):
+            if name in kind.names and isinstance(kind[name].dataType, T.ArrayType) and isinstance(kind[name].dataType.elementType, T.StructType):
+                lists[name] = F.transform(record[name], partial(_as_map, kind[name].dataType.elementType.names))
+        flat = [f.name for f in kind.fields if isinstance(f.dataType, T.AtomicType) or isinstance(f.dataType, T.NullType)]
+        values = _as_map(flat, record) if flat else F.create_map().cast("map<string,string>")
+        return F.when(record.isNotNull(), values), lists, schema_paths(kind)
+    values = F.from_json(record, "map<string,string>", _JSON)
+    lists = {name: F.from_json(values[name], "array<map<string,string>>", _JSON) for name in _lists(layouts)}
+    return values, lists, F.map_keys(values)
+
+
+def _renamed(role: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     return F.coalesce(F.element_at(table, role), role, F.lit(""))
 
 
-def _turns(record: Column, layout: dict) -> Column:
-    read = F.from_json(record, layout["schema"])
+def _turns(values: Column, lists: dict[str, Column], layout: dict) -> Column:
     text = lambda c: F.coalesce(c, F.lit(""))
     if "one" in layout:
         role, body = layout["one"]
-        return F.array(F.struct(_renamed(read[role], False).alias("role"), text(read[body]).alias("text")))
+        return F.array(F.struct(text(values[role]).alias("role"), text(values[body]).alias("text")))
     if "list" in layout:
         items, role, body = layout["list"]
-        return F.transform(read[items], lambda m: F.struct(_renamed(m[role], True).alias("role"), text(m[body]).alias("text")))
+        if items not in lists:
+            return F.lit(None).cast(TURN)
+        return F.transform(lists[items], lambda m: F.struct(_renamed(m[role]).alias("role"), text(m[body]).alias("text")))
     turns = []
     for role, fields in layout["fields"]:
-        parts = F.filter(F.array(*[F.nullif(text(read[f]), F.lit("")) for f in fields]), lambda x: x.isNotNull())
+        parts = F.filter(F.array(*[F.nullif(text(values[f]), F.lit("")) for f in fields]), lambda x: x.isNotNull())
         turns.append(F.struct(F.lit(role).alias("role"), F.array_join(parts, "\n\n").alias("text")))
     return F.filter(F.array(*turns), lambda t: ~((t["role"] == "system") & (t["text"] == "")))
 
 
 def canonical_turns(records: DataFrame, record: str = "record", layouts: dict | None = None) -> DataFrame:
-    """Add ``layout`` and ``turns`` to heterogeneous JSON records.
-
-    The nested field paths of each record are hashed, and the hash selects the
-    mapping. A record that is null, no JSON or of unknown paths has a null layout and
-    null turns, so that it can be counted, never dropped. Null texts become empty;
-    field order and scalar types don't matter.
+    """Add ``layout`` and ``turns`` to heterogeneous records: JSON strings, or structs as they are.
+
+    The nested field paths of a record that some mapping knows are hashed, and the
+    hash selects the mapping; other fields don't matter, nor do field order and scalar
+    types. Where no mapping is declared for a hash, the first whose needed paths are all
+    there is taken. The paths of a struct are those of its schema, so its texts are
+    never parsed; a JSON record is read as a map, without a limit to its strings. A
+    record that is null, no JSON object, or lacks a path that every mapping needs has a
+    null layout and null turns, see :func:`rejected`. An empty list of messages has that
+    list's layout and no turns; null and absent texts and roles are empty. An empty
+    table gives an empty result, repeated rows are kept, and of further columns only
+    such as are called ``layout`` or ``turns`` are replaced.
     """
     layouts = layouts or LAYOUTS
-    prints = records.sparkSession.range(1).select(*[F.xxhash64(F.lit(v["paths"])).alias(k) for k, v in layouts.items()]).first().asDict()
-    out = records.withColumn("_fp", fingerprint(F.col(record)))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURN)
-    for name, fp in prints.items():
-        layout = F.when(F.col("_fp") == fp, name).otherwise(layout)
-        turns = F.when(F.col("_fp") == fp, _turns(F.col(record), layouts[name])).otherwise(turns)
-    return out.withColumn("layout", layout).withColumn("turns", turns.cast(TURN)).drop("_fp")
+    kind = records.schema[record].dataType
+    base = records.drop(*[c for c in ("layout", "turns") if c != record])
+    values, lists, paths = _record_map(F.col(f"`{record}`"), kind, layouts)
+    if isinstance(paths, list):  # one schema, one layout
+        first = next((n for n, v in layouts.items() if set(v["paths"]) <= set(paths)), None)
+        layout = F.when(values.isNotNull(), F.lit(first).cast("string"))
+        turns = F.when(values.isNotNull(), _turns(values, lists, layouts[first])).cast(TURN) if first else F.lit(None).cast(TURN)
+        return base.select("*", layout.alias("layout"), turns.alias("turns"))
+    here = base.withColumn(_PLACES, F.struct(values.alias("values"), *[x.alias(n) for n, x in lists.items()]))
+    values, lists = F.col(f"{_PLACES}.values"), {n: F.col(f"{_PLACES}.{n}") for n in lists}
+    every = F.map_keys(values)
+    for name, items in lists.items():
+        own = F.lit([p for p in _known(layouts) if p.startswith(f"{name}[].")])
+        inner = F.transform(F.array_distinct(F.flatten(F.transform(F.filter(items, F.isnotnull), F.map_keys))), partial(_prefixed, f"{name}[]."))
+        every = F.concat(every, F.when(F.size(items) == 0, own).when(items.isNotNull(), F.coalesce(inner, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
+    known = F.array_sort(F.array_distinct(F.array_intersect(every, F.lit(_known(layouts)))))
+    found = F.xxhash64(F.array_join(known, "\n"))
+    here = here.withColumn(_PLACES, F.struct(f"{_PLACES}.*", known.alias("known"), found.alias("fingerprint")))
+    declared = {name: [here.sparkSession.range(1).select(fingerprint(p, layouts)).first()[0] for p in sets] for name, sets in _fingerprints(layouts).items()}
+    by_hash = by_paths = F.lit(None).cast("string")
+    for name, v in reversed(layouts.items()):
+        by_hash = F.when(F.col(f"{_PLACES}.fingerprint").isin(declared[name]), name).otherwise(by_hash)
+        by_paths = F.when(F.size(F.array_except(F.lit(list(v["paths"])), F.col(f"{_PLACES}.known"))) == 0, name).otherwise(by_paths)
+    here = here.withColumn("layout", F.coalesce(by_hash, by_paths))
+    turns = F.lit(None).cast(TURN)
+    for name, v in layouts.items():
+        turns = F.when(F.col("layout") == name, _turns(values, lists, v)).otherwise(turns)
+    return here.withColumn("turns", turns.cast(TURN)).drop(_PLACES)
+
+
+def rejected(records: DataFrame, record: str = "record", layouts: dict | None = None) -> DataFrame:
+    """The records that no mapping fits, all columns kept; count them, or mend them and try again."""
+    return canonical_turns(records, record, layouts).where("layout is null").drop("layout", "turns")
 
 
 #: The template: a turn is OPEN role, a line feed, text, CLOSE and a line feed.
@@ -157,7 +241,14 @@ def _chats(rows: list[dict]) -> pa.RecordBatch:
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
-    """What formatted conversations say, read back from their rows alone."""
+    """What formatted conversations say, read back from their rows alone.
+
+    Rows of a conversation go to one task and stream by in the order of ``part``; a null
+    conv_id is a conversation of its own. A conversation of empty turns has digests of
+    their line feeds, an empty table gives an empty result, and text that is not of
+    this format is an error. Returns conv_id, n_turns, turns_sha256, loss_chars,
+    loss_sha256, formatted_chars.
+    """
     rows = chats.select("conv_id", "part", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,10 +291,25 @@ def _digests(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()], strict=True)], names=names)
 
 
-def chat_formatting(records: DataFrame, record: str = "record") -> DataFrame:
+def turns_of(records: DataFrame, record: str = "record", skip_rejected: bool = False) -> DataFrame:
+    """``records(conv_id, turn, record)`` to their turns: conv_id, turn, k (place in the record), role, text.
+
+    A record that no mapping fits ends the job with an error that names it, unless
+    ``skip_rejected`` leaves such to :func:`rejected`.
+    """
+    found = canonical_turns(records.select("conv_id", "turn", F.col(f"`{record}`").alias("record")))
+    if not skip_rejected:
+        name = F.concat(F.lit("no layout fits a record of conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lit(", turn "), F.coalesce(F.col("turn").cast("string"), F.lit("null")))
+        found = found.withColumn("turns", F.when(F.col("layout").isNull(), F.raise_error(name).cast(TURN)).otherwise(F.col("turns")))
+    return found.select("conv_id", "turn", F.posexplode("turns").alias("k", "_t")).select("conv_id", "turn", "k", "_t.role", "_t.text")
+
+
+def chat_formatting(*records: DataFrame, record: str = "record", skip_rejected: bool = False) -> DataFrame:
     """Heterogeneous ``records(conv_id, turn, record)`` to formatted conversations, written and read back.
 
-    Records of unknown layout have no turns; :func:`canonical_turns` shows which.
+    Several tables may be given, each with records of its own type; their turns meet in
+    their conversations. See :func:`turns_of` for records of unknown layout and
+    :func:`format_chats` for the rest.
     """
-    turns = canonical_turns(records, record).select("conv_id", "turn", F.posexplode("turns").alias("k", "_t")).select("conv_id", "turn", "k", "_t.role", "_t.text")
-    return stage(format_chats(turns), "chats")
+    turns = [turns_of(r, record, skip_rejected) for r in records]
+    return stage(format_chats(reduce(DataFrame.unionByName, turns)), "chats")

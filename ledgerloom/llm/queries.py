@@ -33,11 +33,23 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, told in four layouts, formatted and read back.
+
+    A hash of conv_id decides how a conversation's rows are told: as turns, as lists of
+    messages in either naming, or as JSON. Roles that the lists' mappings rename, and
+    null ids, are told as turns.
+    """
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
-    records = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record"))
-    return chat.read_chats(chat.chat_formatting(records))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    how = F.coalesce(F.when(F.col("role").isin(*chat.ROLES), 0).otherwise(F.pmod(F.xxhash64("conv_id"), F.lit(4))), F.lit(0))
+    told = [
+        F.struct("role", "text"),
+        F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")),
+        F.struct(F.array(F.struct(F.col("role").alias("from"), F.col("text").alias("value"))).alias("conversations")),
+        F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}),
+    ]
+    return chat.read_chats(chat.chat_formatting(*[rows.where(how == n).select("conv_id", "turn", r.alias("record")) for n, r in enumerate(told)]))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
