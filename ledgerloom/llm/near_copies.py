@@ -1,4 +1,11 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash candidates, each verified exactly."""
+"""SimHash near-dedup at a Jaccard similarity (operator 7 as the pipeline uses it).
+
+Fingerprints over wider shingles are linked through their Golay keys as in
+:mod:`simhash`, and each link is verified by the exact similarity. At a similarity of
+0.8, fingerprints of 64 bits differ in some ten bits, far beyond what keys over their
+segments can find, so MinHash bands give the candidates that the keys miss; these are
+verified in the same way.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, map_batches, stage, utf8
-from .simhash import digests
+from .simhash import digests, folded
+from .simhash import links as golay_links
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of MinHash values. A pair of similarity s shares no band with probability (1 - s^ROWS)^BANDS: 2e-6 at 0.8.
@@ -25,8 +33,11 @@ _MIX = _DRAW.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of a text's different word shingles; a text of fewer words is one shingle."""
-    raw = b"".join(digests(text.lower().split(), shingle))
-    return np.unique(np.frombuffer(raw, np.uint64))
+    return _different(list(digests(text.lower().split(), shingle)))
+
+
+def _different(pieces: list[bytes]) -> np.ndarray:
+    return np.unique(np.frombuffer(b"".join(pieces), np.uint64))
 
 
 def bands(found: np.ndarray) -> np.ndarray:
@@ -40,21 +51,24 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs(doc_id, text)`` to doc_id, text_hash, node (a hash of the text's words), n (its different shingles) and bands."""
+    """``docs(doc_id, text)`` to doc_id, text_hash, node (a hash of the text's words), n (its different shingles), fp (its fingerprint) and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, keys = [], [], []
+            node, n, fp, keys = [], [], [], []
             for text in utf8(batch.column("text")):
-                found = shingles(text, shingle)
-                node.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7))
+                words = text.lower().split()
+                pieces = list(digests(words, shingle))
+                found = _different(pieces)
+                node.append(xxhash.xxh64_intdigest(b" ".join(words), 7))
                 n.append(len(found))
+                fp.append(folded(pieces))
                 keys.append(bands(found).view(np.int64) if len(found) else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)], dtype=np.int32), np.concatenate(keys or [np.zeros(0, np.int64)]))
-            cols = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "node", "n", "bands"])
+            cols = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "node", "n", "fp", "bands"])
 
-    schema = "doc_id long, text_hash long, node long, n long, bands array<long>"
+    schema = "doc_id long, text_hash long, node long, n long, fp long, bands array<long>"
     return map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, schema)
 
 
@@ -70,6 +84,17 @@ def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_batches(texts.select("node", "text"), run, "node long, found array<long>")
 
 
+def fingerprint_pairs(points: DataFrame) -> DataFrame:
+    """``points(node, n, fp)`` to the pairs of nodes that fingerprints within two bits tie together: a, b, na, nb."""
+    points = stage(points, "fingerprints")
+    heads = stage(points.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("h")), "heads")
+    same = points.join(heads, "fp").where("node > h.node").select(F.col("h.node").alias("a"), F.col("node").alias("b"), F.col("h.n").alias("na"), F.col("n").alias("nb"))
+    side = lambda x: heads.select(F.col("fp").alias(x), F.col("h").alias(f"h{x}"))
+    near = golay_links(heads.select("fp")).join(side("a"), "a").join(side("b"), "b")
+    x, y = F.least("ha", "hb"), F.greatest("ha", "hb")
+    return same.union(near.select(x["node"].alias("a"), y["node"].alias("b"), x["n"].alias("na"), y["n"].alias("nb")))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Those of ``pairs(a, b)`` whose exact similarity is ``similarity`` or more."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
@@ -78,21 +103,24 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
 
 
 def links(rows: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) that connect all nodes of :func:`sketches` that share a band and are similar enough.
+    """Edges (a, b) that connect all nodes of :func:`sketches` that are similar enough and have a Golay key or a band in common.
 
-    First each node is held against the smallest node of each of its bands. Then, in
-    the bands that still hold several components, all pairs of different components
+    First come the nodes whose fingerprints the Golay keys link, a fingerprint's nodes
+    standing behind its smallest. Then each node is held against the smallest node of
+    each of its bands. Then, in the bands that still hold several components, all pairs of different components
     are, so a band full of near copies never lists its pairs and none is lost.
     """
-    points = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.min("bands").alias("bands"))
+    points = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
     keys = stage(points.select("node", "n", "text_hash", F.explode("bands").alias("key")), "bands")
     heads = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("z")).where("head.node < z")
     members = stage(keys.join(heads.select("key", "head"), "key"), "members")
     close = f"least(na, nb) >= {similarity} * greatest(na, nb)"  # no other pair can be similar enough
     stars = members.where("node > head.node").select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
+    stars = stars.union(fingerprint_pairs(points.select("node", "n", "fp")))
     stars = stage(stars.where(close).select("a", "b").distinct(), "stars")
 
-    wanted = members.groupBy("text_hash").agg(F.min("node").alias("node"))
+    ends = stars.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
+    wanted = points.select("node", "text_hash").join(ends, "node", "left_semi").groupBy("text_hash").agg(F.min("node").alias("node"))
     # one row for each text, whichever: equal hashes are equal texts
     texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash").dropDuplicates(["text_hash"])
     sets = stage(shingle_sets(texts, shingle), "sets")

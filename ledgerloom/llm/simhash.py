@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import combinations
 
@@ -82,15 +82,20 @@ def digests(words: list[bytes], shingle: int) -> Iterator[bytes]:
         yield b"".join([digest(joined[a:b], 42) for a, b in zip(starts[at : at + (1 << 14)], ends[at : at + (1 << 14)], strict=True)])
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+def folded(pieces: Iterable[bytes]) -> int:
+    """The 64-bit SimHash of some digests; 0 without any."""
     n, ones = 0, np.zeros(64, np.int64)
-    for raw in digests(text.lower().split(), shingle):  # both touch ASCII only
+    for raw in pieces:
         n += len(raw) // 8
         ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included; 0 without words."""
+    return folded(digests(text.lower().split(), shingle))  # both touch ASCII only
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``docs(doc_id, text)`` to doc_id, text_hash and fp, the fingerprint as a signed long."""
 
@@ -184,13 +189,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     fingerprint (16 hex digits), component_id; other columns are ignored.
     """
     return _grouped(docs, shingle).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """One doc_id and text_hash for each component of :func:`near_duplicates`.
-
-    It is the smallest doc_id, null last, and of rows that share it the smallest hash
-    of the text; components of null ids alone have one each. An empty table gives none.
-    """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("_f")
-    return _grouped(docs, shingle).groupBy("root").agg(first).select("_f.doc_id", "_f.text_hash")
