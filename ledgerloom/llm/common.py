@@ -15,10 +15,14 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's path below the cluster's shared folder.
 
-    The shared folder is ``spark.checkpoint.dir``; only where it is unset, as in
-    local tests, a folder of this machine takes its place.
+    The shared folder is ``spark.checkpoint.dir``. Only in local mode, as in tests, may
+    it be unset: a folder of this machine takes its place. On a cluster that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/local-{os.getpid()}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file:///tmp/checkpoints/local-{os.getpid()}"
     return f"{root.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
 
 
@@ -64,11 +68,11 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: ``edges(a, b)`` to ``(node, root)``.
 
-    Alternates the large-star and small-star steps until no edge changes; ``root``
-    is the smallest node of a component. Self-loops and repeated edges are
+    Alternates the large-star and small-star steps until no edge changes, which takes a
+    number of rounds that grows with the logarithm of the nodes; ``root`` is the smallest node of a component. Self-loops and repeated edges are
     harmless, an empty edge table gives an empty result. Nodes without edges are
     not in the result. Every round is written to the shared folder; only counts
     reach the driver.
@@ -76,7 +80,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     pairs = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     if pairs.isEmpty():
         return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour moves to the smallest neighbour
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -97,4 +101,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if moved:
             found = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return found.union(found.select("root", "root").distinct())
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -43,8 +43,12 @@ def _hits(n: int, ends: list[int] | None, hashes: list[int] | None) -> Column:
     if ends is not None:
         places = F.filter(places, lambda i: F.xxhash64(F.get("w", i - 1), F.get("w", i + (n - 2))).isin(ends))
         places = F.filter(places, lambda i: F.xxhash64(F.slice("w", i, n)).isin(hashes))
-    words = lambda i: F.slice("w", i, n)
-    return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.xxhash64(words(i)).alias("hash"), F.array_join(words(i), " ").alias("window")))
+    return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.xxhash64(F.slice("w", i, n)).alias("hash")))
+
+
+def _with_text(found: Column) -> Column:
+    """The windows with their words, which are joined for these few alone."""
+    return F.transform(found, lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), x["hash"].alias("hash"), F.array_join(F.slice("w", x["at"], x["len"]), " ").alias("window")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -54,8 +58,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     their end words, then by the hash of all words, against sets that hold the
     benchmark's windows and nothing that grows with the documents. Only what passes
     leaves the row, is compared word by word with the windows, and is gathered again
-    by the row. A benchmark of more than ``PAIRS`` windows skips the first test, one of
-    more than ``BROADCAST`` windows is joined by shuffle. Null texts have no words. An
+    by the row. A benchmark of more than ``PAIRS`` windows is too large for a test inside
+    the row: the 64-bit hashes of a document's windows, without their words, are held
+    against a broadcast set of the benchmark's, of more than ``BROADCAST`` windows by a
+    join, and only hits go back to their rows for the comparison. Null texts have no words. An
     empty benchmark hits nothing, empty tables give empty results, repeated rows are
     returned each. Returns doc_id, text_hash, n_words, n_hit, n_items, items, spans
     (half-open word ranges), contaminated.
@@ -66,11 +72,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     pairs = windows.select("ends").distinct().limit(PAIRS + 1).collect() if total <= PAIRS else None
     ends = [r["ends"] for r in pairs] if pairs else None
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
-    found = F.array().cast("array<struct<at:int,len:int,hash:bigint,window:string>>")
+    found = F.array().cast("array<struct<at:int,len:int,hash:bigint>>")
     hashes = [r["hash"] for r in windows.select("hash").distinct().collect()] if ends else None
     for r in sorted(lengths, key=lambda r: r["len"]):
         found = F.concat(found, _hits(r["len"], ends, hashes))
-    seen = rows.select("_row", "doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.explode_outer(found).alias("_f")).select("_row", "doc_id", "text_hash", "n_words", "_f.*")
+    if total and not ends:
+        every = windows.select("hash").distinct()
+        one = rows.select("doc_id", "text_hash", F.explode(found).alias("_f")).select("doc_id", "text_hash", "_f.*")
+        passed = one.join(F.broadcast(every) if total <= BROADCAST else every, "hash", "left_semi")
+        passed = passed.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.collect_set(F.struct("at", "len", "hash")).alias("_p"))
+        rows = rows.join(passed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left")
+        found = F.col("_p")
+    seen = rows.select("_row", "doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.explode_outer(_with_text(found)).alias("_f")).select("_row", "doc_id", "text_hash", "n_words", "_f.*")
     known = windows.select(F.col("len").alias("l"), F.col("hash").alias("h"), F.col("window").alias("t"), "items")
     known = F.broadcast(known) if total <= BROADCAST else known
     joined = seen.join(known, (F.col("hash") == F.col("h")) & (F.col("len") == F.col("l")) & (F.col("window") == F.col("t")), "left")

@@ -17,6 +17,8 @@ HASHES = 4
 CHUNK = 1 << 16  # bytes of a filter that one row carries
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # 32 MB a filter at most
 BITS_A_DOCUMENT = 256
+#: Shares of the suspects that are joined by broadcast: no more keys than this can have one.
+HOT = 10_000
 _WHITE = b" \t\n\x0b\x0c\r"
 #: Stands for a null doc_id: all such rows are one document, the first.
 NO_ID = -(1 << 63)
@@ -121,8 +123,10 @@ def line_dedup(docs: DataFrame, least: int = 10, bits: int | None = None) -> Dat
     lines except in the document of the smallest doc_id. Only lines that the second
     filter suspects are shuffled, as SHA-256 of the key with the doc_id; smallest and
     largest doc_id are found with map-side sums, so a line that all documents share is
-    one row a task. Null and empty texts are one empty line. Rows of equal doc_id are
-    one document; null ids are one document, before all others. Repeated rows are
+    one row a task; keys that make up 1 / ``HOT`` of the suspects, so at most ``HOT`` of
+    them, then find their documents by broadcast, others by a join. Null and empty
+    texts are one empty line. Rows of equal doc_id are one document; null ids are one
+    document, before all others, which loses no line and so stays out of the joins. Repeated rows are
     returned each; an empty table gives an empty result. Returns doc_id, kept_text,
     n_lines, n_dropped.
     """
@@ -145,10 +149,15 @@ def line_dedup(docs: DataFrame, least: int = 10, bits: int | None = None) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], names=["_id", "digest"])
 
     found = stage(map_batches(rows, suspects, "_id long, digest binary"), "suspects")
-    owners = found.groupBy("digest").agg(F.min("_id").alias("owner"), F.max("_id").alias("last")).where("owner < last").select("digest", "owner")
+    owners = found.groupBy("digest").agg(F.min("_id").alias("owner"), F.max("_id").alias("last"), F.count("*").alias("n")).where("owner < last").select("digest", "owner", "n")
     owners = stage(owners, "owners")
-    drops = found.join(owners, "digest").where("_id > owner").groupBy("_id").agg(F.collect_set("digest").alias("_drops"))
-    marked = rows.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(drops, "_id", "left").select("doc_id", "text", "_drops")
+    hot = F.col("n") >= max(1, found.count() // HOT)
+    some = found.where(F.col("_id") != NO_ID)
+    often = F.broadcast(owners.where(hot).select("digest", "owner"))
+    drops = some.join(often, "digest").unionByName(some.join(often, "digest", "left_anti").join(owners.where(~hot).select("digest", "owner"), "digest"))
+    drops = drops.where("_id > owner").groupBy("_id").agg(F.collect_set("digest").alias("_drops"))
+    marked = rows.where("doc_id is not null").join(drops, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "_drops")
+    marked = marked.unionByName(rows.where("doc_id is null").withColumn("_drops", F.lit(None).cast("array<binary>")))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

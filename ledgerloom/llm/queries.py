@@ -10,26 +10,29 @@ from .common import table
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token shards, described from the files."""
     return token_output.token_output(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, and how many words of each the mix takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes; equal texts stay together."""
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # its SQL cuts at the midpoint of the means
-    scored = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut="means")
-    return scored.drop("score", "text_hash")
+    """Base rules of all documents, and the verdict of the likelihood ratio."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("score", "text_hash")
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,19 +56,23 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that an earlier one holds."""
     kept = linededup.line_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the suffix tree and its root."""
     return suffix_tree.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all items of the benchmark."""
     marks = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return marks.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
@@ -126,9 +133,14 @@ n AS (SELECT sum(raw) AS raw, sum(trusted) AS trusted FROM c),
 q AS (SELECT f, ln((c.trusted + 1) / (n.trusted + 65536)::DOUBLE) - ln((c.raw + 1) / (n.raw + 65536)::DOUBLE) AS v FROM c, n),
 s AS (SELECT r, avg(v) AS score FROM f JOIN q USING (f) GROUP BY r),
 z AS (SELECT b.*, coalesce(score, 0) AS score FROM b LEFT JOIN s ON b.r = s.r),
-m AS (SELECT avg(score) FILTER (WHERE good) AS g, avg(score) FILTER (WHERE NOT good) AS x FROM z JOIN lab USING (doc_id) WHERE NOT base_failed)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND score >= coalesce((g + x) / 2, '-inf'::DOUBLE) AS kept
+l2 AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) IN (0, 1)
+       ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 20000),
+j AS (SELECT round(score, 9) AS s, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE NOT good) AS x FROM z JOIN l2 USING (doc_id) WHERE NOT base_failed GROUP BY 1),
+k AS (SELECT s, lead(s) OVER (ORDER BY s) AS nx, sum(g) OVER (ORDER BY s) AS lost, sum(x) OVER () - sum(x) OVER (ORDER BY s) AS passed, sum(g) OVER () AS ng, sum(x) OVER () AS nb FROM j),
+e AS (SELECT lost * nb + passed * ng AS errors, s - nx AS gap, (s + nx) / 2 AS t FROM k WHERE nx IS NOT NULL AND ng > 0 AND nb > 0
+      UNION ALL SELECT coalesce(max(ng * nb), 0), 0, '-inf'::DOUBLE FROM k),
+m AS (SELECT t FROM e ORDER BY errors, gap, t LIMIT 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND score >= t AS kept
 FROM z, m""",
     "op6_chat_formatting": r"""
 WITH t AS (

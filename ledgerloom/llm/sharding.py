@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 #: Groups that one task differences; tasks grow with the groups, each leaves one row of sums.
-GROUPS_A_TASK = 1_000_000
+GROUPS_A_TASK = 1 << 16
 BLOCK = 4096
 
 
