@@ -78,8 +78,8 @@ def _prefixed(prefix: str, name: Column) -> Column:
     return F.concat(F.lit(prefix), name)
 
 
-def _record_map(record: Column, kind: T.DataType, layouts: dict) -> tuple[Column, dict[str, Column], Column | list[str]]:
-    """A record as (value of each top field as a string, elements of each list, paths)."""
+def _record_map(record: Column, kind: T.DataType, layouts: dict) -> tuple[Column, dict, list[str] | None]:
+    """A record as (value of each top field as a string, elements of each list, paths); of JSON, only the first is known here."""
     if isinstance(kind, T.StructType):
         lists = {}
         for name in _lists(layouts):
@@ -89,8 +89,7 @@ def _record_map(record: Column, kind: T.DataType, layouts: dict) -> tuple[Column
         values = _as_map(flat, record) if flat else F.create_map().cast("map<string,string>")
         return F.when(record.isNotNull(), values), lists, schema_paths(kind)
     values = F.from_json(record, "map<string,string>", _JSON)
-    lists = {name: F.from_json(values[name], "array<map<string,string>>", _JSON) for name in _lists(layouts)}
-    return values, lists, F.map_keys(values)
+    return values, dict.fromkeys(_lists(layouts)), None
 
 
 def _renamed(role: Column) -> Column:
@@ -133,31 +132,36 @@ def canonical_turns(records: DataFrame, record: str = "record", layouts: dict |
     kind = records.schema[record].dataType
     base = records.drop(*[c for c in ("layout", "turns") if c != record])
     values, lists, paths = _record_map(F.col(f"`{record}`"), kind, layouts)
-    if isinstance(paths, list):  # one schema, one layout
+    if paths is not None:  # one schema, one layout
         first = next((n for n, v in layouts.items() if set(v["paths"]) <= set(paths)), None)
         layout = F.when(values.isNotNull(), F.lit(first).cast("string"))
         turns = F.when(values.isNotNull(), _turns(values, lists, layouts[first])).cast(TURN) if first else F.lit(None).cast(TURN)
         return base.select("*", layout.alias("layout"), turns.alias("turns"))
-    here = base.withColumn(_PLACES, F.struct(values.alias("values"), *[x.alias(n) for n, x in lists.items()]))
-    values, lists = F.col(f"{_PLACES}.values"), {n: F.col(f"{_PLACES}.{n}") for n in lists}
+    # columns of their own, so that a record is parsed once however often they are read
+    here = base.withColumn(f"{_PLACES}values", values)
+    values = F.col(f"{_PLACES}values")
+    here = here.withColumns({f"{_PLACES}list_{n}": F.from_json(values[n], "array<map<string,string>>", _JSON) for n in lists})
+    lists = {n: F.col(f"{_PLACES}list_{n}") for n in lists}
     every = F.map_keys(values)
     for name, items in lists.items():
         own = F.lit([p for p in _known(layouts) if p.startswith(f"{name}[].")])
         inner = F.transform(F.array_distinct(F.flatten(F.transform(F.filter(items, F.isnotnull), F.map_keys))), partial(_prefixed, f"{name}[]."))
         every = F.concat(every, F.when(F.size(items) == 0, own).when(items.isNotNull(), F.coalesce(inner, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
     known = F.array_sort(F.array_distinct(F.array_intersect(every, F.lit(_known(layouts)))))
-    found = F.xxhash64(F.array_join(known, "\n"))
-    here = here.withColumn(_PLACES, F.struct(f"{_PLACES}.*", known.alias("known"), found.alias("fingerprint")))
-    declared = {name: [here.sparkSession.range(1).select(fingerprint(p, layouts)).first()[0] for p in sets] for name, sets in _fingerprints(layouts).items()}
+    here = here.withColumn(f"{_PLACES}known", known)
+    here = here.withColumn(f"{_PLACES}fingerprint", F.xxhash64(F.array_join(f"{_PLACES}known", "\n")))
+    sets = [(name, p) for name, own in _fingerprints(layouts).items() for p in own]
+    prints = here.sparkSession.range(1).select(*[fingerprint(p, layouts).alias(str(n)) for n, (_, p) in enumerate(sets)]).first()
+    declared = {name: [x for x, (own, _) in zip(prints, sets, strict=True) if own == name] for name in layouts}
     by_hash = by_paths = F.lit(None).cast("string")
     for name, v in reversed(layouts.items()):
-        by_hash = F.when(F.col(f"{_PLACES}.fingerprint").isin(declared[name]), name).otherwise(by_hash)
-        by_paths = F.when(F.size(F.array_except(F.lit(list(v["paths"])), F.col(f"{_PLACES}.known"))) == 0, name).otherwise(by_paths)
+        by_hash = F.when(F.col(f"{_PLACES}fingerprint").isin(declared[name]), name).otherwise(by_hash)
+        by_paths = F.when(F.size(F.array_except(F.lit(list(v["paths"])), F.col(f"{_PLACES}known"))) == 0, name).otherwise(by_paths)
     here = here.withColumn("layout", F.coalesce(by_hash, by_paths))
     turns = F.lit(None).cast(TURN)
     for name, v in layouts.items():
         turns = F.when(F.col("layout") == name, _turns(values, lists, v)).otherwise(turns)
-    return here.withColumn("turns", turns.cast(TURN)).drop(_PLACES)
+    return here.withColumn("turns", turns.cast(TURN)).drop(*[c for c in here.columns if c.startswith(_PLACES)])
 
 
 def rejected(records: DataFrame, record: str = "record", layouts: dict | None = None) -> DataFrame:
