@@ -91,7 +91,7 @@ SELECT s.statement_id AS id, s.ledger_id, CASE WHEN s.ledger_id % 2 = 0 THEN 'ko
        CAST(a.running_balance - CASE WHEN a.debit_credit = 'credit' THEN a.amount ELSE -a.amount END AS DECIMAL(18,2)) AS opening_balance,
        CAST(b.running_balance + CASE WHEN substr(statement_month, 6, 2) = '06' THEN 1 ELSE 0 END AS DECIMAL(18,2)) AS closing_balance
 FROM stmt_raw s JOIN transactions a ON a.ledger_id = s.ledger_id AND a.row_seq = s.lo JOIN transactions b ON b.ledger_id = s.ledger_id AND b.row_seq = s.hi""",
-    "stmt_no": "SELECT statement_id, ledger_id, lo, hi, row_number() OVER (ORDER BY statement_id) AS n FROM stmt_raw",
+    "stmt_no": "SELECT statement_id, ledger_id, lo, hi, CAST(ledger_id * 31 + CAST(substr(statement_month, 1, 4) AS INT) * 12 + CAST(substr(statement_month, 6, 2) AS INT) AS BIGINT) AS n FROM stmt_raw",
     "statement_rows": """
 SELECT statement_id AS doc_id, ledger_id, 0 AS table_no, CAST(0 AS BIGINT) AS row_no,
        {array}('Date', 'Narration', CASE WHEN n % 7 = 0 THEN 'Deposit Amt' ELSE 'Withdrawal Amt' END, CASE WHEN n % 7 = 0 THEN 'Withdrawal Amt' ELSE 'Deposit Amt' END, 'Balance') AS cells
@@ -127,11 +127,21 @@ SOURCES = ("orders", "events", "embeddings")
 STORED = ("transactions", "annotations")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a folder of this machine only in local mode where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file:///tmp/checkpoints/local-{os.getpid()}"
+    return root.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, kept in the cluster's shared folder; one of this machine only where none is set."""
+    """``df`` with its lineage cut, kept in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(f"/tmp/checkpoints/local-{os.getpid()}")
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 

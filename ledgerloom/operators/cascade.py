@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.thresholds import Thresholds
@@ -20,17 +22,32 @@ def person_history_gate(matched: DataFrame, prior: DataFrame, th: Thresholds = T
     return out.select("id", F.lit("Transfers").alias("category"), "subcategory", confidence.alias("confidence"), F.lit("rule").alias("source"), F.col("name").alias("merchant"), F.coalesce(differs, F.lit(False)).alias("gated"))
 
 
-def annotate_cascade(txns: DataFrame, stages: list[tuple[str, DataFrame]]) -> DataFrame:
+def first_of(txns: DataFrame, stages: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Labels of cheap stages side by side, of which the first counts: id, the label, stage.
+
+    Each has at most one label a transaction, so this is one row a transaction and no
+    stage is computed twice. Rows of no stage stay out.
+    """
+    out = txns.select("id")
+    for name, labels in stages:
+        out = out.join(labels.select("id", F.struct(*LABEL[1:], F.lit(name).alias("stage")).alias(f"_{name}")), "id", "left")
+    return out.select("id", F.coalesce(*[f"_{name}" for name, _ in stages]).alias("_l")).where("_l is not null").select("id", "_l.*")
+
+
+def annotate_cascade(txns: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One label a transaction from the first stage that has one; rows of no stage stay out.
 
-    Each stage sees only what the ones before left, so costly stages read few rows. The
-    labels of a stage are persisted, for every later stage asks for them.
+    A stage is a function of the transactions that the ones before left, so that a
+    costly one reads and computes only these. Its labels have id, category,
+    subcategory, confidence, source, and a stage of their own if it stands for
+    several. ``keep`` stores a stage's labels, for all later stages ask for them.
     """
-    out = None
+    left, out = txns, None
     for name, stage in stages:
-        left = txns.select("id") if out is None else txns.select("id").join(out.select("id"), "id", "left_anti")
-        label = stage.select(*LABEL).join(left, "id", "left_semi").withColumn("stage", F.lit(name)).persist()
-        out = label if out is None else out.unionByName(label)
+        found = stage(left)
+        found = keep(found.select(*LABEL, F.col("stage") if "stage" in found.columns else F.lit(name).alias("stage")))
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found.select("id"), "id", "left_anti")
     return out
 
 
@@ -46,12 +63,49 @@ def run_counts(txns: DataFrame, labels: DataFrame, known: DataFrame, th: Thresho
     )
 
 
-def reasoning_trace(labels: DataFrame, donors: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """Why each label is what it is, as one JSON document."""
-    near = donors.groupBy(F.col("query_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("order"), "transaction_id", "category", "source"))).alias("neighbours"))
-    gates = F.create_map(*[F.lit(x) for pair in (("rag_direct_threshold", th.rag_direct), ("rag_similarity_floor", th.similarity_floor), ("confidence_threshold", th.confidence)) for x in pair])
-    out = labels.join(near, "id", "left")
-    return out.select("id", F.to_json(F.struct("stage", F.col("confidence").alias("final_confidence"), "neighbours", gates.alias("thresholds"))).alias("reasoning"))
+#: The stages in order, as the trace names them.
+STAGES = ("person", "keyword", "learned", "rag_direct", "prompted", "plain")
+#: What a trace may say besides, by the names under which it is read again; absent ones are left out.
+TRACED = (
+    "embed_text", "best_similarity", "vote_category", "vote_share", "trusted_weight", "agreement_factor", "margin_factor", "caps_applied",
+    "counterparty_prior_category", "counterparty_prior_probability", "counterparty_prior_n", "counterparty_prior_effect",
+    "llm_reasoning", "raw_confidence", "dampening_factor", "calibration_bucket", "llm_model", "prompt_tokens", "prompt_truncated", "verbalized_confidence",
+    "logprob_confidence", "majority_category", "majority_count", "matched_rule",
+)
+
+
+def skip_reasons(stage: Column, best: Column, nearest_source: Column, th: Thresholds = Thresholds()) -> Column:
+    """Why each stage before the one that decided fell through."""
+    far = F.concat(F.lit("rag_direct: nearest "), F.round(best, 4).cast("string"), F.lit(f" is below {th.rag_direct}"))
+    direct = F.when(best.isNull(), F.lit(f"rag_direct: no neighbour of {th.similarity_floor} or more")).when(best < th.rag_direct, far)
+    direct = direct.when(nearest_source.isNull(), F.lit("rag_direct: no labelled neighbour")).otherwise(F.concat(F.lit("rag_direct: donor source '"), nearest_source, F.lit("' is not trusted")))
+    why = [F.lit("person: no match"), F.lit("keyword: no match"), F.lit("learned: no rule"), direct, F.lit("prompted: no answer with examples")]
+    return F.slice(F.array(*why), F.lit(1), F.greatest(F.array_position(F.lit(list(STAGES)), stage).cast("int") - 1, F.lit(0)))
+
+
+def reasoning_trace(labels: DataFrame, facts: DataFrame, donors: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    """Why each label is what it is, as one JSON document.
+
+    ``labels`` has id, stage, confidence; ``facts`` at most one row an id, with any of
+    the columns in ``TRACED``; ``donors`` are the deduplicated neighbours. A trace holds
+    stage, final_confidence, the thresholds that it was held against, the reasons why
+    earlier stages fell through, the neighbours by distance, and the facts.
+    """
+    near = F.struct((-F.col("similarity")).alias("order"), "transaction_id", "raw_description", "category", "source", F.round(1 - F.col("similarity"), 4).alias("distance"), F.round("similarity", 4).alias("similarity"))
+    lists = donors.groupBy(F.col("query_id").alias("id")).agg(F.array_sort(F.collect_list(near)).alias("neighbours"))
+    lists = lists.withColumn("_nearest", F.col("neighbours")[0]["source"]).withColumn("neighbours", F.transform("neighbours", lambda x: x.dropFields("order")))
+    known = [c for c in TRACED if c in facts.columns]
+    gates = {
+        "confidence_threshold": th.confidence, "rag_direct_threshold": th.rag_direct, "rag_similarity_floor": th.similarity_floor, "rag_margin_safe": th.margin_safe,
+        "rag_agreement_exponent": th.agreement_exponent, "rag_machine_donor_weight": th.machine_weight,
+    }
+    out = labels.select("id", "stage", "confidence").join(facts.select("id", *known), "id", "left").join(lists, "id", "left")
+    best = F.col("best_similarity") if "best_similarity" in known else F.lit(None).cast("double")
+    trace = F.struct(
+        "stage", F.col("confidence").alias("final_confidence"), F.create_map(*[F.lit(x) for pair in gates.items() for x in pair]).alias("thresholds"),
+        skip_reasons(F.col("stage"), best, F.col("_nearest"), th).alias("skips"), *known, F.coalesce("neighbours", F.array().cast(lists.schema["neighbours"].dataType)).alias("neighbours"),
+    )
+    return out.select("id", F.to_json(trace).alias("reasoning"))
 
 
 def normalize_category(labels: DataFrame, names: list[str]) -> DataFrame:

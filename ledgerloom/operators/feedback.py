@@ -49,21 +49,35 @@ def merge_feedback(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def similar_candidates(rows: DataFrame, donors: DataFrame, similar: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """Machine labels near a corrected row, by vector or by counterparty, those that differ first.
+    """Machine labels near a corrected row by vector, those that differ first.
 
-    ``donors`` are rows with their label; ``similar`` has query_id, transaction_id, similarity.
+    ``donors`` are rows with their label; ``similar`` has query_id, transaction_id,
+    similarity, a bounded number a query. Rows of the same counterparty are linked by
+    :func:`similar_groups`, not in pairs.
     """
     near = similar.where(F.col("similarity") >= th.apply_similar_floor).select(F.col("query_id").alias("donor_id"), F.col("transaction_id").alias("id"), "similarity")
-    d = donors.select(F.col("id").alias("donor_id"), "ledger_id", "counterparty_key", F.col("category").alias("_c"), F.col("subcategory").alias("_s"))
-    same = d.where("counterparty_key is not null").join(rows.select("id", "ledger_id", "counterparty_key"), ["ledger_id", "counterparty_key"]).where("id <> donor_id")
-    both = near.unionByName(same.select("donor_id", "id", F.lit(None).cast("double").alias("similarity"))).groupBy("donor_id", "id").agg(F.max("similarity").alias("similarity"))
+    d = donors.select(F.col("id").alias("donor_id"), F.col("category").alias("_c"), F.col("subcategory").alias("_s"))
     target = rows.where(F.col("source").isin(*MACHINE)).select("id", "category", "subcategory", "source")
-    out = both.join(target, "id").join(d.select("donor_id", "_c", "_s"), "donor_id")
+    out = near.join(d, "donor_id").join(target, "id")
     differs = ~(F.col("category").eqNullSafe(F.col("_c")) & F.col("subcategory").eqNullSafe(F.col("_s")))
-    place = Window.partitionBy("donor_id").orderBy(differs.desc(), F.coalesce("similarity", F.lit(0.0)).desc(), "id")
+    place = Window.partitionBy("donor_id").orderBy(differs.desc(), F.col("similarity").desc(), "id")
     return out.select("donor_id", "id", "category", "source", "similarity", differs.alias("differs"), F.row_number().over(place).alias("rank"))
 
 
+def similar_groups(rows: DataFrame, donors: DataFrame) -> DataFrame:
+    """Corrected rows and machine labels of the same counterparty, one row each: the group's keys, id, part, label.
+
+    Every donor of a group and every candidate in it are a link; groups that lack either
+    stay out. No pair is listed, so a busy counterparty costs as many rows as it has.
+    """
+    keys = ["ledger_id", "counterparty_key"]
+    label = [*keys, "id", "category", "subcategory"]
+    part = lambda df, name: df.where("counterparty_key is not null").select(*label, F.lit(name).alias("part"))
+    both = part(donors, "donor").unionByName(part(rows.where(F.col("source").isin(*MACHINE)), "candidate"))
+    full = both.groupBy(*keys).agg(F.countDistinct("part").alias("_n")).where("_n = 2").select(*keys)
+    return both.join(full, keys, "left_semi")
+
+
 def apply_to_similar(anns: DataFrame, picks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Copy donors' labels to the machine labels picked for them: annotations after, and feedback events.
 

@@ -126,8 +126,8 @@ def match_keyword_rules(txns: DataFrame) -> DataFrame:
     texts = slim.select(F.col("_desc").alias("_d"), F.col("note").alias("_n")).distinct()
     every = [p for r in KEYWORD_RULES for p in r[0]] + [p for r in DISAMBIGUATION_RULES for p in r[0]]
     hay = F.lower(F.concat_ws(" ", "_d", "_n"))
-    found = texts.where(hay.rlike(_words(every))).withColumn("rule", rule_number(F.col("_d"), F.col("_n"))).persist()  # one row a distinct text
-    labels = found.join(F.broadcast(rule_table(txns.sparkSession)), "rule").drop("rule")
+    found = texts.where(hay.rlike(_words(every))).withColumn("rule", rule_number(F.col("_d"), F.col("_n")))  # one row a distinct text
+    labels = found.join(F.broadcast(rule_table(txns.sparkSession)), "rule", "left").drop("rule")  # a left join reads the rule's number once
     return slim.join(labels, (F.col("_desc") == F.col("_d")) & F.col("note").eqNullSafe(F.col("_n")), "left").drop("_desc", "_d", "_n")
 
 
@@ -136,8 +136,9 @@ def match_people(txns: DataFrame, people: DataFrame) -> DataFrame:
 
     A token with "@" is a handle: equal to the row's, or inside the description of a row
     without one. Other tokens begin a word of the counterparty key, or of the description
-    where there is no key. Handles and word prefixes are joined by equality; only rows
-    without handle or key meet the people of their own ledger.
+    where there is no key. Handles and word prefixes are joined by equality. Rows
+    without a handle of their own, but with an "@" in the description, meet the handles
+    of their ledger, and rows without a key its names.
     """
     tokens = people.select("ledger_id", F.col("id").alias("person_id"), "name", "relationship", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("upi")))).alias("token")).where("length(token) >= 3")
     at = F.col("token").contains("@")
@@ -146,12 +147,11 @@ def match_people(txns: DataFrame, people: DataFrame) -> DataFrame:
     words = rows.where("key is not null").select("ledger_id", "id", F.explode(F.array_distinct(F.split("key", " "))).alias("word")).where("length(word) >= 3")
     prefixes = words.select("ledger_id", "id", F.explode(F.transform(F.sequence(F.lit(3), F.length("word")), lambda n: F.substr("word", F.lit(1), n))).alias("token"))
     by_word = prefixes.join(tokens.where(~at), ["ledger_id", "token"]).select("ledger_id", "id", "person_id", "name", "relationship")
-    rest = rows.where("vpa is null or key is null").join(tokens, "ledger_id")
-    inside = F.when(at, F.col("vpa").isNull() & F.col("desc").contains(F.col("token"))).otherwise(
-        F.col("key").isNull() & F.expr(r"desc rlike concat('(?U)\\b', regexp_replace(token, '([^a-z0-9_ ])', '\\\\$1'))")
-    )
-    by_text = rest.where(inside).select("ledger_id", "id", "person_id", "name", "relationship")
-    found = by_vpa.union(by_word).union(by_text)
+    named = lambda left, right, test: left.join(right, "ledger_id").where(test).select("ledger_id", "id", "person_id", "name", "relationship")
+    handle_inside = named(rows.where("vpa is null and contains(desc, '@')"), tokens.where(at), F.col("desc").contains(F.col("token")))
+    begins = F.expr(r"desc rlike concat('(?U)\\b', regexp_replace(token, '([^a-z0-9_ ])', '\\\\$1'))")
+    name_inside = named(rows.where("key is null"), tokens.where(~at), begins)
+    found = by_vpa.union(by_word).union(handle_inside).union(name_inside)
     first = found.groupBy("id").agg(F.min_by(F.struct("person_id", "name", "relationship"), F.struct("name", "person_id")).alias("p"))
     return first.select("id", "p.person_id", "p.name", S.relationship_subcategory(F.col("p.relationship")).alias("subcategory"))
 

@@ -10,27 +10,29 @@ from pyspark.sql import functions as F
 from ledgerloom.thresholds import TRUSTED, Thresholds
 
 #: Queries and donors that one task multiplies; larger ledgers are cut into a grid of such blocks.
-BLOCK = 4096
+BLOCK = 2048
 
 
 def knn(queries: DataFrame, donors: DataFrame, k: int = 5, causal: bool = False, block: int = BLOCK) -> DataFrame:
     """The ``k`` nearest donors of each query in its ledger by cosine, not itself.
 
-    Both have ledger_id, id and embedding, and with ``causal`` a day, of which only
-    strictly earlier donors count. A ledger is cut into blocks of queries and of
+    Both have ledger_id, id and embedding, and where both have model_version, only
+    vectors of one model meet. With ``causal`` both have a day, and only strictly earlier
+    donors count. The rows of a ledger and model are cut into blocks of queries and of
     donors; each pair of blocks is one matrix product that leaves at most ``k`` rows a
     query, and the best of these are ranked. Similarities are rounded to six places
     before ranking, ties go to the smaller id. Vectors of length zero have similarity 0.
     """
     fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both may come from one table
     queries, donors = fresh(queries), fresh(donors)
-    parts = lambda df, name: df.groupBy("ledger_id").agg(F.ceil(F.count("*") / block).alias(name))
-    sizes = parts(queries, "nq").join(parts(donors, "nd"), "ledger_id")
+    space = ["ledger_id", *(["model_version"] if "model_version" in queries.columns and "model_version" in donors.columns else [])]
+    parts = lambda df, name: df.groupBy(*space).agg(F.ceil(F.count("*") / block).alias(name))
+    sizes = parts(queries, "nq").join(parts(donors, "nd"), space)
     fields = ["id", "embedding", *(["day"] if causal else [])]
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    q = queries.join(sizes, "ledger_id").select("ledger_id", *fields, place("nq").alias("qb"), spread("nd").alias("db"))
-    d = donors.join(sizes, "ledger_id").select("ledger_id", *fields, place("nd").alias("db"), spread("nq").alias("qb"))
+    q = queries.join(sizes, space).select(*space, *fields, place("nq").alias("qb"), spread("nd").alias("db"))
+    d = donors.join(sizes, space).select(*space, *fields, place("nd").alias("db"), spread("nq").alias("qb"))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -42,12 +44,15 @@ def knn(queries: DataFrame, donors: DataFrame, k: int = 5, causal: bool = False,
         if causal:
             bad |= right["day"].to_numpy()[None, :] >= left["day"].to_numpy()[:, None]
         sims[bad] = -np.inf
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(left)), order.shape[1])
-        found = pd.DataFrame({"ledger_id": left["ledger_id"].to_numpy()[row], "query_id": left["id"].to_numpy()[row], "transaction_id": right["id"].to_numpy()[order.ravel()], "similarity": sims[row, order.ravel()]})
-        return found[np.isfinite(found.similarity)]
-
-    by = ["ledger_id", "qb", "db"]
+        keep = np.isfinite(sims)
+        if sims.shape[1] > k:  # the k-th best, and of those equal to it the first by id
+            least = np.partition(sims, -k, axis=1)[:, -k, None]
+            above, equal = sims > least, (sims == least) & keep
+            keep = above | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True)))
+        row, col = np.nonzero(keep)
+        return pd.DataFrame({"ledger_id": left["ledger_id"].to_numpy()[row], "query_id": left["id"].to_numpy()[row], "transaction_id": right["id"].to_numpy()[col], "similarity": sims[row, col]})
+
+    by = [*space, "qb", "db"]
     near = q.groupBy(*by).cogroup(d.groupBy(*by)).applyInPandas(nearest, "ledger_id long, query_id string, transaction_id string, similarity double")
     rank = F.row_number().over(Window.partitionBy("ledger_id", "query_id").orderBy(F.col("similarity").desc(), "transaction_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerloom.fixtures import duck
+from ledgerloom.fixtures import duck, shared_root
 from ledgerloom.operators import evaluate as E
+from ledgerloom.operators import rules as R
 from ledgerloom.plans import label_plans as L
 from ledgerloom.plans.base import ROWS, Ledger
-from ledgerloom.plans.merge_plans import _records
+from ledgerloom.plans.merge_plans import _REC, _records
+from ledgerloom.plans.scalar_plans import _STRIP
 from ledgerloom.registry import query
 from ledgerloom.sources import tables as T
 from ledgerloom.streaming import jobs as J
 
 
 def _folder(spark) -> str:
-    """A new folder in the cluster's shared folder; one of this machine only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/local-{os.getpid()}"
-    return f"{root.rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    """A new folder in the shared folder."""
+    return f"{shared_root(spark)}/ledger-{uuid.uuid4().hex}"
 
 
 @query(duck("SELECT doc_id, ledger_id, row_no, array_to_string(cells, '|') AS cells FROM statement_rows"))
@@ -68,19 +68,19 @@ def export_golden(spark, sf_dir):
     return T.read_golden(spark, path)
 
 
-@query()
+@query(duck("SELECT transaction_id, category, correct FROM rec WHERE NOT correct", r=ROWS, rec=_REC))
 def write_eval_run(spark, sf_dir):
     path, records = f"{_folder(spark)}/run", _records(Ledger(spark, sf_dir))
     T.write_eval_run(records, E.eval_metrics(records), path)
-    return spark.read.json(f"{path}/failures").select("transaction_id", "category", "correct")
+    return spark.read.schema("transaction_id string, category string, correct boolean").json(f"{path}/failures")
 
 
-@query()
+@query(duck(f"SELECT id AS transaction_id, 'm1' AS model_version, CAST(length(lower(trim(concat_ws(' ', debit_credit, nullif({_STRIP}, ''), nullif(note, ''))))) AS DOUBLE) AS length FROM r WHERE annotation_id IS NOT NULL AND id NOT IN (SELECT transaction_id FROM vectors)", r=ROWS))
 def embed_pending(spark, sf_dir):
     t = Ledger(spark, sf_dir)
     have = t.vectors.select("transaction_id", F.lit("m1").alias("model_version"))
     made = T.embed_pending(t.rows, have, "m1", lambda texts: [[float(len(x)), float(x.count("/"))] for x in texts])
-    return made.select("transaction_id", "model_version", F.get("embedding", F.lit(0)).alias("length"))
+    return made.where("error is null").select("transaction_id", "model_version", F.get("embedding", F.lit(0)).cast("double").alias("length"))
 
 
 def _source(spark, df, folder):
@@ -89,13 +89,16 @@ def _source(spark, df, folder):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
 
 
-@query(duck("SELECT id, category FROM kw WHERE category IS NOT NULL", h=L._HAY, kw=L._KEYWORD))
+@query(duck("""SELECT t.id, CASE WHEN mp.id IS NOT NULL THEN 'person' WHEN kw.category IS NOT NULL THEN 'keyword' ELSE 'learned' END AS stage, CASE WHEN mp.id IS NOT NULL THEN 'Transfers' ELSE coalesce(kw.category, lr.category) END AS category
+FROM transactions t LEFT JOIN mp ON mp.id = t.id LEFT JOIN kw ON kw.id = t.id LEFT JOIN lr ON lr.ledger_id = t.ledger_id AND lr.counterparty_key = t.counterparty_key WHERE coalesce(mp.id, kw.category, lr.category) IS NOT NULL""", **L._LEARNED, h=L._HAY, kw=L._KEYWORD, mp=L._PEOPLE))
 def stream_annotate(spark, sf_dir):
-    folder = _folder(spark)
-    rows = Ledger(spark, sf_dir).transactions.select("id", F.col("txn_date").cast("timestamp").alias("uploaded_at"), "raw_description", "note")
+    folder, t = _folder(spark), Ledger(spark, sf_dir)
+    at = lambda day: F.lit(day).cast("timestamp").alias("uploaded_at")
+    rows = t.transactions.select("id", "ledger_id", F.sha2("statement_id", 256).alias("file_sha256"), "raw_description", "vpa", "note", "counterparty_key")
     again = rows.where("substring(id, 12, 1) = '3'")
-    J.stream_annotate(_source(spark, rows.withColumn("uploaded_at", F.lit("2024-01-01").cast("timestamp")).union(again.withColumn("uploaded_at", F.lit("2024-01-02").cast("timestamp"))), folder), f"{folder}/out", f"{folder}/state")
-    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out").select("id", "category")
+    stream = _source(spark, rows.select("*", at("2024-01-01")).union(again.select("*", at("2024-01-02"))), folder)
+    J.stream_annotate(stream, f"{folder}/out", f"{folder}/state", t.people, R.learned_rules(t.rows))
+    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out").select("id", "stage", "category")
 
 
 @query(duck("SELECT * FROM fc", fc=L._FEED))
@@ -109,5 +112,6 @@ def stream_feedback(spark, sf_dir):
 def stream_monthly_cash(spark, sf_dir):
     folder = _folder(spark)
     rows = Ledger(spark, sf_dir).transactions.select("ledger_id", F.col("txn_date").cast("timestamp").alias("at"), "debit_credit", "amount")
-    J.stream_monthly_cash(_source(spark, rows, folder), f"{folder}/out", f"{folder}/state", "4000 days")
-    return J.monthly(J.latest(spark, f"{folder}/out", ["ledger_id", "day", "debit_credit"]))
+    # rows arrive in no order, so that many are late; these are summed in batch
+    J.stream_monthly_cash(_source(spark, rows, folder), f"{folder}/out", f"{folder}/state", 300)
+    return J.monthly(J.daily_cash(spark, f"{folder}/out"))

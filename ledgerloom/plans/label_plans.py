@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from ledgerloom.fixtures import duck
+from ledgerloom.fixtures import checkpointed, duck
+from ledgerloom.functions import scalars as S
 from ledgerloom.operators import cascade as C
 from ledgerloom.operators import feedback as FB
 from ledgerloom.operators import rules as R
@@ -17,7 +18,7 @@ from ledgerloom.thresholds import Thresholds
 
 CATEGORIES = ["Entertainment", "Food & Dining", "Health", "Income", "Investments", "Miscellaneous", "Self Transfers", "Subscriptions", "Transfers", "Transport"]
 #: The vectors given are far apart, so the gates are low here.
-LOW = Thresholds(similarity_floor=0.30, rag_direct=0.40, apply_similar_floor=0.45)
+LOW = Thresholds(similarity_floor=0.30, rag_direct=0.30, apply_similar_floor=0.30)
 #: Verified labels are the manual ones; few ledgers have many, so three of them suffice as by default.
 TH = Thresholds()
 
@@ -128,11 +129,11 @@ def person_history_gate(spark, sf_dir):
 
 # -- neighbours -----------------------------------------------------------------------------
 
-_VEC = "SELECT transaction_id AS id, vec_id % 3 AS ledger_id, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM vectors"
+_VEC = "SELECT x.transaction_id AS id, x.vec_id % 3 AS ledger_id, (x.vec_id // 7) % 2 AS model, x.vec_id, list_transform(x.embedding, lambda x: CAST(x AS DOUBLE)) AS e, t.txn_date AS day FROM vectors x LEFT JOIN transactions t ON t.id = x.transaction_id"
 _KNN = {
     "r": ROWS, "v": _VEC,
     "nn": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ledger_id, query_id ORDER BY similarity DESC, transaction_id) AS rank FROM (
-      SELECT q.ledger_id, q.id AS query_id, d.id AS transaction_id, round(list_cosine_similarity(q.e, d.e), 6) AS similarity FROM v q JOIN v d ON d.ledger_id = q.ledger_id AND d.vec_id % 5 <> 0 WHERE q.vec_id % 5 = 0)) WHERE rank <= 5""",
+      SELECT q.ledger_id, q.id AS query_id, d.id AS transaction_id, round(list_cosine_similarity(q.e, d.e), 6) AS similarity FROM v q JOIN v d ON d.ledger_id = q.ledger_id AND d.model = q.model AND d.id <> q.id WHERE q.vec_id % 20 = 0)) WHERE rank <= 5""",
     "ng": "SELECT *, max(similarity) OVER (PARTITION BY ledger_id, query_id) AS best FROM nn QUALIFY best >= 0.30",
     "dl": "SELECT ng.*, category, subcategory, merchant, source, vpa, raw_description FROM ng JOIN r ON r.id = ng.transaction_id AND r.annotation_id IS NOT NULL",
     "dd": "SELECT * FROM dl QUALIFY row_number() OVER (PARTITION BY ledger_id, query_id, CASE WHEN vpa <> '' THEN 'vpa:' || lower(vpa) WHEN trim(merchant) <> '' THEN 'merchant:' || lower(trim(merchant)) ELSE 'desc:' || lower(trim(raw_description)) END ORDER BY similarity DESC, transaction_id) = 1",
@@ -140,18 +141,33 @@ _KNN = {
     "ag": "SELECT ledger_id, query_id, CASE WHEN avg((category = top)::INT) >= 1 THEN 1.0 ELSE pow(avg((category = top)::INT), 0.3) END::DOUBLE AS agreement FROM tp GROUP BY ALL",
     "mg": """SELECT ledger_id, query_id, CASE WHEN g IS NULL OR g >= 0.08 THEN 1.0 ELSE 0.85 + 0.15 * (g / 0.08) END::DOUBLE AS margin FROM (SELECT ledger_id, query_id, max(similarity) - max(similarity) FILTER (WHERE category <> top) AS g FROM tp GROUP BY ALL)""",
 }
+#: The same with donors of strictly earlier days alone.
+_CAUSAL = {**_KNN, "nn": _KNN["nn"].replace("d.id <> q.id WHERE", "d.id <> q.id AND d.day < q.day WHERE")}
+
+
+def _near(t: Ledger, causal: bool = False, left=None):
+    """Neighbours in all vectors of the same ledger and model: of every vector whose number 20 divides, or of the rows ``left``."""
+    model = (F.floor(F.col("vec_id") / 7) % 2).alias("model_version")
+    v = t.vectors.select(F.col("transaction_id").alias("id"), (F.col("vec_id") % 3).alias("ledger_id"), model, "vec_id", "embedding")
+    if causal:
+        v = v.join(t.transactions.select("id", F.col("txn_date").alias("day")), "id")
+    asked = v.where("vec_id % 20 = 0") if left is None else v.join(left.select("id"), "id", "left_semi")
+    return checkpointed(V.knn(asked.drop("vec_id"), v.drop("vec_id"), causal=causal))
 
 
 def _knn(spark, sf_dir):
     t = Ledger(spark, sf_dir)
-    v = t.vectors.select(F.col("transaction_id").alias("id"), (F.col("vec_id") % 3).alias("ledger_id"), "vec_id", "embedding")
-    return t, V.knn(v.where("vec_id % 5 = 0").drop("vec_id"), v.where("vec_id % 5 <> 0").drop("vec_id")).persist()
+    return t, _near(t)
+
+
+def _gated(t, near):
+    gated = V.novelty_gate(near, LOW)
+    return gated, checkpointed(V.dedup_donors(V.attach_donor_labels(gated, t.rows)))
 
 
 def _donors(spark, sf_dir):
     t, near = _knn(spark, sf_dir)
-    gated = V.novelty_gate(near, LOW)
-    return t, gated, V.dedup_donors(V.attach_donor_labels(gated, t.rows)).persist()
+    return t, *_gated(t, near)
 
 
 @query(duck("SELECT ledger_id, query_id, transaction_id, similarity, rank FROM nn", **_KNN))
@@ -159,6 +175,11 @@ def knn(spark, sf_dir):
     return _knn(spark, sf_dir)[1]
 
 
+@query(duck("SELECT ledger_id, query_id, transaction_id, similarity, rank FROM nn", **_CAUSAL))
+def knn_causal(spark, sf_dir):
+    return _near(Ledger(spark, sf_dir), causal=True)
+
+
 @query(duck("SELECT ledger_id, query_id, transaction_id, best FROM ng", **_KNN))
 def novelty_gate(spark, sf_dir):
     return _donors(spark, sf_dir)[1].select("ledger_id", "query_id", "transaction_id", "best")
@@ -194,13 +215,19 @@ def margin_factor(spark, sf_dir):
     return V.margin_factor(_donors(spark, sf_dir)[2]).withColumn("margin", F.round("margin", 6))
 
 
-@query(duck("""SELECT ledger_id, query_id, category, transaction_id AS donor_id, CAST(round(CAST(best * agreement * margin AS DECIMAL(28,10)), 4) AS DOUBLE) AS confidence
+_RAG = """SELECT ledger_id, query_id, category, transaction_id AS donor_id, CAST(round(CAST(best * agreement * margin AS DECIMAL(28,10)), 4) AS DOUBLE) AS confidence
 FROM (SELECT * FROM dd QUALIFY row_number() OVER (PARTITION BY ledger_id, query_id ORDER BY similarity DESC, transaction_id) = 1) n JOIN ag USING (ledger_id, query_id) JOIN mg USING (ledger_id, query_id)
-WHERE best >= 0.40 AND source IN ('manual', 'rule', 'imported')""", **_KNN))
+WHERE best >= 0.30 AND source IN ('manual', 'rule', 'imported')"""
+
+
+def _direct(gated, donors):
+    return V.rag_direct(donors, gated.groupBy("ledger_id", "query_id").agg(F.max("best").alias("best")), LOW)
+
+
+@query(duck(_RAG, **_KNN))
 def rag_direct(spark, sf_dir):
     _, gated, donors = _donors(spark, sf_dir)
-    best = gated.groupBy("ledger_id", "query_id").agg(F.max("best").alias("best"))
-    return V.rag_direct(donors, best, LOW).select("ledger_id", "query_id", "category", "donor_id", "confidence")
+    return _direct(gated, donors).select("ledger_id", "query_id", "category", "donor_id", "confidence")
 
 
 @query(duck("""SELECT d.query_id, string_agg(transaction_id, ',' ORDER BY CASE source WHEN 'manual' THEN 0 WHEN 'rule' THEN 1 WHEN 'imported' THEN 2 ELSE 9 END, -similarity, transaction_id) AS examples, any_value(m.category) AS majority, any_value(m.n) AS majority_count
@@ -267,8 +294,8 @@ _FUSED = """SELECT transaction_id, category, CASE WHEN on_ AND pc = category THE
   FROM (SELECT ps.*, pr.category AS pc, probability, coalesce(established, false) AS on_ FROM ps LEFT JOIN pr ON pr.id = ps.transaction_id)"""
 
 
-def _fused(t):
-    prior = R.counterparty_prior(t.rows, CATEGORIES).select(F.col("id").alias("transaction_id"), F.col("category").alias("prior_category"), "probability", "established")
+def _fused(t, prior=None):
+    prior = (R.counterparty_prior(t.rows, CATEGORIES) if prior is None else prior).select(F.col("id").alias("transaction_id"), F.col("category").alias("prior_category"), "probability", "established")
     return V.fuse_prior(_prompted(t).join(prior, "transaction_id", "left"))
 
 
@@ -278,24 +305,39 @@ def fuse_prior(spark, sf_dir):
 
 
 _CASCADE = {
-    **_PRIOR, "vr": _VER, "h": _HAY, "mp": _PEOPLE, "kw": _KEYWORD, "lra": _ASOF, "fc": _FEED, "dp": _DAMP, "ps": _PROMPT, "fu": _FUSED, "pl": _PLAIN,
+    **_PRIOR, **_KNN, "rd": _RAG, "vr": _VER, "h": _HAY, "mp": _PEOPLE, "kw": _KEYWORD, "lra": _ASOF, "fc": _FEED, "dp": _DAMP, "ps": _PROMPT, "fu": _FUSED, "pl": _PLAIN,
     "st": f"""SELECT id, 1 AS o, 'person' AS stage, category, confidence, source FROM ({_GATE}) UNION ALL SELECT id, 2, 'keyword', category, 0.95::DOUBLE, 'rule' FROM kw WHERE category IS NOT NULL
-      UNION ALL SELECT id, 3, 'learned', category, 0.95::DOUBLE, 'learned_rule' FROM lra UNION ALL SELECT transaction_id, 4, 'prompted', category, fused, 'rag_prompted' FROM fu UNION ALL SELECT transaction_id, 5, 'plain', category, dampened, 'llm' FROM pl""",
-    "ca": "SELECT id, stage, category, confidence, source FROM st QUALIFY row_number() OVER (PARTITION BY id ORDER BY o) = 1",
+      UNION ALL SELECT id, 3, 'learned', category, 0.95::DOUBLE, 'learned_rule' FROM lra UNION ALL SELECT query_id, 4, 'rag_direct', category, confidence, 'rag_direct' FROM rd
+      UNION ALL SELECT transaction_id, 5, 'prompted', category, fused, 'rag_prompted' FROM fu UNION ALL SELECT transaction_id, 6, 'plain', category, dampened, 'llm' FROM pl""",
+    "ca": "SELECT st.id, stage, category, confidence, source FROM st JOIN transactions t ON t.id = st.id QUALIFY row_number() OVER (PARTITION BY st.id ORDER BY o) = 1",
 }
+_CASCADE["nn"] = _KNN["nn"].replace(" WHERE q.vec_id % 20 = 0", "")  # here every row that is left asks
+_CASCADE_CAUSAL = _CASCADE | {"nn": _CAUSAL["nn"].replace(" WHERE q.vec_id % 20 = 0", "")}
 
 
-def cascade_labels(t: Ledger):
-    """The cascade over all transactions of the ledger."""
+def cascade_labels(t: Ledger, causal: bool = False):
+    """The cascade over all transactions: rules side by side, then retrieval and answers over what they left."""
     none = F.lit(None).cast("string").alias("subcategory")
-    prior = R.counterparty_prior(t.rows, CATEGORIES)
-    person = C.person_history_gate(R.match_people(t.transactions, t.people), prior)
-    keyword = R.match_keyword_rules(t.transactions).where("label is not null").select("id", "label.category", "label.subcategory", "label.confidence", "label.source")
-    learned = R.learned_rule_asof(t.rows, CATEGORIES).select("id", "category", none, F.lit(TH.learned_confidence).alias("confidence"), F.lit("learned_rule").alias("source"))
-    prompted = _fused(t).select(F.col("transaction_id").alias("id"), "category", none, F.col("fused").alias("confidence"), F.lit("rag_prompted").alias("source"))
-    plain = V.score_plain(t.predictions.where("stage = 'llm'"), _dampening(t)).select(F.col("transaction_id").alias("id"), "category", none, F.col("dampened").alias("confidence"), F.lit("llm").alias("source"))
-    stages = [("person", person), ("keyword", keyword), ("learned", learned), ("prompted", prompted), ("plain", plain)]
-    return C.annotate_cascade(t.transactions, stages)
+    prior = checkpointed(R.counterparty_prior(t.rows, CATEGORIES))
+
+    def rules(left):
+        person = C.person_history_gate(R.match_people(left, t.people), prior)
+        keyword = R.match_keyword_rules(left).where("label is not null").select("id", "label.category", "label.subcategory", "label.confidence", "label.source")
+        learned = R.learned_rule_asof(t.rows, CATEGORIES).select("id", "category", none, F.lit(TH.learned_confidence).alias("confidence"), F.lit("learned_rule").alias("source"))
+        return C.first_of(left, [("person", person), ("keyword", keyword), ("learned", learned)])
+
+    def retrieved(left):
+        return _direct(*_gated(t, _near(t, causal, left))).withColumnRenamed("query_id", "id")
+
+    def prompted(left):
+        found = _fused(t, prior).join(left.select(F.col("id").alias("transaction_id")), "transaction_id", "left_semi")
+        return found.select(F.col("transaction_id").alias("id"), "category", none, F.col("fused").alias("confidence"), F.lit("rag_prompted").alias("source"))
+
+    def plain(left):
+        asked = t.predictions.where("stage = 'llm'").join(left.select(F.col("id").alias("transaction_id")), "transaction_id", "left_semi")
+        return V.score_plain(asked, _dampening(t)).select(F.col("transaction_id").alias("id"), "category", none, F.col("dampened").alias("confidence"), F.lit("llm").alias("source"))
+
+    return C.annotate_cascade(t.transactions, [("rules", rules), ("rag_direct", retrieved), ("prompted", prompted), ("plain", plain)], checkpointed)
 
 
 @query(duck("SELECT * FROM ca", **_CASCADE))
@@ -313,8 +355,22 @@ def run_counts(spark, sf_dir):
 
 @query()
 def reasoning_trace(spark, sf_dir):
-    t, _, donors = _donors(spark, sf_dir)
-    return C.reasoning_trace(t.predictions.select(F.col("transaction_id").alias("id"), "stage", "confidence"), donors)
+    t = Ledger(spark, sf_dir)
+    gated, donors = _gated(t, _near(t, left=t.transactions))
+    prior = checkpointed(R.counterparty_prior(t.rows, CATEGORIES))
+    of = lambda df, *cols: df.select(F.col("query_id").alias("id"), *cols)
+    best = gated.groupBy(F.col("query_id").alias("id")).agg(F.max("best").alias("best_similarity"))
+    facts = t.transactions.select("id", S.embed_text(F.col("debit_credit"), F.col("raw_description"), F.col("note")).alias("embed_text")).join(best, "id", "left")
+    for part in (
+        of(V.weighted_vote(donors), F.col("vote").alias("vote_category"), "vote_share", "trusted_weight"),
+        of(V.agreement_factor(donors), F.round("agreement", 4).alias("agreement_factor")),
+        of(V.margin_factor(donors), F.round("margin", 4).alias("margin_factor")),
+        prior.select("id", F.col("category").alias("counterparty_prior_category"), F.col("probability").alias("counterparty_prior_probability"), F.col("n_prior").alias("counterparty_prior_n")),
+        _fused(t, prior).select(F.col("transaction_id").alias("id"), F.col("effect").alias("counterparty_prior_effect"), F.array_compact(F.array("cap")).alias("caps_applied")),
+        t.predictions.select(F.col("transaction_id").alias("id"), F.col("confidence").alias("raw_confidence"), F.concat_ws("/", "stage", "category").alias("calibration_bucket")),
+    ):
+        facts = facts.join(part, "id", "left")
+    return C.reasoning_trace(cascade_labels(t), facts, donors, LOW)
 
 
 @query()

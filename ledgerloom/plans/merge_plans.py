@@ -43,25 +43,22 @@ def merge_feedback(spark, sf_dir):
     return FB.merge_feedback(counts, counts)
 
 
-_SIM = {
-    **L._KNN,
-    "dn": "SELECT id, ledger_id, counterparty_key, category, subcategory FROM r WHERE source = 'manual' AND k % 50 = 0",
-    "cs": """SELECT donor_id, id, max(similarity) AS similarity FROM (SELECT d.id AS donor_id, x.id, CAST(NULL AS DOUBLE) AS similarity FROM dn d JOIN transactions x ON x.ledger_id = d.ledger_id AND x.counterparty_key = d.counterparty_key AND x.id <> d.id
-      UNION ALL SELECT query_id, transaction_id, similarity FROM nn WHERE similarity >= 0.45) GROUP BY ALL""",
-}
+_SIM = {**L._KNN, "dn": "SELECT id, ledger_id, counterparty_key, category, subcategory FROM r WHERE source = 'manual'", "cs": "SELECT query_id AS donor_id, transaction_id AS id, similarity FROM nn WHERE similarity >= 0.30"}
 
 
-def _similar(spark, sf_dir):
-    t, near = L._knn(spark, sf_dir)
-    donors = t.rows.where("source = 'manual' and k % 50 = 0")
-    return t, FB.similar_candidates(t.rows, donors, near, L.LOW)
-
-
-@query(duck("""SELECT donor_id, id, category, source, similarity, differs, row_number() OVER (PARTITION BY donor_id ORDER BY differs DESC, coalesce(similarity, 0) DESC, id) AS rank FROM (
+@query(duck("""SELECT donor_id, id, category, source, similarity, differs, row_number() OVER (PARTITION BY donor_id ORDER BY differs DESC, similarity DESC, id) AS rank FROM (
   SELECT c.donor_id, c.id, r.category, r.source, similarity, NOT (r.category IS NOT DISTINCT FROM d.category AND r.subcategory IS NOT DISTINCT FROM d.subcategory) AS differs
   FROM cs c JOIN r ON r.id = c.id AND r.source IN ('llm', 'rag_prompted', 'rag_direct', 'learned_rule') JOIN dn d ON d.id = c.donor_id)""", **_SIM))
 def similar_candidates(spark, sf_dir):
-    return _similar(spark, sf_dir)[1]
+    t, near = L._knn(spark, sf_dir)
+    return FB.similar_candidates(t.rows, t.rows.where("source = 'manual'"), near, L.LOW)
+
+
+@query(duck("""SELECT ledger_id, counterparty_key, id, category, subcategory, part FROM (SELECT *, CASE WHEN source = 'manual' THEN 'donor' WHEN source IN ('llm', 'rag_prompted', 'rag_direct', 'learned_rule') THEN 'candidate' END AS part FROM r WHERE counterparty_key IS NOT NULL)
+WHERE part IS NOT NULL QUALIFY count(DISTINCT part) OVER (PARTITION BY ledger_id, counterparty_key) = 2""", r=ROWS))
+def similar_groups(spark, sf_dir):
+    rows = Ledger(spark, sf_dir).rows
+    return FB.similar_groups(rows, rows.where("source = 'manual'"))
 
 
 @query(duck("""SELECT a.id, CASE WHEN m.id IS NULL THEN a.category ELSE dc END AS category, CASE WHEN m.id IS NULL THEN a.source ELSE 'manual' END AS source, CASE WHEN m.id IS NULL THEN a.confidence ELSE 1.0 END AS confidence
@@ -221,7 +218,8 @@ def label_stability(spark, sf_dir):
     return E.label_stability(runs)
 
 
-@query()
+@query(duck("""SELECT r.id AS transaction_id, r.category AS gold, ca.category, coalesce(ca.confidence, 0) AS confidence, ca.stage, coalesce(ca.category = r.category, false) AS correct
+FROM r LEFT JOIN ca ON ca.id = r.id WHERE r.source = 'manual'""", **L._CASCADE_CAUSAL))
 def causal_replay(spark, sf_dir):
     t = Ledger(spark, sf_dir)
-    return E.causal_replay(t.rows.where("source = 'manual'"), L.cascade_labels(t))
+    return E.causal_replay(t.rows.where("source = 'manual'"), L.cascade_labels(t, causal=True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.fixtures import duck
+from ledgerloom.fixtures import checkpointed, duck
 from ledgerloom.operators import statements as ST
 from ledgerloom.plans.base import Ledger
 from ledgerloom.registry import query
@@ -31,11 +31,12 @@ def _carried(t):
 
 
 def _entries(t):
-    return ST.merge_continuations(ST.classify_rows(_carried(t)))
+    # the parsed cells are stored: what follows reads each several times
+    return ST.merge_continuations(checkpointed(ST.classify_rows(_carried(t))))
 
 
 def _resolved(t):
-    return ST.resolve_variant(_entries(t).persist())
+    return ST.resolve_variant(_entries(t))
 
 
 @query(duck("SELECT statement_id AS doc_id, 0 AS date, 1 AS description, CASE WHEN n % 7 = 0 THEN 3 ELSE 2 END AS debit, CASE WHEN n % 7 = 0 THEN 2 ELSE 3 END AS credit, 4 AS balance FROM stmt_no"))
@@ -57,7 +58,7 @@ def classify_rows(spark, sf_dir):
 
 @query(duck("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS BIGINT) AS seq, description || CASE WHEN seq % 4 = 1 THEN ' carried on' ELSE '' END AS description FROM en", en=_ENTRIES))
 def merge_continuations(spark, sf_dir):
-    rows = ST.classify_rows(_carried(Ledger(spark, sf_dir)))
+    rows = checkpointed(ST.classify_rows(_carried(Ledger(spark, sf_dir))))
     more = rows.where("row_no % 4 = 1").select("doc_id", "ledger_id", "table_no", (F.col("row_no") + 0.5).alias("row_no"), F.lit("more").alias("kind"), F.lit("carried on").alias("description"))
     both = rows.withColumn("row_no", F.col("row_no").cast("double")).unionByName(more.withColumn("row_no", F.col("row_no").cast("double")), allowMissingColumns=True)
     return ST.merge_continuations(both).select("doc_id", "seq", "description")
@@ -109,13 +110,13 @@ _PARSED = {
 
 @query(duck("SELECT doc_id, description, place AS seq, CAST(amount AS DOUBLE) AS amount FROM co", **_PARSED))
 def chain_order(spark, sf_dir):
-    return ST.chain_order(_entries(Ledger(spark, sf_dir)).persist()).select("doc_id", "description", "seq", F.col("amount").cast("double").alias("amount"))
+    return ST.chain_order(_entries(Ledger(spark, sf_dir))).select("doc_id", "description", "seq", F.col("amount").cast("double").alias("amount"))
 
 
 @query(duck("""SELECT doc_id, CAST(arg_min(balance + CASE direction WHEN 'debit' THEN amount ELSE -amount END, place) AS DOUBLE) AS opening, CAST(CASE WHEN any_value(n) % 2 = 0 THEN 1.5 ELSE arg_max(balance, place) END AS DOUBLE) AS closing, count(*) AS transactions FROM co GROUP BY doc_id""", **_PARSED))
 def split_balance_artifacts(spark, sf_dir):
     t = Ledger(spark, sf_dir)
-    ordered = ST.chain_order(_entries(t).persist()).withColumnRenamed("description", "raw_description")
+    ordered = ST.chain_order(_entries(t)).withColumnRenamed("description", "raw_description")
     even = t.stmt_no.where("n % 2 = 0").select(F.col("statement_id").alias("doc_id"), F.lit(10**6).cast("long").alias("seq"), F.lit("Closing Balance").alias("raw_description"), F.lit(1.5).cast("decimal(18,2)").alias("balance"))
     out = ST.split_balance_artifacts(ordered.unionByName(even, allowMissingColumns=True))
     return out.select("doc_id", F.col("opening_balance").cast("double").alias("opening"), F.col("closing_balance").cast("double").alias("closing"), "transactions")

@@ -28,8 +28,13 @@ def dedup_statement_files(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def append_ledger(existing: DataFrame, new: DataFrame, path: str | None = None) -> DataFrame:
-    """New transactions that are not there yet, with their counterparty key; appended by month below ``path`` if given."""
-    fresh = new.join(existing.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    """New transactions that are not there yet, with their counterparty key; appended by month below ``path`` if given.
+
+    Of new rows with one id the earliest by date stays, of equal dates the one of the smallest hash.
+    """
+    fresh = new.join(existing.select("id"), "id", "left_anti")
+    place = Window.partitionBy("id").orderBy("txn_date", F.xxhash64(*new.columns))
+    fresh = fresh.withColumn("_n", F.row_number().over(place)).where("_n = 1").drop("_n")
     out = fresh.withColumn("counterparty_key", S.counterparty_key(F.col("raw_description"))).withColumn("month", S.month_of(F.col("txn_date")))
     if path:
         out.repartition("month").write.partitionBy("month").mode("append").parquet(path)
@@ -76,7 +81,9 @@ def write_eval_run(records: DataFrame, metrics: DataFrame, path: str) -> None:
 def embed_pending(rows: DataFrame, vectors: DataFrame, model: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 32, redo: bool = False) -> DataFrame:
     """Vectors of labelled rows that this model has not seen, made by ``embed`` in batches.
 
-    A batch that fails is left out and is pending again next time.
+    Rows of a batch that fails have no embedding but the failure's text in ``error``, so
+    that they can be counted; they stay pending. Returns transaction_id, model_version,
+    embedding, error.
     """
     todo = rows.where("annotation_id is not null")
     if not redo:
@@ -88,9 +95,14 @@ def embed_pending(rows: DataFrame, vectors: DataFrame, model: str, embed: Callab
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
                 try:
-                    made = embed(part["text"].tolist())
-                except Exception:  # noqa: BLE001  the service's failure, not ours
-                    continue
-                yield pd.DataFrame({"transaction_id": part["id"], "model_version": model, "embedding": made})
+                    made, error = embed(part["text"].tolist()), None
+                except Exception as e:  # noqa: BLE001  the service's failure, not ours
+                    made, error = [None] * len(part), f"{type(e).__name__}: {e}"
+                yield pd.DataFrame({"transaction_id": part["id"], "model_version": model, "embedding": made, "error": error})
+
+    return texts.mapInPandas(run, "transaction_id string, model_version string, embedding array<float>, error string")
+
 
-    return texts.mapInPandas(run, "transaction_id string, model_version string, embedding array<float>")
+def failed_embeddings(made: DataFrame) -> DataFrame:
+    """How many rows failed, by the failure's text."""
+    return made.where("error is not null").groupBy("error").agg(F.count("*").alias("rows"))

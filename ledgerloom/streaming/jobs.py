@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.operators.rules import match_keyword_rules
-from ledgerloom.thresholds import MODEL
+from ledgerloom.operators.cascade import first_of
+from ledgerloom.operators.rules import RULE_CONFIDENCE, match_keyword_rules, match_people
+from ledgerloom.thresholds import MODEL, Thresholds
 
 
 def run_once(query) -> None:
@@ -18,17 +20,24 @@ def run_once(query) -> None:
         raise q.exception()
 
 
-def stream_annotate(stream: DataFrame, out: str, checkpoint: str, late: str = "30 days") -> None:
-    """Label new transactions by keyword rules as their files arrive.
+def stream_annotate(stream: DataFrame, out: str, checkpoint: str, people: DataFrame, learned: DataFrame, late: str = "30 days") -> None:
+    """Label new transactions by the stages without a model as their files arrive: people, keyword rules, learned rules.
 
-    ``stream`` has id, uploaded_at, raw_description, note. Files that come again repeat
-    their ids, which are dropped within the watermark.
+    ``stream`` has file_sha256, id, ledger_id, uploaded_at, raw_description, vpa, note,
+    counterparty_key. A file that is uploaded again has the same hash, and its rows are
+    dropped within the watermark; ``people`` and ``learned`` are read as they are when a
+    batch runs. Writes id, the label, stage and batch.
     """
-    fresh = stream.withWatermark("uploaded_at", late).dropDuplicatesWithinWatermark(["id"])
+    fresh = stream.withWatermark("uploaded_at", late).dropDuplicatesWithinWatermark(["file_sha256", "id"])
+    none = F.lit(None).cast("string").alias("subcategory")
 
     def write(batch: DataFrame, number: int) -> None:
-        labels = match_keyword_rules(batch).where("label is not null").select("id", "label.*", F.lit(number).alias("batch"))
-        labels.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that runs again replaces itself
+        label = lambda df, category, subcategory, confidence, source: df.select("id", category.alias("category"), subcategory.alias("subcategory"), confidence.alias("confidence"), F.lit(source).alias("source"))
+        person = label(match_people(batch, people), F.lit("Transfers"), F.col("subcategory"), F.lit(RULE_CONFIDENCE), "rule")
+        keyword = label(match_keyword_rules(batch).where("label is not null"), F.col("label.category"), F.col("label.subcategory"), F.lit(RULE_CONFIDENCE), "rule")
+        rules = batch.select("id", "ledger_id", "counterparty_key").join(learned.select("ledger_id", "counterparty_key", "category"), ["ledger_id", "counterparty_key"])
+        found = first_of(batch, [("person", person), ("keyword", keyword), ("learned", label(rules, F.col("category"), none, F.lit(Thresholds().learned_confidence), "learned_rule"))])
+        found.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that runs again replaces itself
 
     run_once(fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
 
@@ -51,15 +60,52 @@ def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch").alias("_s")).select(*keys, "_s.*")
 
 
-def stream_monthly_cash(stream: DataFrame, out: str, checkpoint: str, late: str = "400 days") -> None:
-    """Daily sums per ledger and direction in update mode; the months are rolled up in batch."""
-    days = stream.withWatermark("at", late).groupBy("ledger_id", F.window("at", "1 day").alias("day"), "debit_credit").agg(F.sum("amount").alias("amount"), F.count("*").alias("n"))
-    flat = days.select("ledger_id", F.to_date("day.start").alias("day"), "debit_credit", "amount", "n")
+CASH = "ledger_id long, day date, debit_credit string, amount decimal(28,2), n long, batch int"
+ROWS = "ledger_id long, at timestamp, debit_credit string, amount decimal(18,2), batch int"
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What batches have written below ``path`` so far, none if nothing has."""
+    try:
+        return spark.read.schema(schema).option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def stream_monthly_cash(stream: DataFrame, out: str, checkpoint: str, late_days: int = 400) -> None:
+    """Sums per ledger, day and direction of each batch, and a side table of rows behind the watermark.
+
+    ``stream`` has ledger_id, at, debit_credit, amount. The watermark of a batch is the
+    latest time of all batches before it less ``late_days``. Rows of days that end before
+    it go to ``out/late`` as they are, for a batch job; all others are summed. Each batch
+    writes its own increments below ``out/days``, so one that runs again replaces itself.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = batch.sparkSession
+        before = _stored(spark, f"{out}/marks", "latest timestamp, batch int").where(F.col("batch") < number).agg(F.max("latest")).first()[0]
+        rows = batch.select("ledger_id", "at", "debit_credit", F.col("amount").cast("decimal(18,2)").alias("amount"))
+        behind = F.lit(False) if before is None else F.date_add(F.to_date("at"), 1).cast("timestamp") <= F.lit(before) - F.expr(f"INTERVAL {late_days} DAYS")
+        rows.where(behind).write.mode("overwrite").parquet(f"{out}/late/batch={number}")
+        sums = rows.where(~behind).groupBy("ledger_id", F.to_date("at").alias("day"), "debit_credit").agg(F.sum("amount").alias("amount"), F.count("*").alias("n"))
+        sums.write.mode("overwrite").parquet(f"{out}/days/batch={number}")
+        batch.agg(F.max("at").alias("latest")).write.mode("overwrite").parquet(f"{out}/marks/batch={number}")
+
+    run_once(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
+
+
+def late_rows(spark: SparkSession, out: str) -> DataFrame:
+    """The side table: rows that came behind the watermark."""
+    return _stored(spark, f"{out}/late", ROWS)
+
 
-    run_once(flat.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint))
+def daily_cash(spark: SparkSession, out: str) -> DataFrame:
+    """The days as they are after the late rows have been summed in too."""
+    late = late_rows(spark, out).groupBy("ledger_id", F.to_date("at").alias("day"), "debit_credit").agg(F.sum("amount").alias("amount"), F.count("*").alias("n"))
+    both = _stored(spark, f"{out}/days", CASH).drop("batch").unionByName(late)
+    return both.groupBy("ledger_id", "day", "debit_credit").agg(F.sum("amount").alias("amount"), F.sum("n").alias("n"))
 
 
 def monthly(daily: DataFrame) -> DataFrame:
