@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: five stages, each over all that the one before kept."""
+"""A training corpus from raw documents: five stages, each over all that the one before kept.
+
+In every stage a null text has no words, a null doc_id and a null source are values of
+their own, rows that repeat are judged alike, further columns are kept as they are,
+whatever their names, and an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +16,7 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the likelihood ratio keep, each judged by its own text."""
+    """Documents that the base rules and the likelihood ratio keep, each judged by its own text; those without words go."""
     verdict = quality.quality(docs, common.table(spark, sf_dir, "labels")).where("kept").select("doc_id", "text_hash").distinct()
     return docs.join(verdict, common.same_row(docs, verdict), "left_semi")
 
@@ -28,7 +33,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; repeats are equal rows."""
+    """Each document as often as the mix takes it; repeats are equal rows, a document without words is taken as often as its source whole."""
     sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     # times depend on these three alone, so rows of equal or null ids get their own
     times = mixing.mix(sizes).where("times > 0").select("doc_id", "source", (F.col("size") > 0).alias("worded"), "times").distinct()
@@ -39,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as token shards, described document by document from the files."""
+    """The corpus as token shards, described document by document from the files; a text without words is the end id alone."""
     return token_output.token_output(docs)
 
 
