@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_batches, stage, utf8
+from .common import connected_components, map_batches, slices, stage, utf8
 from .simhash import digests, folded
 from .simhash import links as golay_links
 
@@ -54,7 +54,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs(doc_id, text)`` to doc_id, text_hash, node (a hash of the text's words), n (its different shingles), fp (its fingerprint) and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             node, n, fp, keys = [], [], [], []
             for text in utf8(batch.column("text")):
                 words = text.lower().split()
@@ -76,7 +76,7 @@ def shingle_sets(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``texts(node, text)`` to node and found, the hashes of its different shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(t, shingle).view(np.int64) for t in utf8(batch.column("text"))]
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), np.concatenate(found or [np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "found"])
