@@ -102,39 +102,79 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     return both.where(F.col("common") >= similarity * (F.size("fa") + F.size("fb") - F.col("common"))).select("a", "b")
 
 
+def rare_first(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``sets(node, found)`` to node, n, at and shingle: of each node as many of its rarest shingles as any similar node must share one of.
+
+    Two sets of a similarity of ``similarity`` or more that are both cut to the
+    first n - ceil(similarity * n) + 1 shingles in one order have one in common; ``at``
+    is a shingle's place in that order, from 0. With the rarest first, passages of many texts come last and seldom belong to the cut.
+    """
+    each = sets.select("node", F.size("found").alias("n"), F.explode("found").alias("shingle"))
+    known = each.groupBy("shingle").agg(F.count("*").alias("df"))
+    ordered = each.join(known, "shingle").groupBy("node").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
+    take = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1).cast("int")
+    return ordered.select("node", "n", F.posexplode(F.slice("all", F.lit(1), take)).alias("at", "s")).select("node", "n", "at", F.col("s.shingle").alias("shingle"))
+
+
+def across(placed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``placed(node, n, root, at, shingle)`` to pairs (a, b) of nodes with a shingle in common and different roots.
+
+    The members of a shingle's largest component meet only those of its others, never each
+    other. What stands before the first common shingle of two nodes is not common, so
+    pairs that can't be similar enough with what is left are not made.
+    """
+    groups = placed.groupBy("shingle", "root").count()
+    most = groups.groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = stage(placed.join(most.select("shingle", "most"), "shingle"), "mixed")
+    a = mixed.where("root <> most").select("shingle", F.col("node").alias("a"), (F.col("n") - F.col("at")).alias("la"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    b = mixed.select("shingle", "most", F.col("node").alias("b"), (F.col("n") - F.col("at")).alias("lb"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    enough = F.least("la", "lb") * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("na") + F.col("nb")) - 1e-6
+    pairs = a.join(b, "shingle").where("ra <> rb and (rb = most or a < b)").where(enough)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def links(rows: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) that connect all nodes of :func:`sketches` that are similar enough and have a Golay key or a band in common.
 
     First come the nodes whose fingerprints the Golay keys link, a fingerprint's nodes
-    standing behind its smallest. Then each node is held against the smallest node of
-    each of its bands. Then, in the bands that still hold several components, all pairs of different components
-    are, so a band full of near copies never lists its pairs and none is lost.
+    standing behind its smallest. Then each node is held against two nodes of each of
+    its bands: the smallest, and the central one, which shares most bands with most
+    nodes. That ties nearly every group of near copies together. The nodes of bands
+    that still hold several components are compared across components where their
+    rarest shingles meet (:func:`rare_first`), which is exact, so no link is lost and
+    no band or group lists its pairs.
     """
-    points = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
-    keys = stage(points.select("node", "n", "text_hash", F.explode("bands").alias("key")), "bands")
-    heads = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("z")).where("head.node < z")
-    members = stage(keys.join(heads.select("key", "head"), "key"), "members")
+    points = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min(F.struct("text_hash", "doc_id")).alias("source"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
+    keys = stage(points.select("node", "n", F.explode("bands").alias("key")), "bands")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = stage(keys.join(sizes, "key"), "members")
+    reach = members.groupBy("node").agg(F.sum("size").alias("reach"))
+    least, central = F.min(F.struct("node", "n")), F.max_by(F.struct("node", "n"), F.struct("reach", "node"))
+    heads = members.join(reach, "node").groupBy("key").agg(F.array_distinct(F.array(least, central)).alias("heads"))
     close = f"least(na, nb) >= {similarity} * greatest(na, nb)"  # no other pair can be similar enough
-    stars = members.where("node > head.node").select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
+    stars = members.join(heads, "key").select("node", "n", F.explode("heads").alias("h")).where("node <> h.node")
+    x, y = F.struct("node", "n"), F.col("h")
+    stars = stars.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+    stars = stars.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
     stars = stars.union(fingerprint_pairs(points.select("node", "n", "fp")))
     stars = stage(stars.where(close).select("a", "b").distinct(), "stars")
 
     ends = stars.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
-    wanted = points.select("node", "text_hash").join(ends, "node", "left_semi").groupBy("text_hash").agg(F.min("node").alias("node"))
-    # one row for each text, whichever: equal hashes are equal texts
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(wanted, "text_hash").dropDuplicates(["text_hash"])
-    sets = stage(shingle_sets(texts, shingle), "sets")
+    wanted = points.select("node", "source").join(ends, "node", "left_semi")
+    wanted = wanted.select("node", "source.*").withColumnRenamed("doc_id", "_id")
+    # one row for each text, whichever: equal hashes are equal texts, and the id keeps copies of a text out
+    texts = docs.select(F.col("doc_id").alias("_of"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = texts.join(wanted, (texts["text_hash"] == wanted["text_hash"]) & texts["_of"].eqNullSafe(wanted["_id"])).drop(texts["text_hash"])
+    sets = stage(shingle_sets(texts.dropDuplicates(["node"]), shingle), "sets")
 
     edges = stage(verified(stars, sets, similarity), "edges")
     roots = connected_components(edges)
-    placed = members.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = stage(placed, "placed")
+    placed = stage(members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    open_ = stage(placed.join(mixed, "key", "left_semi"), "open")
-    a = open_.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = open_.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = a.join(b, "key").where("a < b and ra <> rb").where(close).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    return edges.union(verified(stage(rest, "rest"), sets, similarity))
+    open_ = stage(placed.join(mixed, "key", "left_semi").select("node", "root").distinct(), "open")
+    rare = stage(rare_first(sets.join(open_, "node", "left_semi"), similarity).join(open_, "node"), "rare")
+    rest = stage(across(rare, similarity).join(stars, ["a", "b"], "left_anti"), "rest")
+    return edges.union(verified(rest, sets, similarity))
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
