@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, map_batches, slices, stage, utf8
@@ -111,9 +111,9 @@ def rare_first(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     each = sets.select("node", F.size("found").alias("n"), F.explode("found").alias("shingle"))
     known = each.groupBy("shingle").agg(F.count("*").alias("df"))
-    ordered = each.join(known, "shingle").groupBy("node").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
-    take = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1).cast("int")
-    return ordered.select("node", "n", F.posexplode(F.slice("all", F.lit(1), take)).alias("at", "s")).select("node", "n", "at", F.col("s.shingle").alias("shingle"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")) - 1
+    take = F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1
+    return each.join(known, "shingle").withColumn("at", place).where(F.col("at") < take).select("node", "n", "at", "shingle")
 
 
 def across(placed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
