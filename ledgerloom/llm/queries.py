@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linededup, mixing, quality, sharding, simhash, suffix_tree, token_counts, token_output
+from . import chat, decontam, hard_negatives, linededup, mixing, packing, quality, sharding, simhash, suffix_tree, token_counts, token_output, whitening
 from .common import table
 
 
@@ -78,9 +78,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings along the four components of largest deviation."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens, a row for each piece."""
+    return packing.checksums(packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id 100 divides, among all vectors."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_output, op2_mixing, op3_sharding, op4_token_counts, op5_quality, op6_chat_formatting, op7_near_duplicates, op8_line_dedup, op9_lm_scoring, op10_decontamination)
+    for f in (op1_token_output, op2_mixing, op3_sharding, op4_token_counts, op5_quality, op6_chat_formatting, op7_near_duplicates, op8_line_dedup, op9_lm_scoring, op10_decontamination, op11_whitening, op12_packing, op13_hard_negatives)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -181,4 +199,14 @@ s AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(item, ',' ORDER BY i
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN s USING (r)""",
+    "op13_hard_negatives": r"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+             list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+a AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, v.vec_id AS id, v.label = a.label AS same, list_dot_product(a.x, v.x)::BIGINT AS score FROM a JOIN v ON a.r <> v.r),
+p AS (SELECT r, anchor_id, id AS positive_id, score AS positive_score, n FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, id) AS n FROM s WHERE same) WHERE n <= 5)
+SELECT p.anchor_id, positive_id, k::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM (SELECT p.*, s.id, s.score, row_number() OVER (PARTITION BY p.r, p.n ORDER BY s.score DESC, s.id) AS k
+      FROM p JOIN s ON p.r = s.r AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score) p WHERE k <= 5""",
 }
