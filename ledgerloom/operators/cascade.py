@@ -108,24 +108,36 @@ def reasoning_trace(labels: DataFrame, facts: DataFrame, donors: DataFrame, th:
     return out.select("id", F.to_json(trace).alias("reasoning"))
 
 
-def normalize_category(labels: DataFrame, names: list[str]) -> DataFrame:
-    """Map distinct ``category`` values to the taxonomy: exact, then without case, then the only one
-    that holds or is held, then the closest by ratio 0.6, else "Uncategorized"."""
+def normalize_category(labels: DataFrame, names: DataFrame, close: float = 0.6) -> DataFrame:
+    """Map distinct ``category`` values to the taxonomy ``names(name)``: category, normalized, how.
+
+    Exact, then without case and outer spaces, then the only name that holds the
+    value or is held in it, then the closest by matching characters (``close`` or more), else
+    "Uncategorized". All but the closest are joins and conditions; only what they leave,
+    a few misspelt labels, is compared by a vectorised helper, name by name.
+    """
     import difflib
 
-    def nearest(values: pd.Series) -> pd.Series:
-        def one(v: str) -> str:
-            if v in names:
-                return v
-            low = v.strip().lower()
-            same = [n for n in names if n.lower() == low]
-            inside = [n for n in names if low in n.lower() or n.lower() in low]
-            close = difflib.get_close_matches(v, names, n=1, cutoff=0.6)
-            return (same or (inside if len(inside) == 1 else []) or close or ["Uncategorized"])[0]
+    values = labels.select("category").where("category is not null").distinct()
+    known = names.select(F.col("name")).where("name is not null").distinct()
+    low = F.lower(F.trim("category"))
+    # distinct labels are few and so are names; each value meets all names once
+    every = known.agg(F.sort_array(F.collect_list("name")).alias("names"))
+    met = values.join(F.broadcast(every), F.lit(True)).withColumn("_low", low)
+    exact = F.array_contains("names", F.col("category"))
+    same = F.get(F.filter("names", lambda n: F.lower(n) == F.col("_low")), F.lit(0))
+    inside = F.filter("names", lambda n: F.lower(n).contains(F.col("_low")) | F.col("_low").contains(F.lower(n)))
+    found = F.when(exact, F.col("category")).when(same.isNotNull(), same).when(F.size(inside) == 1, F.get(inside, F.lit(0)))
+    how = F.when(exact, "exact").when(same.isNotNull(), "case").when(F.size(inside) == 1, "inside")
+    told = met.select("category", "names", found.alias("normalized"), how.alias("how"))
 
-        return values.map(one)
+    def nearest(category: pd.Series, listed: pd.Series) -> pd.Series:
+        best = [difflib.get_close_matches(v, list(names), n=1, cutoff=close) for v, names in zip(category, listed, strict=True)]
+        return pd.Series([b[0] if b else None for b in best], dtype=object)
 
-    return labels.select("category").distinct().withColumn("normalized", F.pandas_udf(nearest, "string")("category"))
+    left = told.where("normalized is null").withColumn("normalized", F.pandas_udf(nearest, "string")("category", "names"))
+    left = left.withColumn("how", F.when(F.col("normalized").isNotNull(), "close").otherwise("none")).withColumn("normalized", F.coalesce("normalized", F.lit("Uncategorized")))
+    return told.where("normalized is not null").unionByName(left).drop("names")
 
 
 def normalize_subcategory(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -184,8 +196,16 @@ def logprob_confidence(df: DataFrame, tokens: str = "tokens", category: str = "c
 
 
 def render_prompts(rows: DataFrame, categories: list[str]) -> DataFrame:
-    """A prompt for each row with its examples and the majority as a hint, for batch inference."""
-    shown = F.array_join(F.transform("examples", lambda e: F.concat_ws(" | ", e["raw_description"], e["category"], e["source"])), "\n")
-    hint = F.when(F.col("majority").isNotNull(), F.concat(F.lit("Most similar rows are labelled "), "majority", F.lit(" ("), F.col("majority_count").cast("string"), F.lit(")")))
-    return rows.select("id", F.concat_ws("\n", F.lit("Choose one of: " + ", ".join(categories)), F.concat_ws(" ", "debit_credit", F.col("amount").cast("string"), "raw_description"), shown, hint).alias("prompt"))
+    """A prompt for each row, for batch inference: id, prompt, with_examples.
 
+    Rows may have ``examples`` (an array) with ``majority`` and ``majority_count``, as
+    ``fewshot_examples`` gives them; those that have none are asked without. A note that says
+    more than the description is told, and a null field is left out.
+    """
+    shown = F.transform("examples", lambda e: F.concat(F.lit("- "), F.concat_ws(" | ", e["raw_description"], F.concat_ws(" > ", e["category"], e["subcategory"]), e["source"])))
+    some = F.coalesce(F.size("examples") > 0, F.lit(False))
+    hint = F.concat(F.lit("Most similar rows are labelled "), "majority", F.lit(" ("), F.col("majority_count").cast("string"), F.lit(" of "), F.size("examples").cast("string"), F.lit(")."))
+    note = F.when(F.length(F.trim("note")) > 0, F.concat(F.lit("Note: "), F.trim("note")))
+    row = F.concat(F.lit("Row: "), F.concat_ws(" ", "debit_credit", F.col("amount").cast("string"), "raw_description"))
+    parts = [F.lit("Choose one of: " + ", ".join(categories)), row, note, F.when(some, F.lit("Similar rows:")), F.when(some, F.array_join(shown, "\n")), F.when(some, hint)]
+    return rows.select("id", F.concat_ws("\n", *parts).alias("prompt"), some.alias("with_examples"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.listing import personal_cohort
@@ -11,20 +13,57 @@ from ledgerloom.thresholds import TRUSTED, Thresholds
 four = lambda c: F.round(c.cast("decimal(28,8)"), 4).cast("double")
 
 
+#: Metrics of a run in the order of its report; a drop of the last two beyond the tolerance is a regression.
+METRICS = ("coverage", "brier", "auto_accept_rate", "review_rate", "mean_latency_s", "accuracy", "auto_accept_precision")
+WATCHED = METRICS[-2:]
+
+
 def eval_metrics(records: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """Accuracy, Brier score and routing per stage, and over all as the row of a null stage."""
+    """Coverage, accuracy, Brier score, routing and latency per stage, and over all as the row of a null stage.
+
+    ``records`` has run, stage, confidence, correct and, if it was measured, latency_s;
+    coverage is a stage's share of its run. Records without a stage count as "none".
+    """
     ok, auto = F.col("correct").cast("double"), F.col("confidence") >= th.confidence
-    out = records.groupingSets([["run", "stage"], ["run"]], "run", "stage").agg(
+    latency = F.col("latency_s").cast("decimal(14,6)") if "latency_s" in records.columns else F.lit(None).cast("decimal(14,6)")
+    staged = records.withColumn("stage", F.coalesce("stage", F.lit("none"))).withColumn("_latency", latency)
+    out = staged.groupingSets([["run", "stage"], ["run"]], "run", "stage").agg(
         F.count("*").alias("n"), four(F.avg(ok)).alias("accuracy"), four(F.avg(F.round(F.pow(F.col("confidence") - ok, F.lit(2)), 10).cast("decimal(20,10)"))).alias("brier"),
-        F.count(F.when(auto, 1)).alias("auto_n"), F.count(F.when(auto & F.col("correct"), 1)).alias("auto_ok"),
+        F.count(F.when(auto, 1)).alias("auto_n"), F.count(F.when(auto & F.col("correct"), 1)).alias("auto_ok"), F.round((F.sum("_latency") / F.count("_latency")).cast("decimal(20,8)"), 3).cast("double").alias("mean_latency_s"),
     )
+    whole = F.max("n").over(Window.partitionBy("run"))
     return out.select(
-        "run", "stage", "n", "accuracy", "brier", four(F.col("auto_n") / F.col("n")).alias("auto_accept_rate"), F.when(F.col("auto_n") > 0, four(F.col("auto_ok") / F.col("auto_n"))).alias("auto_accept_precision"), four((F.col("n") - F.col("auto_n")) / F.col("n")).alias("review_rate")
-    )
+        "run", "stage", "n", four(F.col("n") / whole).alias("coverage"), "accuracy", "brier", four(F.col("auto_n") / F.col("n")).alias("auto_accept_rate"), F.when(F.col("auto_n") > 0, four(F.col("auto_ok") / F.col("auto_n"))).alias("auto_accept_precision"),
+        four((F.col("n") - F.col("auto_n")) / F.col("n")).alias("review_rate"), "mean_latency_s",
+    )
+
+
+def eval_report(metrics: DataFrame, before: str, after: str, tolerance: float = 0.01) -> DataFrame:
+    """Two runs' metrics side by side: stage (null: over all), metric, before, after, delta, regressed.
+
+    A metric regressed if it is watched (accuracy, precision of what is accepted
+    unseen) and fell by more than ``tolerance``; a precision that a run does not have is 0
+    there. A stage that one run lacks has nulls on its side.
+    """
+    long = metrics.unpivot(["run", "stage"], list(METRICS), "metric", "value")
+    side = lambda run, name: long.where(F.col("run") == run).select("stage", "metric", F.col("value").alias(name), F.lit(True).alias(f"_{name}"))
+    a, b = side(before, "before").alias("a"), side(after, "after").alias("b")
+    both = a.join(b, F.col("a.stage").eqNullSafe(F.col("b.stage")) & (F.col("a.metric") == F.col("b.metric")), "full")
+    exact = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("decimal(20,6)")
+    fell = F.col("_before").isNotNull() & F.col("_after").isNotNull() & (exact("before") - exact("after") > F.lit(Decimal(str(tolerance))))
+    metric = F.coalesce("a.metric", "b.metric")
+    delta = F.round(F.col("after").cast("decimal(20,6)") - F.col("before").cast("decimal(20,6)"), 4).cast("double")
+    return both.select(F.coalesce("a.stage", "b.stage").alias("stage"), metric.alias("metric"), "before", "after", delta.alias("delta"), F.coalesce(fell & metric.isin(*WATCHED), F.lit(False)).alias("regressed"))
+
+
+def regression(report: DataFrame) -> DataFrame:
+    """Whether a run regressed over all, and by which metrics, as one row."""
+    over_all = report.where("stage IS NULL AND regressed")
+    return over_all.agg((F.count("*") > 0).alias("regressed"), F.array_sort(F.collect_list("metric")).alias("metrics"))
 
 
 def eval_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of two runs whose label, stage or outcome changed, and how."""
+    """Rows of two runs whose label, stage or outcome changed, and how; ``eval_report`` compares their metrics."""
     side = lambda df, p: df.select("transaction_id", *[F.col(c).alias(f"{p}_{c}") for c in ("category", "stage", "correct")])
     both = side(a, "a").join(side(b, "b"), "transaction_id")
     changed = ~(F.col("a_category").eqNullSafe(F.col("b_category")) & F.col("a_stage").eqNullSafe(F.col("b_stage")) & F.col("a_correct").eqNullSafe(F.col("b_correct")))

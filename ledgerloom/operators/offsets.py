@@ -7,7 +7,8 @@ windows give what a loop over rows would.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,50 +50,56 @@ def _left(debits: DataFrame, *taken: DataFrame) -> DataFrame:
     return debits.join(used, "id", "left").withColumn("left", F.greatest(F.col("amount") - F.coalesce("_used", zero), zero).cast(_MONEY)).drop("_used")
 
 
-def offsets_groups(rows: DataFrame, members: DataFrame, linked: DataFrame) -> DataFrame:
+def _share(debits: DataFrame, credits: DataFrame) -> DataFrame:
+    """What each credit gives to each debit of its group, none of whose debits another of the groups holds.
+
+    A group's capacities shrink evenly, so its credits take from their sum in turn and each
+    is dealt in proportion to what the debits had left. Amounts are whole millionths; what is
+    lost to rounding down goes to the largest remainders, so the shares of a credit
+    are exactly what it took.
+    """
+    totals = debits.groupBy("group_id").agg(F.sum("left").alias("total")).where("total > 0")
+    taken = credits.join(totals, "group_id").withColumn("take", _clamp("value", "total", ["group_id"], ["txn_date", "id"])).where("take > 0")
+    shares = taken.select("ledger_id", "group_id", F.col("id").alias("credit_id"), S.month_of(F.col("txn_date")).alias("month"), "take", "total").join(
+        debits.where("left > 0").select("group_id", F.col("id").alias("debit_id"), "left", "category"), "group_id"
+    )
+    product = F.col("take").cast("decimal(19,0)") * F.col("left").cast("decimal(19,0)")
+    dealt = shares.withColumn("_p", product).withColumn("_base", F.expr("_p div CAST(total AS DECIMAL(19,0))")).withColumn("_rest", F.col("_p") % F.col("total").cast("decimal(19,0)"))
+    credit = Window.partitionBy("group_id", "credit_id")
+    one_more = F.row_number().over(credit.orderBy(F.desc("_rest"), "debit_id")) <= F.col("take") - F.sum("_base").over(credit)
+    amount = ((F.col("_base") + one_more.cast("long")).cast("decimal(22,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast(_MONEY)
+    return dealt.select("ledger_id", "credit_id", "debit_id", "month", S.spend_category(F.col("category")).alias("category"), amount.alias("amount"))
+
+
+def offsets_groups(rows: DataFrame, members: DataFrame, linked: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Credits of expense groups, shared over the group's spend debits by what these have left.
 
-    Ledgers in which a debit sits in two groups are settled group after group by a
-    helper, a ledger at a time; all others by windows.
+    Groups that share a debit are settled in the order of their ids, in waves: a group's
+    turn comes when no earlier group that holds one of its debits is open, and all whose
+    turn it is are settled together by windows. Groups that share none are all in the
+    first wave; there are as many waves as the longest chain of groups that touch. ``keep``
+    stores a wave's shares, which the next ones read.
     """
     inside = members.select("group_id", F.col("transaction_id").alias("id"), "txn_type").join(rows.select("id", "ledger_id", "amount", "debit_credit", "txn_date", "category"), "id")
     debits = inside.where((F.col("debit_credit") == "debit") & S.is_spend(F.col("category")))
-    credits = inside.where((F.col("debit_credit") == "credit") & F.col("txn_type").isin(*OFFSET_TYPES))
-    debits = _left(debits, linked)
-    mixed = debits.groupBy("ledger_id", "id").agg(F.count("*").alias("n")).where("n > 1").select("ledger_id").distinct()
-    plain_d, plain_c = debits.join(mixed, "ledger_id", "left_anti"), credits.join(mixed, "ledger_id", "left_anti")
-    totals = plain_d.groupBy("group_id").agg(F.sum("left").cast(_MONEY).alias("total")).where("total > 0")
-    taken = plain_c.join(totals, "group_id").withColumn("take", _clamp("amount", "total", ["group_id"], ["txn_date", "id"]).cast(_MONEY)).where("take > 0")
-    share = F.round(F.col("take").cast("double") * F.col("left").cast("double") / F.col("total").cast("double"), 6).cast(_MONEY)
-    shares = taken.select("ledger_id", "group_id", F.col("id").alias("credit_id"), S.month_of(F.col("txn_date")).alias("month"), "take", "total").join(
-        plain_d.where("left > 0").select("group_id", F.col("id").alias("debit_id"), "left", "category"), "group_id"
-    )
-    simple = shares.select("ledger_id", "credit_id", "debit_id", "month", S.spend_category(F.col("category")).alias("category"), share.alias("amount"))
-    one = lambda d: d.select("ledger_id", "group_id", "id", "txn_date", "category", "debit_credit", F.col("left" if d is debits else "amount").cast("double").alias("value"))
-    crossed = one(debits).union(one(credits)).join(mixed, "ledger_id").groupBy("ledger_id").applyInPandas(
-        _settle, "ledger_id long, credit_id string, debit_id string, month string, category string, amount double"
-    )
-    return simple.union(crossed.withColumn("amount", F.round("amount", 6).cast(_MONEY)))
-
-
-def _settle(frame: pd.DataFrame) -> pd.DataFrame:
-    """One ledger's groups in the order of their ids, credits by date and id."""
-    debits = frame[frame.debit_credit == "debit"]
-    left = dict(zip(debits.id, debits.value, strict=True))
-    out = []
-    for _, group in frame.sort_values(["group_id", "txn_date", "id"]).groupby("group_id", sort=True):
-        of = group[group.debit_credit == "debit"].drop_duplicates("id")
-        for credit in group[group.debit_credit == "credit"].itertuples():
-            total = sum(left[d] for d in of.id)
-            if total <= 0:
-                continue
-            take, caps = min(credit.value, total), {d: left[d] for d in of.id}
-            for d, category in zip(of.id, of.category, strict=True):
-                if caps[d] > 0:
-                    part = take * caps[d] / total
-                    left[d] -= part
-                    out.append((credit.ledger_id, credit.id, d, str(credit.txn_date)[:7], category or "Uncategorized", part))
-    return pd.DataFrame(out, columns=OUT)
+    millionths = lambda c: (F.col(c) * 1_000_000).cast("long")
+    debits = _left(debits, linked).select("group_id", "id", "category", millionths("left").alias("left"))
+    credits = inside.where((F.col("debit_credit") == "credit") & F.col("txn_type").isin(*OFFSET_TYPES)).select("ledger_id", "group_id", "id", "txn_date", millionths("amount").alias("value"))
+    turn = F.lag("group_id").over(Window.partitionBy("id").orderBy("group_id"))
+    follows = keep(debits.select("group_id", turn.alias("before")).where("before < group_id").distinct())
+    done = None
+    while True:
+        later = follows.select("group_id").distinct()
+        last = follows.isEmpty()
+        wave = keep(_share(*(df if last else df.join(later, "group_id", "left_anti") for df in (debits, credits))))
+        done = wave if done is None else done.unionByName(wave)
+        if last:
+            return done
+        used = wave.groupBy(F.col("debit_id").alias("id")).agg((F.sum("amount") * 1_000_000).cast("long").alias("used"))
+        left = F.greatest(F.col("left") - F.coalesce("used", F.lit(0)), F.lit(0)).alias("left")
+        debits = keep(debits.join(later, "group_id", "left_semi").join(used, "id", "left").select("group_id", "id", "category", left))
+        credits = credits.join(later, "group_id", "left_semi")
+        follows = keep(follows.join(later.select(F.col("group_id").alias("before")), "before", "left_semi"))
 
 
 def used_credits(links: DataFrame, members: DataFrame, rows: DataFrame) -> DataFrame:
@@ -108,6 +115,12 @@ def open_credits(rows: DataFrame, used: DataFrame) -> DataFrame:
     return back.join(used.select("id"), "id", "left_anti")
 
 
+def settled_credits(rows: DataFrame, links: DataFrame, members: DataFrame) -> DataFrame:
+    """Credits that any phase has consumed (ledger_id, id): linked, grouped, or labelled as money coming back."""
+    used = used_credits(offsets_links(rows, links), members, rows)
+    return used.union(open_credits(rows, used).select("ledger_id", "id")).distinct()
+
+
 def offsets_labelled(credits: DataFrame) -> DataFrame:
     """Credits labelled with a spend category net it in full."""
     return credits.where("category <> 'Income'").select(
@@ -146,22 +159,22 @@ def offsets_refund_by_amount(rows: DataFrame, credits: DataFrame, matched: DataF
     return capped.select("ledger_id", "credit_id", F.col("id").alias("debit_id"), S.month_of(F.col("txn_date")).alias("month"), S.spend_category(F.col("c")).alias("category"), F.col("take").alias("amount"))
 
 
-def spend_offsets(rows: DataFrame, links: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
-    """All phases by name, ``all`` (ledger_id, month, category, amount) and ``settled`` credits.
+def spend_offsets(rows: DataFrame, links: DataFrame, members: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """All phases by name, and ``all`` of them (ledger_id, month, category, amount).
 
-    Phases that later ones read again are persisted; each has one row a credit or share.
+    ``keep`` stores the phases that later ones read again, each one row a credit or share;
+    without it they are computed as often as they are read.
     """
-    linked = offsets_links(rows, links).persist()
-    grouped = offsets_groups(rows, members, linked).persist()
-    used = used_credits(linked, members, rows).persist()
-    credits = open_credits(rows, used).persist()
+    linked = keep(offsets_links(rows, links))
+    grouped = offsets_groups(rows, members, linked, keep)
+    used = used_credits(linked, members, rows)
+    credits = keep(open_credits(rows, used))
     labelled = offsets_labelled(credits)
-    by_key = offsets_refund_by_counterparty(rows, credits).persist()
+    by_key = keep(offsets_refund_by_counterparty(rows, credits))
     by_amount = offsets_refund_by_amount(rows, credits, by_key, linked, grouped)
     spent = linked.where("spend AND amount > 0").select(*OUT)
     out = {"links": linked, "groups": grouped, "labelled": labelled, "by_counterparty": by_key, "by_amount": by_amount}
     every = spent
     for part in (grouped, labelled, by_key, by_amount):
         every = every.union(part.select(*OUT))
-    settled = used.union(credits.select("ledger_id", "id")).distinct()
-    return out | {"all": every.select("ledger_id", "month", "category", "amount"), "settled": settled}
+    return out | {"all": every.select("ledger_id", "month", "category", "amount")}

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
-from ledgerloom.thresholds import VERIFIED, Thresholds
+from ledgerloom.thresholds import TRUSTED, VERIFIED, Thresholds
 
 #: Keyword rules in the order in which they are tried: patterns, category, subcategory,
 #: merchant, tags; rules marked "description" don't look at the note.
@@ -87,48 +85,89 @@ DISAMBIGUATION_RULES: list[tuple] = [
     (["amazon", "amzn"], ["aws", "amazon web"], "Finances", None, "AWS", ["business", "cloud"]),
 ]
 RULE_CONFIDENCE = 0.95
-LABEL = "struct<category:string,subcategory:string,merchant:string,tags:array<string>,confidence:double,source:string>"
+#: Rule tables. kind is "keyword" (one of a rule's patterns suffices), or "base" and "override" (one of each is needed);
+#: field is "description" for a pattern that doesn't look at the note.
+PATTERNS = "rule_order int, pattern string, kind string, field string"
+LABELS = "rule_order int, category string, subcategory string, merchant string, tags array<string>, confidence double"
+_TOKEN = r"(?U)\w+|\W"
 
 
-def _words(patterns: list[str]) -> str:
-    """One alternation of whole words; a pattern may begin or end with a mark."""
-    return r"(?U)(?<!\w)(?:" + "|".join(re.sub(r"([^\w\s])", r"\\\1", p) for p in patterns) + r")(?!\w)"
+def default_rules(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The fixed rules as tables: patterns and labels."""
+    patterns, labels = [], []
+    for n, (base, override, *label) in enumerate(DISAMBIGUATION_RULES):
+        patterns += [(n, p, "base", None) for p in base] + [(n, p, "override", None) for p in override]
+        labels.append((n, *label, RULE_CONFIDENCE))
+    for n, (words, *label) in enumerate(KEYWORD_RULES, len(labels)):
+        patterns += [(n, p, "keyword", "description" if len(label) > 4 else None) for p in words]
+        labels.append((n, *label[:4], RULE_CONFIDENCE))
+    return spark.createDataFrame(patterns, PATTERNS), spark.createDataFrame(labels, LABELS)
 
 
-def rule_number(desc: Column, note: Column) -> Column:
-    """The place of the first rule that holds, null if none does; a null note is empty."""
-    plain = F.lower(F.coalesce(desc, F.lit("")))
-    both = F.concat(plain, F.lit(" "), F.lower(F.coalesce(note, F.lit(""))))
-    out, n = None, 0
-    for base, override, *_ in DISAMBIGUATION_RULES:
-        test = both.rlike(_words(base)) & both.rlike(_words(override))
-        out, n = (F.when(test, n) if out is None else out.when(test, n)), n + 1
-    for patterns, _, _, _, _, *fields in KEYWORD_RULES:
-        out, n = out.when((plain if fields else both).rlike(_words(patterns)), n), n + 1
-    return out
+def _tokens(text: Column) -> Column:
+    """Words, and every other character by itself."""
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
 
 
-def rule_table(spark: SparkSession) -> DataFrame:
-    """What each rule says: rule, label."""
-    labels = [r[2:] for r in DISAMBIGUATION_RULES] + [r[1:5] for r in KEYWORD_RULES]
-    rows = [(n, (category, sub, merchant, tags, RULE_CONFIDENCE, "rule")) for n, (category, sub, merchant, tags) in enumerate(labels)]
-    return spark.createDataFrame(rows, f"rule int, label {LABEL}")
+def _is_word(token: Column) -> Column:
+    return F.coalesce(token.rlike(r"(?U)^\w"), F.lit(False))
 
 
-def match_keyword_rules(txns: DataFrame) -> DataFrame:
-    """``label`` of each transaction by keyword rules.
+def rule_of_text(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The first rule that holds for each of ``texts(description, note)``: these and rule_order.
 
-    Descriptions repeat but for their reference number, so each distinct (description
-    without reference, note) is matched once, behind one alternation of all patterns;
-    the number of the rule then finds its label.
+    A pattern holds where its words stand whole, without case. Patterns and texts are cut
+    into tokens; a pattern of n tokens is found by equality among the texts' runs of n, so the
+    work grows with the texts and the matches, not with the number of rules. Which n
+    there are is all that the driver learns of the rules. Patterns without a character
+    other than spaces hold nowhere; spaces at a pattern's ends don't count. A null kind is
+    "keyword". ``texts`` are distinct.
+    """
+    index = patterns.select("rule_order", F.coalesce("kind", F.lit("keyword")).alias("kind"), (F.col("field") == "description").alias("narrow"), F.lower(F.trim("pattern")).alias("gram"))
+    index = index.where("gram <> ''").withColumn("_t", _tokens(F.col("gram")))
+    index = index.select("rule_order", "kind", F.coalesce("narrow", F.lit(False)).alias("narrow"), "gram", F.size("_t").alias("n"), (~_is_word(F.element_at("_t", 1))).alias("opens"), (~_is_word(F.element_at("_t", -1))).alias("ends"))
+    lengths = sorted(r.n for r in index.select("n").distinct().collect())
+    described = F.lower(F.coalesce("description", F.lit("")))
+    cut = texts.select("description", "note", _tokens(F.concat(described, F.lit(" "), F.lower(F.coalesce("note", F.lit(""))))).alias("_w"), F.size(_tokens(described)).alias("_k"))
+
+    def runs(n: int) -> Column:
+        def run(i: Column) -> Column:
+            gram = F.element_at("_w", i) if n == 1 else F.array_join(F.slice("_w", i, n), "")
+            return F.struct(gram.alias("gram"), (i + n - 1 <= F.col("_k")).alias("inside"), _is_word(F.get("_w", i - 2)).alias("before"), _is_word(F.get("_w", i + n - 1)).alias("after"))
+
+        starts = F.filter(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.element_at("_w", i) != " ")
+        return F.when(F.size("_w") >= n, F.transform(starts, run))
+
+    every = F.flatten(F.array_compact(F.array(*map(runs, lengths)))) if lengths else F.array()
+    found = cut.select("description", "note", F.explode(F.array_distinct(every)).alias("_r")).select("description", "note", "_r.*") if lengths else None
+    if found is None:
+        return texts.select("description", "note", F.lit(None).cast("int").alias("rule_order")).limit(0)
+    hits = found.join(index, "gram").where("not (opens and before) and not (ends and after) and (inside or not narrow)")
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("rule_order"))
+    grouped = hits.groupBy("description", "note").agg(F.min(of("keyword")).alias("k"), F.collect_set(of("base")).alias("b"), F.collect_set(of("override")).alias("o"))
+    return grouped.select("description", "note", F.least("k", F.array_min(F.array_intersect("b", "o"))).alias("rule_order")).where("rule_order is not null")
+
+
+def match_keyword_rules(txns: DataFrame, patterns: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """``label`` of each transaction by the first rule that holds, null if none does.
+
+    ``patterns`` and ``labels`` are tables like those of ``default_rules``, which they
+    default to; a rule without a label gives none. Descriptions repeat but for their reference
+    number, so each distinct (description without reference, note) is matched once.
     """
+    if patterns is None or labels is None:
+        patterns, labels = (given if given is not None else default for given, default in zip((patterns, labels), default_rules(txns.sparkSession), strict=True))
     slim = txns.withColumn("_desc", S.strip_upi_ref(F.col("raw_description")))
-    texts = slim.select(F.col("_desc").alias("_d"), F.col("note").alias("_n")).distinct()
-    every = [p for r in KEYWORD_RULES for p in r[0]] + [p for r in DISAMBIGUATION_RULES for p in r[0]]
-    hay = F.lower(F.concat_ws(" ", "_d", "_n"))
-    found = texts.where(hay.rlike(_words(every))).withColumn("rule", rule_number(F.col("_d"), F.col("_n")))  # one row a distinct text
-    labels = found.join(F.broadcast(rule_table(txns.sparkSession)), "rule", "left").drop("rule")  # a left join reads the rule's number once
-    return slim.join(labels, (F.col("_desc") == F.col("_d")) & F.col("note").eqNullSafe(F.col("_n")), "left").drop("_desc", "_d", "_n")
+    rule = rule_of_text(slim.select(F.col("_desc").alias("description"), "note").distinct(), patterns)
+    said = labels.select("rule_order", F.struct("category", "subcategory", "merchant", "tags", "confidence", F.lit("rule").alias("source")).alias("label"))
+    named = rule.join(said, "rule_order").select(F.col("description").alias("_d"), F.col("note").alias("_n"), "label")
+    return slim.join(named, slim["_desc"].eqNullSafe(named["_d"]) & slim["note"].eqNullSafe(named["_n"]), "left").drop("_desc", "_d", "_n")
+
+
+def match_disambiguation_rules(txns: DataFrame, patterns: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """The same by the rules alone that need a base and an override pattern."""
+    patterns = default_rules(txns.sparkSession)[0] if patterns is None else patterns
+    return match_keyword_rules(txns, patterns.where(F.col("kind").isin("base", "override")), labels)
 
 
 def match_people(txns: DataFrame, people: DataFrame) -> DataFrame:
@@ -179,44 +218,48 @@ def edit_suppressions(suppressed: DataFrame, dismiss: DataFrame, restore: DataFr
     return suppressed.select(*keys).union(dismiss.select(*keys)).distinct().join(restore.select(*keys).distinct(), keys, "left_anti")
 
 
-def _history(keys: list[str]) -> Window:
-    """All rows of the same key on strictly earlier days."""
-    return Window.partitionBy(*keys).orderBy("_day").rangeBetween(Window.unboundedPreceding, -1)
+def _standing(rows: DataFrame, label: Column, weight: Column) -> DataFrame:
+    """What the labels of a counterparty say before each of its days: keys, day, n, mass, kinds, best(w, category).
+
+    Labels are summed by day and category first, so a hot counterparty leaves a row for
+    each day and category. A category's running weight never falls, so the leader before
+    a day is the largest of all running weights on earlier days (ties: the first by name),
+    and one frame over the days finds it with n, mass and the number of categories. No
+    list of categories is needed. Days on which no label stands before are left out.
+    """
+    keys = ["ledger_id", "counterparty_key"]
+    day = F.datediff("txn_date", F.lit("1970-01-01").cast("date")).alias("day")
+    keyed = rows.where("counterparty_key is not null").select(*keys, day, label.alias("label"), weight.cast("double").alias("weight"))
+    daily = keyed.groupBy(*keys, "day", "label").agg(F.count("label").alias("n"), F.sum("weight").alias("w"))
+    running = Window.partitionBy(*keys, "label").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    named = F.col("label").isNotNull()
+    events = daily.select(*keys, "day", "n", F.when(named, F.col("w")).otherwise(0.0).alias("w"), F.when(named & (F.row_number().over(running.rowsBetween(Window.unboundedPreceding, 0)) == 1), 1).otherwise(0).alias("new"), F.when(named, F.struct((-F.sum("w").over(running)).alias("w"), F.col("label").alias("category"))).alias("lead"))
+    earlier = Window.partitionBy(*keys).orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+    known = events.select(*keys, "day", F.sum("n").over(earlier).alias("n"), F.sum("w").over(earlier).alias("mass"), F.sum("new").over(earlier).alias("kinds"), F.min("lead").over(earlier).alias("best"))
+    return known.where("n > 0").dropDuplicates([*keys, "day"])
 
 
-def learned_rule_asof(rows: DataFrame, categories: list[str], th: Thresholds = Thresholds()) -> DataFrame:
-    """The learned rule that stood before each row's day, or none.
+def _with_standing(rows: DataFrame, label: Column, weight: Column) -> DataFrame:
+    keyed = rows.where("counterparty_key is not null").select("ledger_id", "id", "counterparty_key", F.datediff("txn_date", F.lit("1970-01-01").cast("date")).alias("day"))
+    return keyed.join(_standing(rows, label, weight), ["ledger_id", "counterparty_key", "day"])
 
-    One window over the counterparty's days, one conditional sum a category; no row
-    meets another.
-    """
-    keyed = rows.where("counterparty_key is not null").withColumn("_day", F.datediff("txn_date", F.lit("1970-01-01").cast("date")))
-    before = _history(["ledger_id", "counterparty_key"])
+
+def learned_rule_asof(rows: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    """The learned rule that stood before each row's day, or none; any category counts."""
     label = F.when(F.col("source").isin(*VERIFIED), F.col("category"))
-    sums = [F.struct(-F.count(F.when(label == c, 1)).over(before), F.lit(c).alias("c")) for c in sorted(categories)]
-    counted = keyed.withColumn("total", F.count(label).over(before)).withColumn("_b", F.array_min(F.array(*[s.cast("struct<n:bigint,c:string>") for s in sums])))
-    support = -F.col("_b.n")
-    ok = (support >= th.learned_support) & (support / F.col("total") >= th.learned_purity)
-    return counted.where(ok).select("ledger_id", "id", "counterparty_key", F.col("_b.c").alias("category"), support.alias("support"), "total")
+    support = (-F.col("best.w")).cast("long")
+    found = _with_standing(rows, label, F.lit(1.0)).select("ledger_id", "id", "counterparty_key", F.col("best.category").alias("category"), support.alias("support"), F.col("n").alias("total"))
+    return found.where((F.col("support") >= th.learned_support) & (F.col("support") / F.col("total") >= th.learned_purity))
 
 
-def counterparty_prior(rows: DataFrame, categories: list[str], th: Thresholds = Thresholds()) -> DataFrame:
+def counterparty_prior(rows: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     """What a counterparty's earlier labels say about each row: n, weight, winner, probability, established.
 
     Labels of strictly earlier days count, trusted ones in full, machine ones by
-    ``machine_weight``. One range frame over the day, one conditional sum for each
-    category of a closed list; linear in the rows of a hot key.
+    ``machine_weight``; categories are whatever the labels hold.
     """
-    from ledgerloom.thresholds import TRUSTED
-
-    keyed = rows.where("counterparty_key is not null").withColumn("_day", F.datediff("txn_date", F.lit("1970-01-01").cast("date")))
-    before = _history(["ledger_id", "counterparty_key"])
     weight = F.when(F.col("source").isin(*TRUSTED), 1.0).otherwise(th.machine_weight)
-    sums = [F.struct(-F.coalesce(F.sum(F.when(F.col("category") == c, weight)).over(before), F.lit(0.0)), F.lit(c)).cast("struct<w:double,c:string>") for c in sorted(categories)]
-    mass = F.aggregate("_s", F.lit(0.0), lambda a, s: a - s["w"])
-    seen = F.size(F.filter("_s", lambda s: s["w"] < 0))
-    out = keyed.withColumn("n_prior", F.count("category").over(before)).withColumn("_s", F.array(*sums)).where("n_prior > 0")
-    out = out.select("ledger_id", "id", "counterparty_key", "n_prior", F.round(mass, 4).alias("weight"), F.array_min("_s").alias("_b"), seen.alias("_k"))
-    p = (th.prior_weight / F.col("_k") - F.col("_b.w")) / (th.prior_weight + F.col("weight"))
-    out = out.select("ledger_id", "id", "counterparty_key", "n_prior", "weight", F.col("_b.c").alias("category"), F.round(p.cast("decimal(28,8)"), 4).cast("double").alias("probability"))
+    found = _with_standing(rows, F.col("category"), weight)
+    p = (th.prior_weight / F.col("kinds") - F.col("best.w")) / (th.prior_weight + F.round("mass", 4))
+    out = found.select("ledger_id", "id", "counterparty_key", F.col("n").alias("n_prior"), F.round("mass", 4).alias("weight"), F.col("best.category").alias("category"), F.round(p.cast("decimal(28,8)"), 4).cast("double").alias("probability"))
     return out.withColumn("established", (F.col("n_prior") >= th.prior_min_obs) & (F.col("probability") >= th.prior_dominance))

@@ -1,63 +1,14 @@
-"""Nearest labelled neighbours, their votes, and the scores that follow."""
+"""Labels of nearest neighbours, their votes, and the scores that follow."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.thresholds import TRUSTED, Thresholds
 
-#: Queries and donors that one task multiplies; larger ledgers are cut into a grid of such blocks.
-BLOCK = 2048
-
-
-def knn(queries: DataFrame, donors: DataFrame, k: int = 5, causal: bool = False, block: int = BLOCK) -> DataFrame:
-    """The ``k`` nearest donors of each query in its ledger by cosine, not itself.
-
-    Both have ledger_id, id and embedding, and where both have model_version, only
-    vectors of one model meet. With ``causal`` both have a day, and only strictly earlier
-    donors count. The rows of a ledger and model are cut into blocks of queries and of
-    donors; each pair of blocks is one matrix product that leaves at most ``k`` rows a
-    query, and the best of these are ranked. Similarities are rounded to six places
-    before ranking, ties go to the smaller id. Vectors of length zero have similarity 0.
-    """
-    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both may come from one table
-    queries, donors = fresh(queries), fresh(donors)
-    space = ["ledger_id", *(["model_version"] if "model_version" in queries.columns and "model_version" in donors.columns else [])]
-    parts = lambda df, name: df.groupBy(*space).agg(F.ceil(F.count("*") / block).alias(name))
-    sizes = parts(queries, "nq").join(parts(donors, "nd"), space)
-    fields = ["id", "embedding", *(["day"] if causal else [])]
-    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    q = queries.join(sizes, space).select(*space, *fields, place("nq").alias("qb"), spread("nd").alias("db"))
-    d = donors.join(sizes, space).select(*space, *fields, place("nd").alias("db"), spread("nq").alias("qb"))
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"ledger_id": [], "query_id": [], "transaction_id": [], "similarity": []})
-        right = right.sort_values("id", ignore_index=True)
-        unit = lambda x: (m := np.stack(x.to_numpy()).astype(np.float64)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        sims = np.round(unit(left["embedding"]) @ unit(right["embedding"]).T, 6)
-        bad = left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
-        if causal:
-            bad |= right["day"].to_numpy()[None, :] >= left["day"].to_numpy()[:, None]
-        sims[bad] = -np.inf
-        keep = np.isfinite(sims)
-        if sims.shape[1] > k:  # the k-th best, and of those equal to it the first by id
-            least = np.partition(sims, -k, axis=1)[:, -k, None]
-            above, equal = sims > least, (sims == least) & keep
-            keep = above | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True)))
-        row, col = np.nonzero(keep)
-        return pd.DataFrame({"ledger_id": left["ledger_id"].to_numpy()[row], "query_id": left["id"].to_numpy()[row], "transaction_id": right["id"].to_numpy()[col], "similarity": sims[row, col]})
-
-    by = [*space, "qb", "db"]
-    near = q.groupBy(*by).cogroup(d.groupBy(*by)).applyInPandas(nearest, "ledger_id long, query_id string, transaction_id string, similarity double")
-    rank = F.row_number().over(Window.partitionBy("ledger_id", "query_id").orderBy(F.col("similarity").desc(), "transaction_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def novelty_gate(neighbours: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     """Neighbours of queries whose best similarity reaches the floor, with ``best``."""
     best = F.max("similarity").over(Window.partitionBy("ledger_id", "query_id"))
@@ -109,11 +60,17 @@ def agreement_factor(donors: DataFrame, th: Thresholds = Thresholds()) -> DataFr
 
 
 def margin_factor(donors: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
-    """0.85 to 1 by how much farther the nearest donor of another category is."""
+    """0.85 to 1 by how much farther the nearest donor of another category is.
+
+    Similarities have six places, so gap and factor are exact decimals; the result is the double next to that.
+    """
     by = Window.partitionBy("ledger_id", "query_id")
     top = F.min_by("category", _nearest()).over(by)
-    gap = donors.withColumn("_t", top).groupBy("ledger_id", "query_id").agg((F.max("similarity") - F.max(F.when(~F.col("category").eqNullSafe(F.col("_t")), F.col("similarity")))).alias("g"))
-    return gap.select("ledger_id", "query_id", F.when(F.col("g").isNull() | (F.col("g") >= th.margin_safe), 1.0).otherwise(0.85 + 0.15 * (F.col("g") / th.margin_safe)).alias("margin"))
+    exact = F.col("similarity").cast("decimal(10,6)")
+    gap = donors.withColumn("_t", top).groupBy("ledger_id", "query_id").agg((F.max(exact) - F.max(F.when(~F.col("category").eqNullSafe(F.col("_t")), exact))).alias("g"))
+    safe = F.lit(Decimal(str(th.margin_safe)))
+    factor = (F.lit(Decimal("0.85")) + F.lit(Decimal("0.15")) * F.col("g") / safe).cast("double")
+    return gap.select("ledger_id", "query_id", F.when(F.col("g").isNull() | (F.col("g") >= safe), 1.0).otherwise(factor).alias("margin"))
 
 
 def rag_direct(donors: DataFrame, best: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.fixtures import duck
+from ledgerloom.fixtures import checkpointed, duck
 from ledgerloom.operators import insights as I
 from ledgerloom.operators import offsets as O
 from ledgerloom.plans.base import NON, ROWS, Ledger
@@ -37,8 +37,11 @@ OFFSETS = {
     "gt": "SELECT group_id, sum(room) AS total FROM gd GROUP BY 1 HAVING sum(room) > 0",
     "gc": """SELECT m.group_id, r.ledger_id, r.id AS credit_id, r.month, r.amount, gt.total, sum(r.amount) OVER (PARTITION BY m.group_id ORDER BY txn_date, r.id ROWS UNBOUNDED PRECEDING) AS upto
       FROM transaction_group_members m JOIN r ON r.id = m.transaction_id JOIN gt ON gt.group_id = m.group_id WHERE debit_credit = 'credit' AND txn_type = 'split'""",
-    "groups": """SELECT ledger_id, credit_id, gd.id AS debit_id, month, category, CAST(round(CAST(take AS DOUBLE) * CAST(room AS DOUBLE) / CAST(total AS DOUBLE), 6) AS DECIMAL(28,6)) AS amount
-      FROM (SELECT *, least(total, upto) - least(total, upto - amount) AS take FROM gc) g JOIN gd ON gd.group_id = g.group_id WHERE take > 0 AND room > 0""",
+    "gs": """SELECT g.ledger_id, g.group_id, credit_id, gd.id AS debit_id, month, category, take, (take * room) // total AS base, (take * room) % total AS rest
+      FROM (SELECT * REPLACE (CAST(total * 1000000 AS HUGEINT) AS total), CAST((least(total, upto) - least(total, upto - amount)) * 1000000 AS HUGEINT) AS take FROM gc) g
+      JOIN (SELECT * REPLACE (CAST(room * 1000000 AS HUGEINT) AS room) FROM gd) gd ON gd.group_id = g.group_id WHERE take > 0 AND room > 0""",
+    "groups": """SELECT ledger_id, credit_id, debit_id, month, category,
+      CAST(CAST(base + CASE WHEN row_number() OVER (PARTITION BY group_id, credit_id ORDER BY rest DESC, debit_id) <= take - sum(base) OVER (PARTITION BY group_id, credit_id) THEN 1 ELSE 0 END AS DECIMAL(22,0)) * 0.000001 AS DECIMAL(28,6)) AS amount FROM gs""",
     "used": """SELECT credit_id AS id FROM lk UNION SELECT m.transaction_id FROM transaction_group_members m JOIN r ON r.id = m.transaction_id WHERE txn_type = 'split' AND debit_credit = 'credit'""",
     "oc": f"""SELECT * FROM r WHERE debit_credit = 'credit' AND annotation_id IS NOT NULL AND ((category = 'Income' AND subcategory = 'Refund') OR category NOT IN {NON}) AND id NOT IN (SELECT id FROM used)""",
     "labelled": "SELECT ledger_id, id AS credit_id, CAST(NULL AS VARCHAR) AS debit_id, month, category, amount FROM oc WHERE category <> 'Income'",
@@ -76,7 +79,11 @@ def _phase(name: str) -> str:
 
 def _offsets(spark, sf_dir):
     t = Ledger(spark, sf_dir)
-    return O.spend_offsets(t.rows, t.transaction_links, t.transaction_group_members)
+    return O.spend_offsets(t.rows, t.transaction_links, t.transaction_group_members, checkpointed)
+
+
+def _settled(t: Ledger):
+    return O.settled_credits(t.rows, t.transaction_links, t.transaction_group_members)
 
 
 def _shown(df):
@@ -110,11 +117,11 @@ def offsets_refund_by_amount(spark, sf_dir):
 
 @query(duck("SELECT id FROM settled", **OFFSETS))
 def settled_credits(spark, sf_dir):
-    return _offsets(spark, sf_dir)["settled"].select("id")
+    return _settled(Ledger(spark, sf_dir)).select("id")
 
 
 def _net(spark, sf_dir):
-    return I.category_net_spend(Ledger(spark, sf_dir).rows, _offsets(spark, sf_dir)["all"]).persist()
+    return checkpointed(I.category_net_spend(Ledger(spark, sf_dir).rows, _offsets(spark, sf_dir)["all"]))
 
 
 @query(duck("SELECT * FROM net", **OFFSETS))
@@ -122,9 +129,12 @@ def category_net_spend(spark, sf_dir):
     return _net(spark, sf_dir)
 
 
-@query(duck(f"""SELECT ledger_id, month, spend_cat AS category, sub AS subcategory, round(CAST(sum(amount) AS DOUBLE), 2) AS total, count(*) AS count
+_SUBS = f"""SELECT ledger_id, month, spend_cat AS category, sub AS subcategory, round(CAST(sum(amount) AS DOUBLE), 2) AS total, count(*) AS count
 FROM (SELECT *, CASE subcategory WHEN 'Dining' THEN 'Restaurants' ELSE coalesce(subcategory, 'Other') END AS sub FROM r WHERE debit_credit = 'debit' AND spend_cat NOT IN {NON})
-GROUP BY GROUPING SETS ((ledger_id, month, spend_cat, sub), (ledger_id, month, spend_cat))""", r=ROWS))
+GROUP BY GROUPING SETS ((ledger_id, month, spend_cat, sub), (ledger_id, month, spend_cat))"""
+
+
+@query(duck("SELECT * FROM sb", r=ROWS, sb=_SUBS))
 def subcategory_breakdown(spark, sf_dir):
     return I.subcategory_breakdown(Ledger(spark, sf_dir).rows)
 
@@ -166,18 +176,22 @@ def committed_by_name(spark, sf_dir):
     return I.committed_by_name(I.recurring_charges(Ledger(spark, sf_dir).rows))
 
 
-@query(duck("""SELECT m.ledger_id, person_id, name, relationship, round(CAST(coalesce(sum(amount) FILTER (WHERE debit_credit = 'debit'), 0) AS DOUBLE), 2) AS sent,
-round(CAST(coalesce(sum(amount) FILTER (WHERE debit_credit = 'credit'), 0) AS DOUBLE), 2) AS received, round(CAST(sum(CASE debit_credit WHEN 'credit' THEN amount ELSE -amount END) AS DOUBLE), 2) AS net, count(*) AS count, max(txn_date) AS last_date
-FROM mv m LEFT JOIN mt USING (id) GROUP BY ALL""", **OFFSETS, **{
+_PEOPLE = {
     "mv": "SELECT *, lower(coalesce(counterparty_key, '')) AS cpk, lower(coalesce(merchant, '')) AS m FROM r WHERE category = 'Transfers' AND coalesce(subcategory, '') <> 'ATM Withdrawal' AND id NOT IN (SELECT id FROM settled)",
     "mt": """SELECT id, person_id, name, relationship FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rk, name, person_id) AS n FROM (
       SELECT mv.id, p.id AS person_id, p.name, p.relationship, CASE WHEN m <> '' AND m = lower(p.name) THEN 0
         WHEN (length(p.name) >= 4 AND (contains(cpk, lower(p.name)) OR contains(m, lower(p.name)))) OR (length(p.upi) >= 4 AND (contains(cpk, lower(p.upi)) OR contains(m, lower(p.upi)))) THEN 1 END AS rk
       FROM mv JOIN people p ON p.ledger_id = mv.ledger_id) WHERE rk IS NOT NULL) WHERE n = 1""",
-}), dates="last_date")
+}
+_PEOPLE["ppl"] = """SELECT m.ledger_id, person_id, name, relationship, round(CAST(coalesce(sum(amount) FILTER (WHERE debit_credit = 'debit'), 0) AS DOUBLE), 2) AS sent,
+round(CAST(coalesce(sum(amount) FILTER (WHERE debit_credit = 'credit'), 0) AS DOUBLE), 2) AS received, round(CAST(sum(CASE debit_credit WHEN 'credit' THEN amount ELSE -amount END) AS DOUBLE), 2) AS net, count(*) AS count, max(txn_date) AS last_date
+FROM mv m LEFT JOIN mt USING (id) GROUP BY ALL"""
+
+
+@query(duck("SELECT * FROM ppl", **OFFSETS, **_PEOPLE), dates="last_date")
 def people_ledger(spark, sf_dir):
     t = Ledger(spark, sf_dir)
-    return I.people_ledger(t.rows, t.people, _offsets(spark, sf_dir)["settled"])
+    return I.people_ledger(t.rows, t.people, _settled(t))
 
 
 _MERGE = {
@@ -224,9 +238,12 @@ def primary_account(spark, sf_dir):
     return I.primary_account(t.transactions, t.statements)
 
 
-@query(duck("""SELECT ledger_id, account, date, balance FROM (SELECT *, row_number() OVER (PARTITION BY ledger_id ORDER BY date) AS i, count(*) OVER (PARTITION BY ledger_id) AS n FROM (
+_BALANCE = {**_PRIMARY, "bal": """SELECT ledger_id, account, date, balance FROM (SELECT *, row_number() OVER (PARTITION BY ledger_id ORDER BY date) AS i, count(*) OVER (PARTITION BY ledger_id) AS n FROM (
   SELECT st.ledger_id, pa.label AS account, txn_date AS date, CAST(arg_max(running_balance, row_seq) AS DOUBLE) AS balance FROM st JOIN pa ON pa.ledger_id = st.ledger_id AND pa.bank_name = st.bank_name AND (accounts <= 1 OR st.account_ref = pa.account_ref) GROUP BY ALL))
-WHERE (i - 1) % CAST(greatest(ceil(n / 240.0), 1) AS BIGINT) = 0 OR i = n""", **_PRIMARY), dates="date")
+WHERE (i - 1) % CAST(greatest(ceil(n / 240.0), 1) AS BIGINT) = 0 OR i = n"""}
+
+
+@query(duck("SELECT * FROM bal", **_BALANCE), dates="date")
 def balance_series(spark, sf_dir):
     t = Ledger(spark, sf_dir)
     return I.balance_series(t.transactions, t.statements)
@@ -245,13 +262,73 @@ def annotation_coverage(spark, sf_dir):
     return I.annotation_coverage(Ledger(spark, sf_dir).rows)
 
 
-@query(duck("""SELECT v.ledger_id, v.month, v.kept, p.kept AS prev_kept, (SELECT count(*) FROM net x WHERE x.ledger_id = v.ledger_id AND x.month = v.month) AS categories,
-(SELECT count(*) FROM top x WHERE x.ledger_id = v.ledger_id AND x.month = v.month) AS merchants, u.total AS unexplained
-FROM vd v JOIN (SELECT ledger_id, max(month) AS month FROM vd GROUP BY 1) l ON l.ledger_id = v.ledger_id AND l.month = v.month
-LEFT JOIN vd p ON p.ledger_id = v.ledger_id AND p.month = strftime(CAST(v.month || '-01' AS DATE) - INTERVAL 1 MONTH, '%Y-%m') JOIN op u ON u.ledger_id = v.ledger_id AND u.month = v.month""",
-    **OFFSETS, **{k: v for k, v in _MERGE.items() if k != "r"}, **_TOP, vd=_VERDICT, op=_OPEN))
+def _cents(x: str) -> str:
+    return f"CAST(round({x} * 100) AS BIGINT)"
+
+
+_PARTS = {
+    **OFFSETS, **{k: v for k, v in _PEOPLE.items()}, **{k: v for k, v in _RECURRING.items() if k != "r"}, **{k: v for k, v in _MERGE.items() if k != "r"}, **_TOP, **_BALANCE, "sb": _SUBS, "vd": _VERDICT, "op": _OPEN,
+    "ms": "SELECT ledger_id, string_agg(month, ',' ORDER BY month) AS months, count(*) AS n_months FROM (SELECT DISTINCT ledger_id, month FROM r) GROUP BY 1",
+    "ask": "SELECT ledger_id, coalesce(max(month) FILTER (WHERE month = '{month}'), max(month)) AS month, strftime(CAST(coalesce(max(month) FILTER (WHERE month = '{month}'), max(month)) || '-01' AS DATE) - INTERVAL 1 MONTH, '%Y-%m') AS prev_month FROM r GROUP BY 1",
+    "cats": f"""SELECT a.ledger_id, string_agg(n.category || ':' || {_cents("n.gross")} || ':' || {_cents("n.net")} || ':' || {_cents("n.offsets")} || ':' || n.count || ':' || {_cents("coalesce(p.net, 0)")} || ':' || {_cents("round(n.net - coalesce(p.net, 0), 2)")} || ':' || coalesce(s.subs, ''), '|' ORDER BY n.net DESC, n.category) AS categories
+      FROM ask a JOIN net n ON n.ledger_id = a.ledger_id AND n.month = a.month LEFT JOIN net p ON p.ledger_id = a.ledger_id AND p.month = a.prev_month AND p.category = n.category
+      LEFT JOIN (SELECT ledger_id, month, category, string_agg(subcategory || '=' || {_cents("total")} || '/' || count, ';' ORDER BY total DESC, subcategory) AS subs FROM sb WHERE subcategory IS NOT NULL GROUP BY ALL) s ON s.ledger_id = n.ledger_id AND s.month = n.month AND s.category = n.category GROUP BY 1""",
+    "chg": f"""SELECT ledger_id, string_agg(category || ':' || {_cents("delta")} || ':' || {_cents("cur")} || ':' || {_cents("pre")}, '|' ORDER BY k) AS what_changed FROM (
+      SELECT *, row_number() OVER (PARTITION BY ledger_id ORDER BY abs(delta) DESC, category) AS k FROM (SELECT a.ledger_id, n.category, coalesce(max(net) FILTER (WHERE n.month = a.month), 0) AS cur, coalesce(max(net) FILTER (WHERE n.month = a.prev_month), 0) AS pre,
+        round(coalesce(max(net) FILTER (WHERE n.month = a.month), 0) - coalesce(max(net) FILTER (WHERE n.month = a.prev_month), 0), 2) AS delta
+        FROM ask a JOIN net n ON n.ledger_id = a.ledger_id AND n.month IN (a.month, a.prev_month) GROUP BY ALL) WHERE abs(delta) >= 1) WHERE k <= 3 GROUP BY 1""",
+    "rcs": "SELECT ledger_id, string_agg(name || ':' || coalesce(category, '') || ':' || amount || ':' || months_seen || '/' || months_span || ':' || cadence || ':' || last_date || ':' || active, '|' ORDER BY amount DESC, name, key) AS recurring FROM rec GROUP BY 1",
+    "pps": f"""SELECT ledger_id, string_agg(name || ':' || {_cents("sent")} || ':' || {_cents("received")} || ':' || {_cents("net")} || ':' || count || ':' || last_date, '|' ORDER BY abs(net) DESC, name, person_id) FILTER (WHERE person_id IS NOT NULL) AS people,
+      {_cents("coalesce(max(sent) FILTER (WHERE person_id IS NULL), 0)")} AS unmatched_sent, {_cents("coalesce(max(received) FILTER (WHERE person_id IS NULL), 0)")} AS unmatched_received, CAST(coalesce(max(count) FILTER (WHERE person_id IS NULL), 0) AS BIGINT) AS unmatched_count FROM ppl GROUP BY 1""",
+    "mcs": f"SELECT a.ledger_id, string_agg(name || ':' || {_cents('total')} || ':' || count || ':' || {_cents('avg')}, '|' ORDER BY rank) AS merchants FROM ask a JOIN top t ON t.ledger_id = a.ledger_id AND t.month = a.month GROUP BY 1",
+    "bls": f"SELECT ledger_id, any_value(account) AS account, count(*) AS points, string_agg(date || '=' || {_cents('balance')}, ',' ORDER BY date) AS balance FROM bal GROUP BY 1",
+    "out": f"""SELECT a.ledger_id, a.month, a.prev_month, months, {_cents("v.money_in")} AS money_in, {_cents("v.money_out")} AS money_out, {_cents("v.invested")} AS invested, {_cents("v.kept")} AS kept, v.kept_rate, {_cents("coalesce(p.money_in, 0)")} AS prev_in, {_cents("coalesce(p.kept, 0)")} AS prev_kept, p.kept_rate AS prev_rate,
+      coalesce(what_changed, '') AS what_changed, coalesce(categories, '') AS categories, coalesce(recurring, '') AS recurring, coalesce(people, '') AS people, coalesce(unmatched_sent, 0) AS unmatched_sent, coalesce(unmatched_received, 0) AS unmatched_received, coalesce(unmatched_count, 0) AS unmatched_count,
+      coalesce(merchants, '') AS merchants, account, coalesce(points, 0) AS points, md5(coalesce(balance, '')) AS balance, o.count AS unexplained_count, {_cents("o.total")} AS unexplained, c.total, c.annotated
+      FROM ask a JOIN ms ON ms.ledger_id = a.ledger_id JOIN vd v ON v.ledger_id = a.ledger_id AND v.month = a.month LEFT JOIN vd p ON p.ledger_id = a.ledger_id AND p.month = a.prev_month
+      LEFT JOIN chg ON chg.ledger_id = a.ledger_id LEFT JOIN cats ON cats.ledger_id = a.ledger_id LEFT JOIN rcs ON rcs.ledger_id = a.ledger_id LEFT JOIN pps ON pps.ledger_id = a.ledger_id LEFT JOIN mcs ON mcs.ledger_id = a.ledger_id LEFT JOIN bls ON bls.ledger_id = a.ledger_id
+      JOIN op o ON o.ledger_id = a.ledger_id AND o.month = a.month JOIN (SELECT ledger_id, month, count(DISTINCT id) AS total, count(DISTINCT CASE WHEN annotation_id IS NOT NULL THEN id END) AS annotated FROM r GROUP BY ALL) c ON c.ledger_id = a.ledger_id AND c.month = a.month""",
+}
+
+
+def _summary_sql(month: str) -> str:
+    return duck("SELECT * FROM out", **_PARTS | {"ask": _PARTS["ask"].replace("{month}", month)})
+
+
+def _summary(spark, sf_dir, month):
+    t = Ledger(spark, sf_dir)
+    rows, net = t.rows, _net(spark, sf_dir)
+    marts = {
+        "verdict": I.monthly_verdict(rows), "net": net, "subcategories": I.subcategory_breakdown(rows), "recurring": I.recurring_charges(rows), "people": I.people_ledger(rows, t.people, _settled(t)),
+        "merchants": I.top_merchants(rows), "balance": I.balance_series(t.transactions, t.statements), "unexplained": I.unexplained(rows), "coverage": I.annotation_coverage(rows),
+    }
+    out = I.insight_summary(marts, month)
+    cents = lambda c: F.round(c * 100).cast("long")
+    told = lambda rows, sep, *parts: F.array_join(F.transform(rows, lambda x: F.concat_ws(":", *[p(x).cast("string") for p in parts])), sep)
+    get = lambda f: lambda x: F.coalesce(x[f].cast("string"), F.lit(""))
+    money = lambda f: lambda x: cents(x[f])
+    subs = lambda x: F.array_join(F.transform(x["subcategories"], lambda y: F.concat(y["subcategory"], F.lit("="), cents(y["total"]).cast("string"), F.lit("/"), y["count"].cast("string"))), ";")
+    span = lambda x: F.concat(x["months_seen"].cast("string"), F.lit("/"), x["months_span"].cast("string"))
+    series = F.array_join(F.transform("balance", lambda x: F.concat(x["date"].cast("string"), F.lit("="), cents(x["balance"]).cast("string"))), ",")
+    return out.select(
+        "ledger_id", "month", "prev_month", F.array_join("months", ",").alias("months"), *[cents(F.col(f"verdict.{c}")).alias(c) for c in ("money_in", "money_out", "invested", "kept")], "verdict.kept_rate",
+        cents(F.col("prev_verdict.money_in")).alias("prev_in"), cents(F.col("prev_verdict.kept")).alias("prev_kept"), F.col("prev_verdict.kept_rate").alias("prev_rate"),
+        told("what_changed", "|", get("category"), money("delta"), money("current"), money("previous")).alias("what_changed"),
+        told("categories", "|", get("category"), money("gross"), money("net"), money("offsets"), get("count"), money("prev_net"), money("delta"), subs).alias("categories"),
+        told("recurring", "|", get("name"), get("category"), get("amount"), span, get("cadence"), get("last_date"), get("active")).alias("recurring"),
+        told("people", "|", get("name"), money("sent"), money("received"), money("net"), get("count"), get("last_date")).alias("people"),
+        cents(F.col("unmatched.sent")).alias("unmatched_sent"), cents(F.col("unmatched.received")).alias("unmatched_received"), F.col("unmatched.count").alias("unmatched_count"),
+        told("merchants", "|", get("name"), money("total"), get("count"), money("avg")).alias("merchants"), "account", F.size("balance").cast("long").alias("points"), F.md5(series).alias("balance"),
+        F.col("unexplained.count").alias("unexplained_count"), cents(F.col("unexplained.total")).alias("unexplained"), "annotation.total", "annotation.annotated",
+    )
+
+
+@query(_summary_sql(""))
 def insight_summary(spark, sf_dir):
-    rows, net = Ledger(spark, sf_dir).rows, _net(spark, sf_dir)
-    out = I.insight_summary(I.monthly_verdict(rows), net, I.what_changed(I.month_over_month(net)), I.top_merchants(rows), I.unexplained(rows), I.annotation_coverage(rows))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return out.select("ledger_id", "month", "verdict.kept", F.col("prev_verdict.kept").alias("prev_kept"), size("categories").alias("categories"), size("merchants").alias("merchants"), F.col("unexplained.total").alias("unexplained"))
+    return _summary(spark, sf_dir, None)
+
+
+@query(_summary_sql("1996-02"))
+def insight_summary_month(spark, sf_dir):
+    """A month that is asked for; ledgers without it tell their latest."""
+    return _summary(spark, sf_dir, "1996-02")

@@ -10,6 +10,7 @@ from ledgerloom.fixtures import checkpointed, duck
 from ledgerloom.functions import scalars as S
 from ledgerloom.operators import cascade as C
 from ledgerloom.operators import feedback as FB
+from ledgerloom.operators import neighbours as N
 from ledgerloom.operators import rules as R
 from ledgerloom.operators import votes as V
 from ledgerloom.plans.base import ROWS, Ledger
@@ -49,12 +50,7 @@ def match_keyword_rules(spark, sf_dir):
 
 @query(duck("SELECT id, CASE " + " ".join(f"WHEN regexp_matches(hay, '{_alt(b)}') AND regexp_matches(hay, '{_alt(o)}') THEN '{m}'" for b, o, _, _, m, _ in R.DISAMBIGUATION_RULES) + " END AS merchant FROM h", h=_HAY))
 def match_disambiguation_rules(spark, sf_dir):
-    rows = Ledger(spark, sf_dir).transactions
-    hay = F.concat_ws(" ", F.lower("raw_description"), F.lower("note"))
-    name = F.lit(None).cast("string")
-    for base, override, _, _, merchant, _ in reversed(R.DISAMBIGUATION_RULES):
-        name = F.when(hay.rlike(R._words(base)) & hay.rlike(R._words(override)), merchant).otherwise(name)
-    return rows.select("id", name.alias("merchant"))
+    return R.match_disambiguation_rules(Ledger(spark, sf_dir).transactions).select("id", F.col("label.merchant").alias("merchant"))
 
 
 _PEOPLE = """SELECT id, person_id, name, subcategory FROM (SELECT t.id, p.id AS person_id, p.name, CASE p.relationship WHEN 'mom' THEN 'Family' ELSE 'Peer Transfer' END AS subcategory,
@@ -100,7 +96,7 @@ _ASOF = """SELECT ledger_id, id, counterparty_key, category, support, CAST(total
 
 @query(duck("SELECT * FROM lra", r=ROWS, vr=_VER, lra=_ASOF))
 def learned_rule_asof(spark, sf_dir):
-    return R.learned_rule_asof(Ledger(spark, sf_dir).rows, CATEGORIES)
+    return R.learned_rule_asof(Ledger(spark, sf_dir).rows)
 
 
 _PRIOR = {
@@ -115,7 +111,26 @@ _PRIOR = {
 
 @query(duck("SELECT * FROM pr", **_PRIOR))
 def counterparty_prior(spark, sf_dir):
-    return R.counterparty_prior(Ledger(spark, sf_dir).rows, CATEGORIES)
+    return R.counterparty_prior(Ledger(spark, sf_dir).rows)
+
+
+_OPEN = {"r0": ROWS, "r": "SELECT * REPLACE (category || coalesce(' / ' || merchant, '') || CASE WHEN k % 1009 = 5 THEN ' ' || id ELSE '' END AS category) FROM r0"}
+
+
+def _open(t: Ledger):
+    """Labels whose categories are open: finer by merchant, and some that occur once."""
+    once = F.when(F.col("k") % 1009 == 5, F.concat(F.lit(" "), "id")).otherwise("")
+    return t.rows.withColumn("category", F.concat("category", F.coalesce(F.concat(F.lit(" / "), "merchant"), F.lit("")), once))
+
+
+@query(duck("SELECT * FROM pr", **{**_OPEN, **{k: v for k, v in _PRIOR.items() if k != "r"}}))
+def counterparty_prior_open(spark, sf_dir):
+    return R.counterparty_prior(_open(Ledger(spark, sf_dir)))
+
+
+@query(duck("SELECT * FROM lra", **_OPEN, vr=_VER, lra=_ASOF))
+def learned_rule_asof_open(spark, sf_dir):
+    return R.learned_rule_asof(_open(Ledger(spark, sf_dir)))
 
 
 _GATE = "SELECT m.id, 'Transfers' AS category, m.subcategory, CASE WHEN p.category <> 'Transfers' THEN 0.5::DOUBLE ELSE 0.95::DOUBLE END AS confidence, 'rule' AS source, m.name AS merchant, coalesce(p.category <> 'Transfers', false) AS gated FROM mp m LEFT JOIN (SELECT * FROM pr WHERE established) p ON p.id = m.id"
@@ -124,7 +139,7 @@ _GATE = "SELECT m.id, 'Transfers' AS category, m.subcategory, CASE WHEN p.catego
 @query(duck(_GATE, **_PRIOR, mp=_PEOPLE))
 def person_history_gate(spark, sf_dir):
     t = Ledger(spark, sf_dir)
-    return C.person_history_gate(R.match_people(t.transactions, t.people), R.counterparty_prior(t.rows, CATEGORIES))
+    return C.person_history_gate(R.match_people(t.transactions, t.people), R.counterparty_prior(t.rows))
 
 
 # -- neighbours -----------------------------------------------------------------------------
@@ -139,20 +154,20 @@ _KNN = {
     "dd": "SELECT * FROM dl QUALIFY row_number() OVER (PARTITION BY ledger_id, query_id, CASE WHEN vpa <> '' THEN 'vpa:' || lower(vpa) WHEN trim(merchant) <> '' THEN 'merchant:' || lower(trim(merchant)) ELSE 'desc:' || lower(trim(raw_description)) END ORDER BY similarity DESC, transaction_id) = 1",
     "tp": "SELECT *, arg_max(category, (similarity, -CAST(transaction_id AS BIGINT))) OVER (PARTITION BY ledger_id, query_id) AS top FROM dd",
     "ag": "SELECT ledger_id, query_id, CASE WHEN avg((category = top)::INT) >= 1 THEN 1.0 ELSE pow(avg((category = top)::INT), 0.3) END::DOUBLE AS agreement FROM tp GROUP BY ALL",
-    "mg": """SELECT ledger_id, query_id, CASE WHEN g IS NULL OR g >= 0.08 THEN 1.0 ELSE 0.85 + 0.15 * (g / 0.08) END::DOUBLE AS margin FROM (SELECT ledger_id, query_id, max(similarity) - max(similarity) FILTER (WHERE category <> top) AS g FROM tp GROUP BY ALL)""",
+    "mg": """SELECT ledger_id, query_id, CASE WHEN g IS NULL OR g >= 0.08 THEN 1.0::DOUBLE ELSE CAST(0.85 + 1.875 * g AS DOUBLE) END AS margin FROM (SELECT ledger_id, query_id, max(similarity::DECIMAL(10,6)) - max(similarity::DECIMAL(10,6)) FILTER (WHERE category <> top) AS g FROM tp GROUP BY ALL)""",
 }
 #: The same with donors of strictly earlier days alone.
 _CAUSAL = {**_KNN, "nn": _KNN["nn"].replace("d.id <> q.id WHERE", "d.id <> q.id AND d.day < q.day WHERE")}
 
 
-def _near(t: Ledger, causal: bool = False, left=None):
+def _near(t: Ledger, causal: bool = False, left=None, block: int = N.BLOCK):
     """Neighbours in all vectors of the same ledger and model: of every vector whose number 20 divides, or of the rows ``left``."""
     model = (F.floor(F.col("vec_id") / 7) % 2).alias("model_version")
     v = t.vectors.select(F.col("transaction_id").alias("id"), (F.col("vec_id") % 3).alias("ledger_id"), model, "vec_id", "embedding")
     if causal:
         v = v.join(t.transactions.select("id", F.col("txn_date").alias("day")), "id")
     asked = v.where("vec_id % 20 = 0") if left is None else v.join(left.select("id"), "id", "left_semi")
-    return checkpointed(V.knn(asked.drop("vec_id"), v.drop("vec_id"), causal=causal))
+    return checkpointed(N.knn(asked.drop("vec_id"), v.drop("vec_id"), causal=causal, block=block, keep=checkpointed))
 
 
 def _knn(spark, sf_dir):
@@ -180,6 +195,12 @@ def knn_causal(spark, sf_dir):
     return _near(Ledger(spark, sf_dir), causal=True)
 
 
+@query(duck("SELECT ledger_id, query_id, transaction_id, similarity, rank FROM nn", **_KNN))
+def knn_indexed(spark, sf_dir):
+    """The same through the metric index, whose clusters are small enough here that each ledger has several."""
+    return _near(Ledger(spark, sf_dir), block=32)
+
+
 @query(duck("SELECT ledger_id, query_id, transaction_id, best FROM ng", **_KNN))
 def novelty_gate(spark, sf_dir):
     return _donors(spark, sf_dir)[1].select("ledger_id", "query_id", "transaction_id", "best")
@@ -210,9 +231,10 @@ def agreement_factor(spark, sf_dir):
     return V.agreement_factor(_donors(spark, sf_dir)[2]).withColumn("agreement", F.round("agreement", 6))
 
 
-@query(duck("SELECT ledger_id, query_id, round(margin, 6) AS margin FROM mg", **_KNN))
+@query(duck("SELECT ledger_id, query_id, CAST(round(CAST(margin AS DECIMAL(12,9)), 6) AS DOUBLE) AS margin FROM mg", **_KNN))
 def margin_factor(spark, sf_dir):
-    return V.margin_factor(_donors(spark, sf_dir)[2]).withColumn("margin", F.round("margin", 6))
+    exact = F.col("margin").cast("decimal(12,9)")  # nine places hold it whole, so a tie is a tie
+    return V.margin_factor(_donors(spark, sf_dir)[2]).withColumn("margin", F.round(exact, 6).cast("double"))
 
 
 _RAG = """SELECT ledger_id, query_id, category, transaction_id AS donor_id, CAST(round(CAST(best * agreement * margin AS DECIMAL(28,10)), 4) AS DOUBLE) AS confidence
@@ -295,7 +317,7 @@ _FUSED = """SELECT transaction_id, category, CASE WHEN on_ AND pc = category THE
 
 
 def _fused(t, prior=None):
-    prior = (R.counterparty_prior(t.rows, CATEGORIES) if prior is None else prior).select(F.col("id").alias("transaction_id"), F.col("category").alias("prior_category"), "probability", "established")
+    prior = (R.counterparty_prior(t.rows) if prior is None else prior).select(F.col("id").alias("transaction_id"), F.col("category").alias("prior_category"), "probability", "established")
     return V.fuse_prior(_prompted(t).join(prior, "transaction_id", "left"))
 
 
@@ -318,12 +340,12 @@ _CASCADE_CAUSAL = _CASCADE | {"nn": _CAUSAL["nn"].replace(" WHERE q.vec_id % 20
 def cascade_labels(t: Ledger, causal: bool = False):
     """The cascade over all transactions: rules side by side, then retrieval and answers over what they left."""
     none = F.lit(None).cast("string").alias("subcategory")
-    prior = checkpointed(R.counterparty_prior(t.rows, CATEGORIES))
+    prior = checkpointed(R.counterparty_prior(t.rows))
 
     def rules(left):
         person = C.person_history_gate(R.match_people(left, t.people), prior)
         keyword = R.match_keyword_rules(left).where("label is not null").select("id", "label.category", "label.subcategory", "label.confidence", "label.source")
-        learned = R.learned_rule_asof(t.rows, CATEGORIES).select("id", "category", none, F.lit(TH.learned_confidence).alias("confidence"), F.lit("learned_rule").alias("source"))
+        learned = R.learned_rule_asof(t.rows).select("id", "category", none, F.lit(TH.learned_confidence).alias("confidence"), F.lit("learned_rule").alias("source"))
         return C.first_of(left, [("person", person), ("keyword", keyword), ("learned", learned)])
 
     def retrieved(left):
@@ -357,7 +379,7 @@ def run_counts(spark, sf_dir):
 def reasoning_trace(spark, sf_dir):
     t = Ledger(spark, sf_dir)
     gated, donors = _gated(t, _near(t, left=t.transactions))
-    prior = checkpointed(R.counterparty_prior(t.rows, CATEGORIES))
+    prior = checkpointed(R.counterparty_prior(t.rows))
     of = lambda df, *cols: df.select(F.col("query_id").alias("id"), *cols)
     best = gated.groupBy(F.col("query_id").alias("id")).agg(F.max("best").alias("best_similarity"))
     facts = t.transactions.select("id", S.embed_text(F.col("debit_credit"), F.col("raw_description"), F.col("note")).alias("embed_text")).join(best, "id", "left")
@@ -373,17 +395,38 @@ def reasoning_trace(spark, sf_dir):
     return C.reasoning_trace(cascade_labels(t), facts, donors, LOW)
 
 
-@query()
+_SHOTS = {
+    **_KNN,
+    "fs": """SELECT d.query_id, string_agg('- ' || concat_ws(' | ', raw_description, concat_ws(' > ', d.category, subcategory), source), chr(10) ORDER BY CASE source WHEN 'manual' THEN 0 WHEN 'rule' THEN 1 WHEN 'imported' THEN 2 ELSE 9 END, -similarity, transaction_id) AS shown, count(*) AS n, any_value(m.category) AS majority, any_value(m.n) AS majority_count
+FROM dl d LEFT JOIN (SELECT * FROM (SELECT query_id, category, count(*) AS n FROM dl WHERE category IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, category) = 1) m ON m.query_id = d.query_id GROUP BY d.query_id""",
+}
+
+
+@query(duck(f"""SELECT t.id, concat_ws(chr(10), 'Choose one of: {", ".join(CATEGORIES)}', 'Row: ' || debit_credit || ' ' || amount || ' ' || raw_description, CASE WHEN length(trim(note)) > 0 THEN 'Note: ' || trim(note) END,
+CASE WHEN shown IS NOT NULL THEN 'Similar rows:' END, shown, 'Most similar rows are labelled ' || majority || ' (' || majority_count || ' of ' || n || ').') AS prompt, shown IS NOT NULL AS with_examples FROM transactions t LEFT JOIN fs ON fs.query_id = t.id""", **_SHOTS))
 def render_prompts(spark, sf_dir):
     t, near = _knn(spark, sf_dir)
     shots = V.fewshot_examples(V.attach_donor_labels(V.novelty_gate(near, LOW), t.rows)).withColumnRenamed("query_id", "id").drop("ledger_id")
-    return C.render_prompts(t.transactions.join(shots, "id"), CATEGORIES)
+    return C.render_prompts(t.transactions.join(shots, "id", "left"), CATEGORIES)
 
 
-@query()
+_NAMES = {
+    "vl": "SELECT DISTINCT CASE WHEN k % 3 = 0 THEN upper(category) WHEN k % 3 = 1 THEN right(category, 9) ELSE category END AS category FROM annotations WHERE category IS NOT NULL",
+    "nm": "SELECT unnest([" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]) AS name",
+}
+
+
+def _spelled(t: Ledger):
+    return t.annotations.select(F.when(F.col("k") % 3 == 0, F.upper("category")).when(F.col("k") % 3 == 1, F.expr("right(category, 9)")).otherwise(F.col("category")).alias("category"))
+
+
+@query(duck("""SELECT category, coalesce(e, c, CASE WHEN n = 1 THEN i END) AS normalized, CASE WHEN e IS NOT NULL THEN 'exact' WHEN c IS NOT NULL THEN 'case' ELSE 'inside' END AS how FROM (
+  SELECT vl.category, max(name) FILTER (WHERE name = vl.category) AS e, min(name) FILTER (WHERE lower(name) = lower(trim(vl.category))) AS c, max(name) FILTER (WHERE x) AS i, count(*) FILTER (WHERE x) AS n
+  FROM (SELECT vl.category, name, contains(lower(name), lower(trim(vl.category))) OR contains(lower(trim(vl.category)), lower(name)) AS x FROM vl, nm) vl GROUP BY 1) WHERE e IS NOT NULL OR c IS NOT NULL OR n = 1""", **_NAMES))
 def normalize_category(spark, sf_dir):
-    rows = Ledger(spark, sf_dir).annotations.select(F.when(F.col("k") % 3 == 0, F.upper("category")).when(F.col("k") % 3 == 1, F.substring("category", 1, 6)).otherwise(F.col("category")).alias("category"))
-    return C.normalize_category(rows, CATEGORIES)
+    """Here every label is found without the last step."""
+    names = spark.createDataFrame([(c,) for c in CATEGORIES], "name string")
+    return C.normalize_category(_spelled(Ledger(spark, sf_dir)), names)
 
 
 _TAX = "SELECT p.name AS category, c.name AS subcategory FROM categories c JOIN categories p ON p.id = c.parent_id"

@@ -150,25 +150,46 @@ def near_misses(spark, sf_dir):
 
 # -- evaluation -----------------------------------------------------------------------------
 
-_REC = "SELECT p.transaction_id, CASE WHEN k % 2 = 0 THEN 'a' ELSE 'b' END AS run, p.stage, p.category, p.confidence, coalesce(p.category = r.category, false) AS correct FROM predictions p JOIN r ON r.id = p.transaction_id WHERE r.source = 'manual'"
+_REC = "SELECT p.transaction_id, CASE WHEN k % 2 = 0 THEN 'a' ELSE 'b' END AS run, p.stage, p.category, p.confidence, coalesce(p.category = r.category, false) AS correct, CASE WHEN k % 10 < 9 THEN (k * 7 % 900) / 1000.0::DOUBLE END AS latency_s FROM predictions p JOIN r ON r.id = p.transaction_id WHERE r.source = 'manual'"
 
 
 def _records(t):
     gold = t.rows.where("source = 'manual'").select(F.col("id").alias("transaction_id"), F.col("category").alias("gold"), "k")
     run = F.when(F.col("k") % 2 == 0, "a").otherwise("b")
-    return t.predictions.join(gold, "transaction_id").select("transaction_id", run.alias("run"), "stage", "category", "confidence", F.coalesce(F.col("category") == F.col("gold"), F.lit(False)).alias("correct"))
+    return t.predictions.join(gold, "transaction_id").select("transaction_id", run.alias("run"), "stage", "category", "confidence", F.coalesce(F.col("category") == F.col("gold"), F.lit(False)).alias("correct"), F.when(F.col("k") % 10 < 9, F.col("k") * 7 % 900 / 1000.0).alias("latency_s"))
 
 
 def _four(x: str) -> str:
     return f"CAST(round(CAST({x} AS DECIMAL(28,8)), 4) AS DOUBLE)"
 
 
-@query(duck(f"""SELECT run, stage, n, {_four("ok / CAST(n AS DOUBLE)")} AS accuracy, {_four("b / CAST(n AS DOUBLE)")} AS brier, {_four("an / CAST(n AS DOUBLE)")} AS auto_accept_rate, CASE WHEN an > 0 THEN {_four("ao / CAST(an AS DOUBLE)")} END AS auto_accept_precision, {_four("(n - an) / CAST(n AS DOUBLE)")} AS review_rate
-FROM (SELECT run, stage, count(*) AS n, sum(correct::INT) AS ok, sum(CAST(round(pow(confidence - correct::INT, 2), 10) AS DECIMAL(20,10)))::DOUBLE AS b, count(*) FILTER (WHERE confidence >= 0.85) AS an, count(*) FILTER (WHERE confidence >= 0.85 AND correct) AS ao FROM rec GROUP BY GROUPING SETS ((run, stage), (run)))""", r=ROWS, rec=_REC))
+_METRICS = f"""SELECT run, stage, n, {_four("n / CAST(max(n) OVER (PARTITION BY run) AS DOUBLE)")} AS coverage, {_four("ok / CAST(n AS DOUBLE)")} AS accuracy, {_four("b / CAST(n AS DOUBLE)")} AS brier, {_four("an / CAST(n AS DOUBLE)")} AS auto_accept_rate, CASE WHEN an > 0 THEN {_four("ao / CAST(an AS DOUBLE)")} END AS auto_accept_precision, {_four("(n - an) / CAST(n AS DOUBLE)")} AS review_rate,
+CAST(round(CAST(lt / ln AS DECIMAL(20,8)), 3) AS DOUBLE) AS mean_latency_s
+FROM (SELECT run, stage, count(*) AS n, sum(correct::INT) AS ok, sum(CAST(round(pow(confidence - correct::INT, 2), 10) AS DECIMAL(20,10)))::DOUBLE AS b, count(*) FILTER (WHERE confidence >= 0.85) AS an, count(*) FILTER (WHERE confidence >= 0.85 AND correct) AS ao, sum(CAST(latency_s AS DECIMAL(14,6)))::DOUBLE AS lt, count(latency_s) AS ln FROM rec GROUP BY GROUPING SETS ((run, stage), (run)))"""
+
+
+@query(duck("SELECT * FROM mt", r=ROWS, rec=_REC, mt=_METRICS))
 def eval_metrics(spark, sf_dir):
     return E.eval_metrics(_records(Ledger(spark, sf_dir)))
 
 
+_REPORT = """SELECT stage, metric, max(v) FILTER (WHERE run = 'a') AS before, max(v) FILTER (WHERE run = 'b') AS after,
+  CAST(round(CAST(max(v) FILTER (WHERE run = 'b') AS DECIMAL(20,6)) - CAST(max(v) FILTER (WHERE run = 'a') AS DECIMAL(20,6)), 4) AS DOUBLE) AS delta,
+  metric IN ('accuracy', 'auto_accept_precision') AND count(*) = 2 AND CAST(coalesce(max(v) FILTER (WHERE run = 'a'), 0) AS DECIMAL(20,6)) - CAST(coalesce(max(v) FILTER (WHERE run = 'b'), 0) AS DECIMAL(20,6)) > 0.0001 AS regressed
+FROM (SELECT run, stage, unnest(['coverage', 'brier', 'auto_accept_rate', 'review_rate', 'mean_latency_s', 'accuracy', 'auto_accept_precision']) AS metric, unnest([coverage, brier, auto_accept_rate, review_rate, mean_latency_s, accuracy, auto_accept_precision]) AS v FROM mt) GROUP BY stage, metric"""
+
+
+@query(duck(_REPORT, r=ROWS, rec=_REC, mt=_METRICS))
+def eval_report(spark, sf_dir):
+    return E.eval_report(E.eval_metrics(_records(Ledger(spark, sf_dir))), "a", "b", 0.0001)
+
+
+@query(duck("SELECT count(*) > 0 AS regressed, coalesce(string_agg(metric, ',' ORDER BY metric), '') AS metrics FROM rp WHERE stage IS NULL AND regressed", r=ROWS, rec=_REC, mt=_METRICS, rp=_REPORT))
+def eval_regression(spark, sf_dir):
+    report = E.eval_report(E.eval_metrics(_records(Ledger(spark, sf_dir))), "a", "b", 0.0001)
+    return E.regression(report).withColumn("metrics", F.array_join("metrics", ","))
+
+
 @query(duck("""SELECT a.transaction_id, a.category AS a_category, a.stage AS a_stage, a.correct AS a_correct, CASE WHEN x % 4 = 0 THEN 'Health' ELSE a.category END AS b_category, a.stage AS b_stage, CASE WHEN x % 4 = 0 THEN NOT a.correct ELSE a.correct END AS b_correct,
 CASE WHEN a.correct THEN 'regressed' ELSE 'fixed' END AS outcome FROM (SELECT *, CAST(transaction_id AS BIGINT) AS x FROM rec) a WHERE x % 4 = 0""", r=ROWS, rec=_REC))
 def eval_diff(spark, sf_dir):
@@ -189,7 +210,7 @@ _BACK = {
 
 
 def _backtest(t):
-    return E.backtest_prior(t.rows, R.counterparty_prior(t.rows, L.CATEGORIES))
+    return E.backtest_prior(t.rows, R.counterparty_prior(t.rows))
 
 
 @query(duck("SELECT * FROM bt", **_BACK))
@@ -203,7 +224,7 @@ def backtest_prior(spark, sf_dir):
 def sweep_thresholds(spark, sf_dir):
     t = Ledger(spark, sf_dir)
     grid = spark.createDataFrame([(m, f) for m in (2, 3, 4, 5) for f in (0.5, 0.6, 0.65, 0.7)], "min_obs int, floor double")
-    return E.sweep_thresholds(t.rows, R.counterparty_prior(t.rows, L.CATEGORIES), grid)
+    return E.sweep_thresholds(t.rows, R.counterparty_prior(t.rows), grid)
 
 
 @query(duck("SELECT cohort, established, precision, CASE WHEN established >= 5 AND precision >= 0.85 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM bt", **_BACK))
