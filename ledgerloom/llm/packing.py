@@ -31,6 +31,8 @@ from .common import map_batches, stage, texts
 from .tokens import BytePairEncoder, once, path_of
 
 WINDOW = 2048
+#: Pieces of texts whose ids a worker remembers; fewer than elsewhere, for the documents' ids are written from the same task.
+PIECES = 250_000
 
 
 def closest(counts: dict[int, int], window: int) -> tuple[int, Counter]:
@@ -133,7 +135,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = once(("encoder", tokenizer), lambda: BytePairEncoder(tokenizer))
+        encoder = once(("encoder", tokenizer, PIECES), lambda: BytePairEncoder(tokenizer, PIECES))
         last, task, seen, full = np.array([end], encoder.dtype).tobytes(), TaskContext.get().partitionId(), Counter(), 0
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
@@ -183,7 +185,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = 1) -> DataFra
     tasks = counts.groupBy("task").agg(F.max("upto").alias("windows"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("task")
     tasks = tasks.withColumn("full_first", F.sum("windows").over(earlier) - F.col("windows")).select("task", "full_first")
-    located = made.join(before.join(tasks, "task"), ["task", "rest"])
+    # the ranks grow with the tasks, so they are never broadcast; they are the side that is hashed
+    located = made.join(before.join(tasks, "task").hint("shuffle_hash"), ["task", "rest"])
     width = once(("encoder", tokenizer), lambda: BytePairEncoder(tokenizer)).dtype.itemsize
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,7 +88,7 @@ class BytePairEncoder:
     are cut there.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = PIECES):
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
@@ -96,7 +96,7 @@ class BytePairEncoder:
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self._tokenize = self.tokenizer.model.tokenize
         self._pre = Memo(lambda pre: self._merge(as_letters(pre)), SHAPES)
-        self._piece = Memo(self._after_space, PIECES)
+        self._piece = Memo(self._after_space, pieces)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.dtype.char, ids).tobytes()
