@@ -70,6 +70,16 @@ def same_row(docs: DataFrame, keys: DataFrame):
     return docs["doc_id"].eqNullSafe(keys["doc_id"]) & (F.xxhash64(docs["text"]) == keys["text_hash"])
 
 
+def first_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows that agree in ``keys`` the first by all other columns in the order of their names; columns that have no order (maps) don't count."""
+    others = sorted(c for c in rows.columns if c not in keys)
+    ordered = [c for c in others if "map<" not in rows.schema[c].dataType.simpleString() and "variant" not in rows.schema[c].dataType.simpleString()]
+    if not others:
+        return rows.dropDuplicates(keys)
+    row = F.min_by(F.struct(*others), F.struct(*ordered) if ordered else F.lit(0))
+    return rows.groupBy(*keys).agg(row.alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+
+
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
