@@ -22,9 +22,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word Jaccard of 0.8 or more): the smallest doc_id, a null id only in groups without others."""
+    """One document of each group of near copies (5-word Jaccard of 0.8 or more): the smallest doc_id, a null id only in groups without others.
+
+    Of rows with its doc_id and text the first by all other columns stays, in the order of their names.
+    """
     first = near_copies.representatives(docs)
-    return docs.join(first, common.same_row(docs, first), "left_semi").dropDuplicates(["doc_id", "text"])
+    return common.first_rows(docs.join(first, common.same_row(docs, first), "left_semi"), ["doc_id", "text"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
