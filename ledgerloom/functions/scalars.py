@@ -257,3 +257,9 @@ def classify_feedback(old: dict[str, Column], new: dict[str, Column], sent: dict
         if name in new:
             refined = refined | (sent[name] & ~new[name].eqNullSafe(old[name]))
     return F.when(corrected, "corrected").when(refined, "refined").otherwise("confirmed")
+
+
+def grams(text: Column, q: int) -> Column:
+    """The different runs of ``q`` characters of a text; none for a shorter one."""
+    starts = F.sequence(F.lit(1), F.length(text) - q + 1)
+    return F.when(F.length(text) >= q, F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(q))))).otherwise(F.array().cast("array<string>"))

@@ -123,18 +123,23 @@ def people_ledger(rows: DataFrame, people: DataFrame, settled: DataFrame) -> Dat
 
     Transfers that are no cash and no settled credit, matched by exact merchant first,
     then by a name or token of four characters or more in the counterparty or merchant.
-    The join is by ledger, and a ledger has few people.
+    Distinct (counterparty, merchant) meet people through their runs of four characters:
+    a token is joined by its first four to the texts that have these, and tested there, so
+    no row meets all people of its ledger.
     """
     key, merchant = F.lower(F.coalesce("counterparty_key", F.lit(""))), F.lower(F.coalesce("merchant", F.lit("")))
     moved = rows.where((F.col("category") == "Transfers") & (F.coalesce("subcategory", F.lit("")) != "ATM Withdrawal"))
     moved = moved.join(settled.select("id").distinct(), "id", "left_anti").select("ledger_id", "id", "amount", "debit_credit", "txn_date", key.alias("cpk"), merchant.alias("m"))
     who = people.select("ledger_id", F.col("id").alias("person_id"), "name", "relationship", F.lower("name").alias("n"), F.lower(F.coalesce("upi", F.lit(""))).alias("u"))
-    exact = (F.col("m") != "") & (F.col("m") == F.col("n"))
-    holds = lambda t: (F.length(t) >= 4) & (F.col("cpk").contains(F.col(t)) | F.col("m").contains(F.col(t)))
-    rank = F.when(exact, 0).when(holds("n") | holds("u"), 1)
-    first = moved.join(who, "ledger_id").withColumn("_r", rank).where("_r is not null")
-    first = first.groupBy("id").agg(F.min_by(F.struct("person_id", "name", "relationship"), F.struct("_r", "name", "person_id")).alias("p"))
-    sums = moved.join(first, "id", "left").groupBy("ledger_id", "p.person_id", "p.name", "p.relationship").agg(
+    texts = moved.select("ledger_id", "cpk", "m").distinct()
+    person = ["person_id", "name", "relationship"]
+    exact = texts.where("m <> ''").join(who.withColumnRenamed("n", "m"), ["ledger_id", "m"]).select("ledger_id", "cpk", "m", *person, F.lit(0).alias("_r"))
+    tokens = who.select("ledger_id", *person, F.explode(F.array_distinct(F.array("n", "u"))).alias("token")).where("length(token) >= 4").withColumn("gram", F.substring("token", 1, 4))
+    runs = texts.select("ledger_id", "cpk", "m", F.explode(F.array_union(S.grams(F.col("cpk"), 4), S.grams(F.col("m"), 4))).alias("gram"))
+    holds = F.col("cpk").contains(F.col("token")) | F.col("m").contains(F.col("token"))
+    inside = runs.join(tokens, ["ledger_id", "gram"]).where(holds).select("ledger_id", "cpk", "m", *person, F.lit(1).alias("_r"))
+    first = exact.union(inside).groupBy("ledger_id", "cpk", "m").agg(F.min_by(F.struct(*person), F.struct("_r", "name", "person_id")).alias("p"))
+    sums = moved.join(first, ["ledger_id", "cpk", "m"], "left").groupBy("ledger_id", "p.person_id", "p.name", "p.relationship").agg(
         F.sum(F.when(F.col("debit_credit") == "debit", F.col("amount"))).alias("s"), F.sum(F.when(F.col("debit_credit") == "credit", F.col("amount"))).alias("r"), F.count("*").alias("count"), F.max("txn_date").alias("last_date")
     )
     zero = F.lit(0).cast("decimal(28,2)")

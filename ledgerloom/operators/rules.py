@@ -175,9 +175,9 @@ def match_people(txns: DataFrame, people: DataFrame) -> DataFrame:
 
     A token with "@" is a handle: equal to the row's, or inside the description of a row
     without one. Other tokens begin a word of the counterparty key, or of the description
-    where there is no key. Handles and word prefixes are joined by equality. Rows
-    without a handle of their own, but with an "@" in the description, meet the handles
-    of their ledger, and rows without a key its names.
+    where there is no key. Handles and word prefixes are joined by equality. What must
+    lie inside a description is found by equality too: the distinct descriptions' runs of three
+    characters meet the tokens that begin with them, and each such pair is tested.
     """
     tokens = people.select("ledger_id", F.col("id").alias("person_id"), "name", "relationship", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("upi")))).alias("token")).where("length(token) >= 3")
     at = F.col("token").contains("@")
@@ -186,10 +186,18 @@ def match_people(txns: DataFrame, people: DataFrame) -> DataFrame:
     words = rows.where("key is not null").select("ledger_id", "id", F.explode(F.array_distinct(F.split("key", " "))).alias("word")).where("length(word) >= 3")
     prefixes = words.select("ledger_id", "id", F.explode(F.transform(F.sequence(F.lit(3), F.length("word")), lambda n: F.substr("word", F.lit(1), n))).alias("token"))
     by_word = prefixes.join(tokens.where(~at), ["ledger_id", "token"]).select("ledger_id", "id", "person_id", "name", "relationship")
-    named = lambda left, right, test: left.join(right, "ledger_id").where(test).select("ledger_id", "id", "person_id", "name", "relationship")
-    handle_inside = named(rows.where("vpa is null and contains(desc, '@')"), tokens.where(at), F.col("desc").contains(F.col("token")))
+    # every token has a run of three characters that a text which holds it has too
+    gram = tokens.withColumn("gram", F.substring("token", 1, 3))
+
+    def held(left: DataFrame, right: DataFrame, test: Column) -> DataFrame:
+        texts = left.select("ledger_id", "desc").distinct()
+        runs = texts.select("ledger_id", "desc", F.explode(S.grams(F.col("desc"), 3)).alias("gram"))
+        met = runs.join(right, ["ledger_id", "gram"]).where(test).select("ledger_id", "desc", "person_id", "name", "relationship").distinct()
+        return left.join(met, ["ledger_id", "desc"]).select("ledger_id", "id", "person_id", "name", "relationship")
+
+    handle_inside = held(rows.where("vpa is null and contains(desc, '@')"), gram.where(at), F.col("desc").contains(F.col("token")))
     begins = F.expr(r"desc rlike concat('(?U)\\b', regexp_replace(token, '([^a-z0-9_ ])', '\\\\$1'))")
-    name_inside = named(rows.where("key is null"), tokens.where(~at), begins)
+    name_inside = held(rows.where("key is null"), gram.where(~at), begins)
     found = by_vpa.union(by_word).union(handle_inside).union(name_inside)
     first = found.groupBy("id").agg(F.min_by(F.struct("person_id", "name", "relationship"), F.struct("name", "person_id")).alias("p"))
     return first.select("id", "p.person_id", "p.name", S.relationship_subcategory(F.col("p.relationship")).alias("subcategory"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
@@ -23,8 +27,13 @@ _MONEY = "decimal(18,2)"
 MAP = "struct<" + ",".join(f"{r}:int" for r, _ in ROLES) + ",width:int>"
 
 
-def map_header(cells: Column) -> Column:
-    """The column of each role if a row is a header, else null.
+def _plain(words: str) -> str:
+    """Words as a pattern for themselves."""
+    return re.sub(r"([^\w\s/])", r"\\\1", words)
+
+
+def map_header(cells: Column, roles: list[tuple[str, tuple[str, ...]]] = ROLES) -> Column:
+    """The column of each role if a row is a header, else null; ``roles`` are the words of each in order.
 
     Cells claim roles from left to right, each the first free one whose words it holds;
     a "value date" is no date. A header needs a date, a description and an amount.
@@ -34,8 +43,8 @@ def map_header(cells: Column) -> Column:
     def claim(acc: Column, raw: Column) -> Column:
         text = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(raw, F.lit(""))), "\n", " "), "[^a-z/ ]", ""))
         role = None
-        for name, words in ROLES:
-            holds = text.rlike("|".join(words))
+        for name, words in roles:
+            holds = text.rlike("|".join(map(_plain, words)))
             if name == "date":
                 holds = holds & ~text.contains("value")
             test = acc[name].isNull() & holds
@@ -44,15 +53,17 @@ def map_header(cells: Column) -> Column:
 
     found = F.aggregate(cells, start, claim)
     usable = found["date"].isNotNull() & found["description"].isNotNull() & (found["debit"].isNotNull() | found["credit"].isNotNull() | found["amount"].isNotNull())
-    words = dict(ROLES)
-    holds = lambda role: F.exists(cells, lambda c: F.lower(c).rlike("|".join(words[role])))
+    words = dict(roles)
+    if not {"date", "description"} <= set(words):
+        return F.lit(None).cast(MAP)
+    holds = lambda role: F.exists(cells, lambda c: F.lower(c).rlike("|".join(map(_plain, words[role]))))
     return F.when(holds("date") & holds("description"), F.when(usable, found))  # most rows fail the first test
 
 
-def carry_header(rows: DataFrame) -> DataFrame:
+def carry_header(rows: DataFrame, roles: list[tuple[str, tuple[str, ...]]] = ROLES) -> DataFrame:
     """Data rows with ``map``, the latest header before them in the document; rows before any go."""
     order = Window.partitionBy("doc_id").orderBy("table_no", "row_no")
-    mapped = rows.withColumn("_h", map_header(F.col("cells")))
+    mapped = rows.withColumn("_h", map_header(F.col("cells"), roles))
     return mapped.withColumn("map", F.last("_h", ignorenulls=True).over(order)).where("_h is null and map is not null").drop("_h")
 
 
@@ -118,15 +129,28 @@ def resolve_variant(entries: DataFrame) -> DataFrame:
     """The best of four readings of each document, and its rows: as printed or reversed, as labelled or swapped.
 
     The share of explained balances decides, then that of dates in order, then the
-    order of the readings. Documents are small, so all four are read side by side.
+    order of the readings. A row's neighbours before and after in print are all that the four
+    readings need, so one pass over a document's rows scores them side by side, and only
+    the best is made.
     """
-    last = F.max("seq").over(Window.partitionBy("doc_id"))
-    four = entries.withColumn("_l", last).withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    swapped = F.when(F.col("direction") == "debit", "credit").when(F.col("direction") == "credit", "debit")
-    four = four.withColumn("seq", F.when(F.col("variant") >= 2, F.col("_l") + 1 - F.col("seq")).otherwise(F.col("seq"))).withColumn("direction", F.when(F.col("variant") % 2 == 1, swapped).otherwise(F.col("direction"))).drop("_l")
-    read = infer_direction(four, "variant")
-    best = chain_score(read, "variant").groupBy("doc_id").agg(F.min_by(F.struct("variant", "chain", "checks"), F.struct(-F.col("chain"), -F.col("dates"), F.col("variant"))).alias("_b"))
-    return read.join(best, "doc_id").where(F.col("variant") == F.col("_b.variant")).select(*read.columns, F.col("_b.chain").alias("verified"), F.col("_b.checks").alias("checks"))
+    order, whole = _by(), Window.partitionBy("doc_id")
+    unknown = F.lit(None).cast("string")
+    swapped = F.when(F.col("direction") == "debit", "credit").when(F.col("direction") == "credit", "debit").otherwise(unknown)
+    out = entries.withColumns({"_b0": F.lag("balance").over(order), "_b2": F.lead("balance").over(order), "_d0": F.lag("txn_date").over(order), "_d2": F.lead("txn_date").over(order)})
+    guess = lambda n: F.when(F.col("balance").isNotNull() & F.col(f"_b{n}").isNotNull(), F.when(F.col("balance") >= F.col(f"_b{n}"), "credit").otherwise("debit"))
+    read = {0: F.coalesce("direction", guess(0)), 1: F.coalesce(swapped, guess(0)), 2: F.coalesce("direction", guess(2)), 3: F.coalesce(swapped, guess(2))}
+    out = out.withColumns({f"_r{v}": c for v, c in read.items()})
+    change = lambda v: F.when(F.col(f"_r{v}") == "credit", F.col("amount")).otherwise(-F.col("amount"))
+    known = lambda v: F.col("balance").isNotNull() & F.col(f"_b{v // 2 * 2}").isNotNull() & F.col(f"_r{v}").isNotNull()
+    out = out.withColumns({f"_ok{v}": F.when(known(v), (F.abs(F.col("balance") - F.col(f"_b{v // 2 * 2}") - change(v)) <= TOLERANCE).cast("double")) for v in read})
+    out = out.withColumns({f"_up{n}": F.when(F.col(f"_d{n}").isNotNull(), (F.col(f"_d{n}") <= F.col("txn_date")).cast("double")) for n in (0, 2)})
+    score = lambda v: F.struct((-F.coalesce(F.avg(f"_ok{v}").over(whole), F.lit(0.0))).alias("chain"), (-F.coalesce(F.avg(f"_up{v // 2 * 2}").over(whole), F.lit(1.0))).alias("dates"), F.lit(v).alias("variant"), F.count(f"_ok{v}").over(whole).alias("checks"))
+    out = out.withColumns({f"_s{v}": score(v) for v in read} | {"_last": F.max("seq").over(whole)})
+    out = out.withColumn("_best", F.array_min(F.array(*[f"_s{v}" for v in read])))
+    variant = F.col("_best.variant")
+    direction = F.when(variant == 0, F.col("_r0")).when(variant == 1, F.col("_r1")).when(variant == 2, F.col("_r2")).otherwise(F.col("_r3"))
+    changed = {"direction": direction, "seq": F.when(variant >= 2, F.col("_last") + 1 - F.col("seq")).otherwise(F.col("seq"))}
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in entries.columns], variant.alias("variant"), (-F.col("_best.chain")).alias("verified"), F.col("_best.checks").alias("checks"))
 
 
 def confidence_gate(resolved: DataFrame) -> DataFrame:
@@ -136,19 +160,86 @@ def confidence_gate(resolved: DataFrame) -> DataFrame:
     return out.withColumn("accepted", ok)
 
 
-def fixed_layout_rows(rows: DataFrame) -> DataFrame:
-    """Rows of the dedicated six-column layout: date, description, reference, debit, credit, balance."""
-    cell = lambda i: F.trim(F.coalesce(F.get("cells", F.lit(i)), F.lit("")))
-    kept = rows.where((F.size("cells") >= 6) & cell(0).rlike(r"^\d{1,2}\s+\w{3},\s+\d{4}$") & ((cell(3) != "") | (cell(4) != "")))
-    number = lambda c: F.regexp_replace(F.regexp_replace(c, ",", ""), r"^[+\-]+", "").try_cast(_MONEY)
-    debit = cell(3) != ""
-    out = kept.select(
-        "doc_id", "table_no", "row_no", S.parse_statement_date(F.regexp_replace(cell(0), r"\s+", " ")).alias("txn_date"), F.when(debit, number(cell(3))).otherwise(number(cell(4))).alias("amount"),
-        F.when(debit, "debit").otherwise("credit").alias("debit_credit"), F.regexp_replace(cell(1), "\n", " ").alias("raw_description"), F.regexp_replace(cell(5), ",", "").try_cast(_MONEY).alias("running_balance"),
+#: Layout tables. kind "fixed" names the columns by number, from 0; "header" finds them by a header's words. sign: "columns" (a debit and a
+#: credit column), "mark" (one amount with Dr or Cr beside or in another column), "signed" (a minus is a debit).
+LAYOUT = "layout string, layout_order int, kind string, width int, date_pattern string, date int, description int, debit int, credit int, amount int, drcr int, balance int, sign string"
+WORDS = "role string, role_order int, word string"
+#: The layouts that are known, tried in this order where they fit equally many rows.
+LAYOUTS: list[tuple] = [
+    ("six columns", 0, "fixed", 6, r"^\d{1,2}\s+\w{3},\s+\d{4}$", 0, 1, 3, 4, None, None, 5, "columns"),
+    ("header", 1, "header", None, None, None, None, None, None, None, None, None, None),
+]
+
+
+def default_layouts(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The known layouts and header words as tables."""
+    words = [(role, n, word) for n, (role, own) in enumerate(ROLES) for word in own]
+    return spark.createDataFrame(LAYOUTS, LAYOUT), spark.createDataFrame(words, WORDS)
+
+
+def _fixed(rows: DataFrame, layouts: list[Row]) -> DataFrame:
+    """Rows that fit a layout whose columns are known, read by it; a row may fit several."""
+    kinds = dict(f.split() for f in LAYOUT.split(", "))
+    told = F.array(*[F.struct(*[F.lit(r[c]).cast(kind).alias(c) for c, kind in kinds.items()]) for r in layouts])
+    met = rows.select("*", F.explode(told).alias("_l")).where(F.size("cells") >= F.col("_l.width"))
+    cell = lambda role: F.trim(F.coalesce(F.get("cells", F.col(f"_l.{role}")), F.lit("")))
+    met = met.where(F.rlike(cell("date"), F.col("_l.date_pattern")))
+    number = lambda role: S.parse_amount(cell(role))
+    met = met.withColumns({"_d": number("debit"), "_c": number("credit"), "_a": number("amount"), "_mark": F.lower(cell("drcr"))})
+    columns = F.col("_l.sign") == "columns"
+    value = F.when(columns, F.when(cell("debit") != "", F.col("_d.value")).otherwise(F.col("_c.value"))).otherwise(F.col("_a.value"))
+    mark = F.coalesce("_a.direction", F.when(F.col("_mark").startswith("cr"), "credit").when(F.col("_mark").startswith("dr"), "debit"))
+    sign = F.when(cell("amount").startswith("-"), "debit").otherwise("credit")
+    direction = F.when(columns, F.when(cell("debit") != "", "debit").otherwise("credit")).when(F.col("_l.sign") == "mark", mark).otherwise(sign)
+    balance = F.regexp_replace(cell("balance"), ",", "").try_cast(_MONEY)
+    out = met.select(
+        *[c for c in rows.columns if c != "cells"], F.col("_l.layout").alias("layout"), F.col("_l.layout_order").alias("layout_order"), S.parse_statement_date(F.regexp_replace(cell("date"), r"\s+", " ")).alias("txn_date"),
+        F.regexp_replace(cell("description"), "\n", " ").alias("description"), value.alias("amount"), direction.alias("direction"), balance.alias("balance"),
     )
     return out.where("txn_date is not null and amount is not null")
 
 
+def fixed_layout_rows(rows: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
+    """Rows of the layouts whose columns are known (by default the dedicated one of six columns), of each the first that fits."""
+    known = [Row(**dict(zip([f.split()[0] for f in LAYOUT.split(", ")], r, strict=True))) for r in LAYOUTS] if layouts is None else layouts.orderBy("layout_order", "layout").collect()
+    found = _fixed(rows.select("doc_id", "table_no", "row_no", "cells"), [r for r in known if r.kind == "fixed"])
+    first = Window.partitionBy("doc_id", "table_no", "row_no").orderBy("layout_order", "layout")
+    found = found.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return found.select("doc_id", "table_no", "row_no", "txn_date", "amount", F.col("direction").alias("debit_credit"), F.col("description").alias("raw_description"), F.col("balance").alias("running_balance"))
+
+
+def read_layouts(rows: DataFrame, layouts: DataFrame | None = None, words: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Entries of each document by the layout that fits most of its rows: layout, doc_id, ledger_id, seq, description, txn_date, amount, direction, balance.
+
+    ``layouts`` and ``words`` are tables like those of ``default_layouts``, which they default
+    to; they are small and come to the driver. Of layouts that fit equally many rows the first by
+    layout_order is taken; a document that none fits has no entries. Wrapped descriptions are
+    known under headers alone. ``keep`` stores the parsed rows, which are read twice.
+    """
+    spark = rows.sparkSession
+    default = default_layouts(spark)
+    known = (default[0] if layouts is None else layouts).orderBy("layout_order", "layout").collect()
+    said: dict[str, list[str]] = {}
+    for r in (default[1] if words is None else words).orderBy("role_order", "role", "word").collect():
+        said.setdefault(r.role, []).append(r.word.lower())
+    entry = ["doc_id", "ledger_id", "seq", "description", "txn_date", "amount", "direction", "balance", "layout", "layout_order"]
+    parts = []
+    fixed = [r for r in known if r.kind == "fixed"]
+    if fixed:
+        place = Window.partitionBy("doc_id", "layout").orderBy("table_no", "row_no")
+        parts.append(_fixed(rows.select("doc_id", "ledger_id", "table_no", "row_no", "cells"), fixed).withColumn("seq", F.row_number().over(place).cast("long")).select(*entry))
+    for r in known:
+        if r.kind == "header":
+            read = merge_continuations(keep(classify_rows(carry_header(rows, [(k, tuple(v)) for k, v in said.items()]))))
+            parts.append(read.withColumns({"layout": F.lit(r.layout), "layout_order": F.lit(r.layout_order)}).select(*entry))
+    if not parts:
+        raise ValueError("no layout is given")
+    every = keep(reduce(DataFrame.unionByName, parts))
+    fits = every.groupBy("doc_id", "layout", "layout_order").agg(F.count("*").alias("n"))
+    best = fits.groupBy("doc_id").agg(F.min_by("layout", F.struct(-F.col("n"), F.col("layout_order"), F.col("layout"))).alias("layout"))
+    return every.join(best, ["doc_id", "layout"]).drop("layout_order")
+
+
 def chain_order(parsed: DataFrame) -> DataFrame:
     """Rows of each document oldest first: by its first and last day, else in the direction that more balances verify.
 

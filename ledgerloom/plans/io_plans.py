@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerloom.fixtures import duck, shared_root
+from ledgerloom.fixtures import checkpointed, duck, shared_root
 from ledgerloom.operators import evaluate as E
 from ledgerloom.operators import rules as R
 from ledgerloom.plans import label_plans as L
@@ -14,6 +14,7 @@ from ledgerloom.plans.base import ROWS, Ledger
 from ledgerloom.plans.merge_plans import _REC, _records
 from ledgerloom.plans.scalar_plans import _STRIP
 from ledgerloom.registry import query
+from ledgerloom.sources import merges as M
 from ledgerloom.sources import tables as T
 from ledgerloom.streaming import jobs as J
 
@@ -46,6 +47,31 @@ def append_ledger(spark, sf_dir):
     return T.append_ledger(t.where("k % 3 = 0"), t.drop("counterparty_key")).select("id", "counterparty_key", "month")
 
 
+@query(duck("""SELECT 'statement' AS part, statement_month AS month, count(*) AS rows, 0::BIGINT AS keyed FROM statements GROUP BY ALL
+UNION ALL SELECT 'transaction', substr(CAST(txn_date AS STRING), 1, 7), count(*), count(counterparty_key) FROM transactions GROUP BY ALL"""))
+def append_statements(spark, sf_dir):
+    """Half of the ledgers, then all of them, of which half are there."""
+    t, root = Ledger(spark, sf_dir), f"{_folder(spark)}/tables"
+    rows = t.transactions.drop("counterparty_key")
+    for some in ("ledger_id % 2 = 0", "true"):
+        M.append_statements(root, t.statements.where(some), rows.where(some), checkpointed)
+    statements, transactions = (spark.read.parquet(f"{root}/{x}") for x in ("statements", "transactions"))
+    one = statements.groupBy(F.col("statement_month").alias("month")).agg(F.count("*").alias("rows")).select(F.lit("statement").alias("part"), F.col("month").cast("string").alias("month"), "rows", F.lit(0).cast("long").alias("keyed"))
+    two = transactions.groupBy("month").agg(F.count("*").alias("rows"), F.count("counterparty_key").alias("keyed"))
+    return one.unionByName(two.select(F.lit("transaction").alias("part"), F.col("month").cast("string").alias("month"), "rows", "keyed"))
+
+
+@query(duck("SELECT transaction_id, CASE WHEN k % 4 = 0 AND ledger_id % 3 = 0 THEN 'Health' ELSE category END AS category FROM annotations"))
+def upsert_labels(spark, sf_dir):
+    """Labels of a third of the ledgers into a table of all; old ones come too late."""
+    a, path = Ledger(spark, sf_dir).annotations, f"{_folder(spark)}/labels"
+    M.upsert_labels(path, a, checkpointed)
+    new = a.where("ledger_id % 3 = 0 and k % 4 = 0").withColumn("category", F.lit("Health"))
+    late = a.where("ledger_id % 3 = 0 and k % 4 = 1").withColumn("category", F.lit("Old")).withColumn("annotated_at", F.lit("1990-01-01").cast(a.schema["annotated_at"].dataType))
+    M.upsert_labels(path, new.union(late), checkpointed)
+    return spark.read.parquet(path).select("transaction_id", "category")
+
+
 @query(duck("SELECT transaction_id, CASE WHEN k % 4 = 0 THEN 'Health' ELSE category END AS category FROM annotations"))
 def upsert_annotations(spark, sf_dir):
     a = Ledger(spark, sf_dir).annotations

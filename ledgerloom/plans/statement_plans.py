@@ -90,13 +90,26 @@ def confidence_gate(spark, sf_dir):
     return ST.confidence_gate(_resolved(Ledger(spark, sf_dir))).select("doc_id", "transactions", "checks", "accepted")
 
 
-@query(duck("SELECT statement_id AS doc_id, row_seq AS row_no, txn_date, CAST(amount AS DOUBLE) AS amount, debit_credit, CAST(running_balance AS DOUBLE) AS balance FROM transactions WHERE ledger_id % 2 = 0"), dates="txn_date")
-def fixed_layout_rows(spark, sf_dir):
-    t = Ledger(spark, sf_dir).transactions
+def _six(t: Ledger):
+    """Statements of every other ledger as a bank with the dedicated layout prints them."""
     text = lambda d: F.when(F.col("debit_credit") == d, F.concat(F.lit("-" if d == "debit" else "+"), F.format_number("amount", 2))).otherwise("")
     cells = F.array(F.date_format("txn_date", "d MMM, yyyy"), "raw_description", F.lit("ref"), text("debit"), text("credit"), F.format_number("running_balance", 2))
-    rows = t.where("ledger_id % 2 = 0").select(F.col("statement_id").alias("doc_id"), F.lit(0).alias("table_no"), F.col("row_seq").alias("row_no"), cells.alias("cells"))
-    return ST.fixed_layout_rows(rows).select("doc_id", "row_no", "txn_date", F.col("amount").cast("double").alias("amount"), "debit_credit", F.col("running_balance").cast("double").alias("balance"))
+    return t.transactions.where("ledger_id % 2 = 0").select(F.col("statement_id").alias("doc_id"), "ledger_id", F.lit(0).alias("table_no"), F.col("row_seq").alias("row_no"), cells.alias("cells"))
+
+
+@query(duck("SELECT statement_id AS doc_id, row_seq AS row_no, txn_date, CAST(amount AS DOUBLE) AS amount, debit_credit, CAST(running_balance AS DOUBLE) AS balance FROM transactions WHERE ledger_id % 2 = 0"), dates="txn_date")
+def fixed_layout_rows(spark, sf_dir):
+    return ST.fixed_layout_rows(_six(Ledger(spark, sf_dir))).select("doc_id", "row_no", "txn_date", F.col("amount").cast("double").alias("amount"), "debit_credit", F.col("running_balance").cast("double").alias("balance"))
+
+
+@query(duck("""SELECT statement_id AS doc_id, 'six columns' AS layout, row_number() OVER (PARTITION BY statement_id ORDER BY row_seq) AS seq, txn_date, CAST(amount AS DOUBLE) AS amount, debit_credit AS direction, CAST(running_balance AS DOUBLE) AS balance FROM transactions WHERE ledger_id % 2 = 0
+UNION ALL SELECT doc_id, 'header', row_number() OVER (PARTITION BY doc_id ORDER BY seq), txn_date, CAST(amount AS DOUBLE), direction, CAST(balance AS DOUBLE) FROM en WHERE ledger_id % 2 = 1""", en=_ENTRIES), dates="txn_date")
+def read_layouts(spark, sf_dir):
+    """Statements of two layouts, both read from the tables of layouts and words."""
+    t = Ledger(spark, sf_dir)
+    rows = t.statement_rows.where("ledger_id % 2 = 1").unionByName(_six(t))
+    found = ST.read_layouts(rows, keep=checkpointed)
+    return found.select("doc_id", "layout", F.col("seq").cast("long").alias("seq"), "txn_date", F.col("amount").cast("double").alias("amount"), "direction", F.col("balance").cast("double").alias("balance"))
 
 
 _PARSED = {
