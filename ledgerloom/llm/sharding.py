@@ -14,6 +14,8 @@ from .common import stage
 #: Groups that one task differences; tasks grow with the groups, each leaves one row of sums.
 GROUPS_A_TASK = 1 << 16
 BLOCK = 4096
+#: Tasks' sums that are differenced at once.
+FAN = 1024
 
 
 class Partial:
@@ -78,13 +80,50 @@ def assign(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return parts, root.sums
 
 
+def turn(sums: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Difference partitions of ``k`` sums each: the joint part of each one's parts, and the joint sums."""
+    root = difference([Partial(np.sort(s), leaf=i) for i, s in enumerate(sums)])
+    at, to = places(root, k, len(sums)), np.empty((len(sums), k), np.int32)
+    for i, s in enumerate(sums):
+        to[i][np.argsort(s, kind="stable")] = at[i]
+    return to, root.sums
+
+
+def joined(nodes: DataFrame, k: int, n: int) -> DataFrame:
+    """``nodes(node, sums)``, numbered below ``n``, to node and ``to``, the part of the whole for each of a node's parts.
+
+    ``FAN`` nodes are differenced by one task and leave one node of the next level, until a
+    level has ``FAN`` nodes at most; these alone come to the driver. Their parts are then handed
+    down level by level.
+    """
+    spark, levels = nodes.sparkSession, []
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node", ignore_index=True)
+        to, sums = turn([np.array(s, np.int64) for s in frame["sums"]], k)
+        return pd.DataFrame({"node": frame["node"], "parent": frame["parent"], "to": list(to), "sums": [sums] * len(frame)})
+
+    while n > FAN:
+        grouped = nodes.withColumn("parent", F.floor(F.col("node") / FAN)).groupBy("parent")
+        levels.append(stage(grouped.applyInPandas(one, "node long, parent long, to array<int>, sums array<long>"), "level"))
+        nodes = levels[-1].groupBy(F.col("parent").alias("node")).agg(F.first("sums").alias("sums"))
+        n = -(-n // FAN)
+    top = nodes.orderBy("node").collect()
+    to = turn([np.array(r.sums, np.int64) for r in top], k)[0] if top else []
+    out = spark.createDataFrame([(r.node, t.tolist()) for r, t in zip(top, to, strict=True)], "node long, to array<int>")
+    for level in reversed(levels):
+        above = out.select(F.col("node").alias("parent"), F.col("to").alias("_to"))
+        out = level.join(above, "parent").select("node", F.transform("to", lambda x: F.get("_to", x)).alias("to"))
+    return out
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = 40, row_bytes: int = 16) -> DataFrame:
     """Deal ``docs(doc_id, text)`` into shards of near-equal bytes, equal texts together.
 
     Groups of equal texts (null and empty texts are equal) are reduced to (hash,
     bytes) before any shuffle. Each task differences its groups and leaves one row of
-    ``shards`` sums; these rows, one for a million groups, are differenced once more
-    in the driver, which only turns the parts of a task around. A group cannot be
+    ``shards`` sums; these rows are differenced in a tree (:func:`joined`), of which only
+    the last level is done by the driver. A group cannot be
     split, so one that exceeds a shard's fair share makes its shard that large.
     ``slot`` numbers a shard's rows from 0: rows are counted by (input partition,
     shard), and only these counts are summed up in one place. Rows that repeat and
@@ -111,19 +150,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, row_bytes: int = 16) -> Da
         return pd.DataFrame({"_t": frame["_t"], "_g": frame["_g"], "part": parts.astype("int32"), "sum": sums[parts]})
 
     dealt = stage(groups.groupBy("_t").applyInPandas(local, "_t int, _g long, part int, sum long"), "parts")
-    sums = dealt.groupBy("_t", "part").agg(F.first("sum").alias("sum")).collect()  # tasks x shards
-    partials = {}
-    for r in sums:
-        partials.setdefault(r["_t"], np.zeros(shards, np.int64))[r["part"]] = r["sum"]
-    turned = []
-    if partials:
-        keys = sorted(partials)
-        to = places(difference([Partial(np.sort(partials[t]), leaf=i) for i, t in enumerate(keys)]), shards, len(keys))
-        for i, t in enumerate(keys):
-            order = np.argsort(partials[t], kind="stable")
-            turned += [(t, int(part), int(to[i][place])) for place, part in enumerate(order)]
-    turned = spark.createDataFrame(turned, "_t int, part int, shard int")
-    shard_of = stage(dealt.join(F.broadcast(turned), ["_t", "part"]).select("_g", "shard"), "shards")
+    sums = dealt.groupBy(F.col("_t").cast("long").alias("node"), "part").agg(F.first("sum").alias("sum"))
+    sums = sums.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("part", "sum"))).alias("m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    turned = joined(sums.select("node", every.alias("sums")), shards, tasks)
+    shard_of = dealt.join(turned, F.col("_t") == F.col("node")).select("_g", F.get("to", F.col("part")).alias("shard"))
+    shard_of = stage(shard_of, "shards")
     placed = stage(rows.join(shard_of, "_g").select("doc_id", "size", "text_crc32", "_p", "shard"), "placed")
     return number_slots(placed, ["doc_id", "size", "text_crc32"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
