@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, same_row, stage
 
 WINDOW = 10
-#: Windows that are broadcast, at most; a larger benchmark is joined by shuffle.
-BROADCAST = 1_000_000
+#: Hashes of windows that are broadcast, at most (8 bytes each); of a larger benchmark they are joined by shuffle.
+BROADCAST = 10_000_000
+#: Windows that are broadcast with their words and items, at most; of a larger benchmark they are joined by shuffle, for hits alone.
+TEXTS = 100_000
 #: Pairs of end words that prefilter windows inside the plan, at most.
 PAIRS = 50_000
 
@@ -60,8 +62,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     leaves the row, is compared word by word with the windows, and is gathered again
     by the row. A benchmark of more than ``PAIRS`` windows is too large for a test inside
     the row: the 64-bit hashes of a document's windows, without their words, are held
-    against a broadcast set of the benchmark's, of more than ``BROADCAST`` windows by a
-    join, and only hits go back to their rows for the comparison. Null texts have no words. An
+    against a broadcast set of the benchmark's hashes, of more than ``BROADCAST`` windows by a
+    join, and only hits go back to their rows for the comparison; the windows' words are
+    broadcast up to ``TEXTS`` of them. Null texts have no words. An
     empty benchmark hits nothing, empty tables give empty results, repeated rows are
     returned each. Returns doc_id, text_hash, n_words, n_hit, n_items, items, spans
     (half-open word ranges), contaminated.
@@ -85,8 +88,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         found = F.col("_p")
     seen = rows.select("_row", "doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.explode_outer(_with_text(found)).alias("_f")).select("_row", "doc_id", "text_hash", "n_words", "_f.*")
     known = windows.select(F.col("len").alias("l"), F.col("hash").alias("h"), F.col("window").alias("t"), "items")
-    known = F.broadcast(known) if total <= BROADCAST else known
-    joined = seen.join(known, (F.col("hash") == F.col("h")) & (F.col("len") == F.col("l")) & (F.col("window") == F.col("t")), "left")
+    same = (F.col("hash") == F.col("h")) & (F.col("len") == F.col("l")) & (F.col("window") == F.col("t"))
+    if total <= TEXTS:
+        joined = seen.join(F.broadcast(known), same, "left")
+    else:  # rows without a hit have no hash to be shuffled by
+        without = seen.where("hash is null")
+        joined = seen.where("hash is not null").join(known, same, "left").unionByName(without, allowMissingColumns=True)
     hit = F.col("items").isNotNull()
     gathered = joined.groupBy("_row", "doc_id", "text_hash", "n_words").agg(
         F.collect_set(F.when(hit, F.struct("at", "len"))).alias("ranges"), F.flatten(F.collect_set("items")).alias("items")
