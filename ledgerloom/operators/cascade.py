@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,16 +23,14 @@ def person_history_gate(matched: DataFrame, prior: DataFrame, th: Thresholds = T
     return out.select("id", F.lit("Transfers").alias("category"), "subcategory", confidence.alias("confidence"), F.lit("rule").alias("source"), F.col("name").alias("merchant"), F.coalesce(differs, F.lit(False)).alias("gated"))
 
 
-def first_of(txns: DataFrame, stages: list[tuple[str, DataFrame]]) -> DataFrame:
+def first_of(stages: list[tuple[str, DataFrame]]) -> DataFrame:
     """Labels of cheap stages side by side, of which the first counts: id, the label, stage.
 
-    Each has at most one label a transaction, so this is one row a transaction and no
-    stage is computed twice. Rows of no stage stay out.
+    Each has at most one label a transaction. They meet as rows of one union and in one
+    grouping, so only labels are shuffled, once, and no stage is computed twice.
     """
-    out = txns.select("id")
-    for name, labels in stages:
-        out = out.join(labels.select("id", F.struct(*LABEL[1:], F.lit(name).alias("stage")).alias(f"_{name}")), "id", "left")
-    return out.select("id", F.coalesce(*[f"_{name}" for name, _ in stages]).alias("_l")).where("_l is not null").select("id", "_l.*")
+    told = [labels.select("id", F.struct(F.lit(n).alias("_n"), *LABEL[1:], F.lit(name).alias("stage")).alias("_l")) for n, (name, labels) in enumerate(stages)]
+    return reduce(DataFrame.union, told).groupBy("id").agg(F.min_by("_l", "_l._n").alias("_l")).select("id", *[f"_l.{c}" for c in (*LABEL[1:], "stage")])
 
 
 def annotate_cascade(txns: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:

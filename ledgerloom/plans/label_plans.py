@@ -346,7 +346,7 @@ def cascade_labels(t: Ledger, causal: bool = False):
         person = C.person_history_gate(R.match_people(left, t.people), prior)
         keyword = R.match_keyword_rules(left).where("label is not null").select("id", "label.category", "label.subcategory", "label.confidence", "label.source")
         learned = R.learned_rule_asof(t.rows).select("id", "category", none, F.lit(TH.learned_confidence).alias("confidence"), F.lit("learned_rule").alias("source"))
-        return C.first_of(left, [("person", person), ("keyword", keyword), ("learned", learned)])
+        return C.first_of([("person", person), ("keyword", keyword), ("learned", learned)])
 
     def retrieved(left):
         return _direct(*_gated(t, _near(t, causal, left))).withColumnRenamed("query_id", "id")

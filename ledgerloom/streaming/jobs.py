@@ -42,7 +42,7 @@ def stream_annotate(stream: DataFrame, out: str, checkpoint: str, people: DataFr
             person = label(match_people(batch, people), F.lit("Transfers"), F.col("subcategory"), F.lit(RULE_CONFIDENCE), "rule")
             keyword = label(match_keyword_rules(batch, *tables).where("label is not null"), F.col("label.category"), F.col("label.subcategory"), F.col("label.confidence"), "rule")
             rules = batch.select("id", "ledger_id", "counterparty_key").join(known, ["ledger_id", "counterparty_key"])
-            found = first_of(batch, [("person", person), ("keyword", keyword), ("learned", label(rules, F.col("category"), none, F.lit(Thresholds().learned_confidence), "learned_rule"))])
+            found = first_of([("person", person), ("keyword", keyword), ("learned", label(rules, F.col("category"), none, F.lit(Thresholds().learned_confidence), "learned_rule"))])
             found.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that runs again replaces itself
         finally:
             batch.unpersist()
