@@ -198,13 +198,14 @@ def render_prompts(rows: DataFrame, categories: list[str]) -> DataFrame:
     """A prompt for each row, for batch inference: id, prompt, with_examples.
 
     Rows may have ``examples`` (an array) with ``majority`` and ``majority_count``, as
-    ``fewshot_examples`` gives them; those that have none are asked without. A note that says
-    more than the description is told, and a null field is left out.
+    ``fewshot_examples`` gives them; those that have none are asked without. A note is told, and
+    null fields are left out.
     """
-    shown = F.transform("examples", lambda e: F.concat(F.lit("- "), F.concat_ws(" | ", e["raw_description"], F.concat_ws(" > ", e["category"], e["subcategory"]), e["source"])))
+    fields = rows.schema["examples"].dataType.elementType.names
+    label = lambda e: F.concat_ws(" > ", e["category"], e["subcategory"]) if "subcategory" in fields else e["category"]
+    shown = F.array_join(F.transform("examples", lambda e: F.concat_ws(" | ", e["raw_description"], label(e), e["source"])), "\n")
     some = F.coalesce(F.size("examples") > 0, F.lit(False))
-    hint = F.concat(F.lit("Most similar rows are labelled "), "majority", F.lit(" ("), F.col("majority_count").cast("string"), F.lit(" of "), F.size("examples").cast("string"), F.lit(")."))
-    note = F.when(F.length(F.trim("note")) > 0, F.concat(F.lit("Note: "), F.trim("note")))
-    row = F.concat(F.lit("Row: "), F.concat_ws(" ", "debit_credit", F.col("amount").cast("string"), "raw_description"))
-    parts = [F.lit("Choose one of: " + ", ".join(categories)), row, note, F.when(some, F.lit("Similar rows:")), F.when(some, F.array_join(shown, "\n")), F.when(some, hint)]
-    return rows.select("id", F.concat_ws("\n", *parts).alias("prompt"), some.alias("with_examples"))
+    hint = F.concat(F.lit("Most similar rows are labelled "), "majority", F.lit(" ("), F.col("majority_count").cast("string"), F.lit(")"))
+    note = F.when(F.length(F.trim("note")) > 0, F.concat(F.lit("note: "), F.trim("note"))) if "note" in rows.columns else F.lit(None).cast("string")
+    row = F.concat_ws(" ", "debit_credit", F.col("amount").cast("string"), "raw_description")
+    return rows.select("id", F.concat_ws("\n", F.lit("Choose one of: " + ", ".join(categories)), row, note, F.when(some, shown), hint).alias("prompt"), some.alias("with_examples"))

@@ -397,13 +397,13 @@ def reasoning_trace(spark, sf_dir):
 
 _SHOTS = {
     **_KNN,
-    "fs": """SELECT d.query_id, string_agg('- ' || concat_ws(' | ', raw_description, concat_ws(' > ', d.category, subcategory), source), chr(10) ORDER BY CASE source WHEN 'manual' THEN 0 WHEN 'rule' THEN 1 WHEN 'imported' THEN 2 ELSE 9 END, -similarity, transaction_id) AS shown, count(*) AS n, any_value(m.category) AS majority, any_value(m.n) AS majority_count
+    "fs": """SELECT d.query_id, string_agg(concat_ws(' | ', raw_description, concat_ws(' > ', d.category, subcategory), source), chr(10) ORDER BY CASE source WHEN 'manual' THEN 0 WHEN 'rule' THEN 1 WHEN 'imported' THEN 2 ELSE 9 END, -similarity, transaction_id) AS shown, count(*) AS n, any_value(m.category) AS majority, any_value(m.n) AS majority_count
 FROM dl d LEFT JOIN (SELECT * FROM (SELECT query_id, category, count(*) AS n FROM dl WHERE category IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, category) = 1) m ON m.query_id = d.query_id GROUP BY d.query_id""",
 }
 
 
-@query(duck(f"""SELECT t.id, concat_ws(chr(10), 'Choose one of: {", ".join(CATEGORIES)}', 'Row: ' || debit_credit || ' ' || amount || ' ' || raw_description, CASE WHEN length(trim(note)) > 0 THEN 'Note: ' || trim(note) END,
-CASE WHEN shown IS NOT NULL THEN 'Similar rows:' END, shown, 'Most similar rows are labelled ' || majority || ' (' || majority_count || ' of ' || n || ').') AS prompt, shown IS NOT NULL AS with_examples FROM transactions t LEFT JOIN fs ON fs.query_id = t.id""", **_SHOTS))
+@query(duck(f"""SELECT t.id, concat_ws(chr(10), 'Choose one of: {", ".join(CATEGORIES)}', concat_ws(' ', debit_credit, amount, raw_description), CASE WHEN length(trim(note)) > 0 THEN 'note: ' || trim(note) END,
+shown, 'Most similar rows are labelled ' || majority || ' (' || majority_count || ')') AS prompt, shown IS NOT NULL AS with_examples FROM transactions t LEFT JOIN fs ON fs.query_id = t.id""", **_SHOTS))
 def render_prompts(spark, sf_dir):
     t, near = _knn(spark, sf_dir)
     shots = V.fewshot_examples(V.attach_donor_labels(V.novelty_gate(near, LOW), t.rows)).withColumnRenamed("query_id", "id").drop("ledger_id")
