@@ -40,8 +40,10 @@ def map_header(cells: Column, roles: list[tuple[str, tuple[str, ...]]] = ROLES)
     """
     start = F.struct(*[F.lit(None).cast("int").alias(r) for r, _ in ROLES], F.lit(0).alias("width"))
 
-    def claim(acc: Column, raw: Column) -> Column:
-        text = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(raw, F.lit(""))), "\n", " "), "[^a-z/ ]", ""))
+    # cleaned once, for every role asks for the text again
+    cleaned = F.transform(cells, lambda raw: F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(raw, F.lit(""))), "\n", " "), "[^a-z/ ]", "")))
+
+    def claim(acc: Column, text: Column) -> Column:
         role = None
         for name, words in roles:
             holds = text.rlike("|".join(map(_plain, words)))
@@ -51,7 +53,7 @@ def map_header(cells: Column, roles: list[tuple[str, tuple[str, ...]]] = ROLES)
             role = F.when(test, name) if role is None else role.when(test, name)
         return F.struct(*[F.when(role.eqNullSafe(F.lit(n)), acc["width"]).otherwise(acc[n]).alias(n) for n, _ in ROLES], (acc["width"] + 1).alias("width"))
 
-    found = F.aggregate(cells, start, claim)
+    found = F.aggregate(cleaned, start, claim)
     usable = found["date"].isNotNull() & found["description"].isNotNull() & (found["debit"].isNotNull() | found["credit"].isNotNull() | found["amount"].isNotNull())
     words = dict(roles)
     if not {"date", "description"} <= set(words):
