@@ -161,7 +161,8 @@ def links(rows: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similarity:
 
     ends = stars.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct()
     wanted = points.select("node", "source").join(ends, "node", "left_semi")
-    wanted = wanted.select("node", "source.*").withColumnRenamed("doc_id", "_id")
+    # stored, so that Spark knows its size and moves it, not the texts, while it is small
+    wanted = stage(wanted.select("node", "source.*").withColumnRenamed("doc_id", "_id"), "wanted")
     # one row for each text, whichever: equal hashes are equal texts, and the id keeps copies of a text out
     texts = docs.select(F.col("doc_id").alias("_of"), F.xxhash64("text").alias("text_hash"), "text")
     texts = texts.join(wanted, (texts["text_hash"] == wanted["text_hash"]) & texts["_of"].eqNullSafe(wanted["_id"])).drop(texts["text_hash"])
@@ -177,6 +178,17 @@ def links(rows: DataFrame, docs: DataFrame, shingle: int = SHINGLE, similarity:
     return edges.union(verified(rest, sets, similarity))
 
 
+def rooted(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Each row's doc_id, text_hash and root, the smallest node of its component of near copies."""
+    rows = stage(sketches(docs, shingle), "sketches")
+    roots = connected_components(links(rows, docs, shingle, similarity))
+    return rows.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+
+
+def _first():
+    return F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("_f")
+
+
 def representatives(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One doc_id and text_hash for each component of near copies.
 
@@ -187,8 +199,18 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     last, and of rows that share it the smallest hash of the text; components of null
     ids alone have one each. An empty table gives none.
     """
-    rows = stage(sketches(docs, shingle), "sketches")
-    roots = connected_components(links(rows, docs, shingle, similarity))
-    grouped = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("_f")
-    return grouped.groupBy("root").agg(first).select("_f.doc_id", "_f.text_hash")
+    return rooted(docs, shingle, similarity).groupBy("root").agg(_first()).select("_f.doc_id", "_f.text_hash")
+
+
+def surplus(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """What :func:`representatives` leaves out: doc_id, text_hash and keep.
+
+    One row for each doc_id and text that is no representative (keep is false) or is one
+    and stands in several rows, of which one is to be kept (keep is true). All other
+    rows stay as they are, so this grows with the copies, not with the corpus.
+    """
+    rows = rooted(docs, shingle, similarity)
+    several = stage(rows.groupBy("root").agg(_first(), F.count("*").alias("_n")).where("_n > 1").select("root", "_f"), "several")
+    keep = F.col("doc_id").eqNullSafe(F.col("_f.doc_id")) & (F.col("text_hash") == F.col("_f.text_hash"))
+    told = rows.join(several, "root").groupBy("doc_id", "text_hash").agg(F.max(keep).alias("keep"), F.count("*").alias("_n"))
+    return stage(told.where("not keep or _n > 1").select("doc_id", "text_hash", "keep"), "surplus")
