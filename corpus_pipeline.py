@@ -26,8 +26,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows with its doc_id and text the first by all other columns stays, in the order of their names.
     """
-    # the few rows to be looked at are joined, not the many that stay, so texts are moved only where copies are many
-    surplus = near_copies.surplus(docs)
+    # texts are moved once, by a merge join whatever the size, and only rows that stand there repeatedly are grouped
+    surplus = near_copies.surplus(docs).hint("merge")
     repeated = surplus.where("keep")
     once = docs.join(surplus, common.same_row(docs, surplus), "left_anti")
     return once.union(common.first_rows(docs.join(repeated, common.same_row(docs, repeated), "left_semi"), ["doc_id", "text"]))
