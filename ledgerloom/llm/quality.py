@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,6 @@ BUCKETS = 1 << 16
 #: Buckets of a histogram that are summed together; a histogram has 32 such slices.
 SLICE = 1 << 11
 MIX, PRIME = 1_000_003, 4_294_967_291
-#: Labelled documents that the trusted multinomial and the threshold are fitted on, at most.
-LABELLED = 20_000
 CHUNK = 1 << 21
 #: Words whose hashes a worker remembers in a generation.
 REMEMBERED = 100_000
@@ -82,16 +81,74 @@ def _blocks(found: list[bytes]) -> Iterator[list[bytes]]:
         yield block
 
 
-def labelled_sample(labels: DataFrame, limit: int = LABELLED, toxic: bool = False) -> DataFrame:
-    """At most ``limit`` labelled documents, those of the smallest hashes: doc_id, good.
+def labelled(labels: DataFrame, toxic: bool = False) -> DataFrame:
+    """All labelled documents: doc_id, good.
 
     Good are documents that no label calls low in quality or toxic; bad are those that
     some label calls low in quality. Others, and null ids, are left out; with ``toxic``
     those that are toxic and not low in quality are good too.
     """
     one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    one = one.where("q in (0, 1)" if toxic else "q = 0 or (q = 1 and t = 0)").select("doc_id", (F.col("q") == 1).alias("good"))
-    return one.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(limit)
+    one = one.where("q in (0, 1)" if toxic else "q = 0 or (q = 1 and t = 0)")
+    return one.select("doc_id", (F.col("q") == 1).alias("good"))
+
+
+#: The name from when it was a sample.
+labelled_sample = labelled
+
+
+class Span(NamedTuple):
+    """Neighbouring scores: the ends, how many documents they have, and the best cut between two of them.
+
+    The cut has ``lost`` good and ``dropped`` bad documents of the span below it, and lies
+    between the scores ``below`` and ``above``; a span of one score has none.
+    """
+
+    low: float
+    high: float
+    good: int
+    bad: int
+    lost: int | None = None
+    dropped: int | None = None
+    below: float | None = None
+    above: float | None = None
+
+
+def _rank(lost: int, dropped: int, below: float, above: float, n_good: int, n_bad: int) -> tuple[int, float, float]:
+    """Orders cuts, the best first; exact, for shares are compared as whole numbers."""
+    return lost * n_bad + (n_bad - dropped) * n_good, below - above, (below + above) / 2
+
+
+def span(scores: Iterable[tuple[float, int, int]], n_good: int, n_bad: int) -> Span | None:
+    """The span of rising ``scores`` (score, good, bad), read once.
+
+    Documents of lower spans add the same to the errors of all its cuts, so the best is known without them.
+    """
+    low = high = best = None
+    good = bad = 0
+    for score, more_good, more_bad in scores:
+        if high is None:
+            low = score
+        else:
+            rank = _rank(good, bad, high, score, n_good, n_bad)
+            if best is None or rank < best[0]:
+                best = rank, (good, bad, high, score)
+        good, bad, high = good + more_good, bad + more_bad, score
+    return None if high is None else Span(low, high, good, bad, *(best[1] if best else ()))
+
+
+def least_of_spans(spans: list[Span], n_good: int, n_bad: int) -> float:
+    """The best cut inside or between ``spans``, which together hold each score once and do not overlap."""
+    if not n_good or not n_bad:
+        return float("-inf")
+    best, lost, dropped, high = (n_good * n_bad, 0.0, float("-inf")), 0, 0, None
+    for s in sorted(spans):
+        if high is not None:
+            best = min(best, _rank(lost, dropped, high, s.low, n_good, n_bad))
+        if s.below is not None:
+            best = min(best, _rank(lost + s.lost, dropped + s.dropped, s.below, s.above, n_good, n_bad))
+        lost, dropped, high = lost + s.good, dropped + s.bad, s.high
+    return best[2]
 
 
 def least_errors(scores: list[tuple[float, int, int]]) -> float:
@@ -101,49 +158,62 @@ def least_errors(scores: list[tuple[float, int, int]]) -> float:
     at or above it. It lies midway between two scores; of equal cuts the widest gap
     wins, then the lowest. Keeping all is a cut too, and the only one without either kind.
     """
-    if not sum(g for _, g, _ in scores) or not sum(b for _, _, b in scores):
-        return float("-inf")
-    at, good, bad = np.array(sorted(scores), np.float64).T
-    # exact: shares are compared as whole numbers
-    lost, passed = np.cumsum(good)[:-1].astype(int).tolist(), (bad.sum() - np.cumsum(bad))[:-1].astype(int).tolist()
-    n_good, n_bad = int(good.sum()), int(bad.sum())
-    cuts = [(n_good * n_bad, 0.0, float("-inf"))]
-    cuts += [(x * n_bad + y * n_good, float(a - b), float((a + b) / 2)) for x, y, a, b in zip(lost, passed, at[:-1], at[1:], strict=True)]
-    return min(cuts)[2]
+    n_good, n_bad = sum(g for _, g, _ in scores), sum(b for _, _, b in scores)
+    return least_of_spans([s for s in [span(sorted(scores), n_good, n_bad)] if s], n_good, n_bad)
+
+
+def threshold(judged: DataFrame) -> float:
+    """:func:`least_errors` of all ``judged(score, good)``, over scores of nine digits.
+
+    The scores are sorted by range over the tasks, and each task sends its :class:`Span`.
+    """
+    counted = judged.groupBy(F.round("score", 9).alias("score")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    counted = stage(counted, "counted")
+    n_good, n_bad = counted.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in ("score", "good", "bad")], strict=True))
+        if found := span(rows, n_good, n_bad):
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64() if k in (0, 1, 6, 7) else pa.int64()) for k, x in enumerate(found)], names=list(Span._fields))
+
+    schema = "low double, high double, good long, bad long, lost long, dropped long, below double, above double"
+    spans = map_batches(counted.repartitionByRange("score").sortWithinPartitions("score"), run, schema)
+    return least_of_spans([Span(*r) for r in spans.collect()], n_good, n_bad)  # a row for each task
 
 
-def quality(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, min_words: int = 50, max_repeated: int = 50) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, min_words: int = 50, max_repeated: int = 50) -> DataFrame:
     """Base rules and the log-likelihood ratio of every document.
 
     Words and pairs of words are hashed into ``BUCKETS``. The raw multinomial counts
-    all documents, the trusted one the good documents of :func:`labelled_sample`; both
+    all documents, the trusted one all good documents of :func:`labelled`; both
     are smoothed by one. A document's score is the mean over its words and pairs of
-    ln(trusted / raw). The threshold is fitted on the documents of the sample that pass
+    ln(trusted / raw). The threshold is fitted on all labelled documents that pass
     the base rules by :func:`least_errors` over scores of nine digits, where toxic
     documents of good quality count as good; without either kind there is none, and
-    only the base rules decide. Two reads of the texts; per partition one histogram of
-    fixed size leaves each task. Null texts have no words. Repeated rows are
-    scored alike, a row each; an empty table gives an empty result; other columns are
-    ignored. Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
+    only the base rules decide. Two reads of the texts, the first of which moves them to
+    their labels; per partition one histogram of fixed size leaves each task. Null texts
+    have no words. Repeated rows are scored alike, a row each; an empty table gives an
+    empty result; other columns are ignored. Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, score, text_hash, kept.
     """
     spark = docs.sparkSession
-    sample = [(r.doc_id, r.good) for r in labelled_sample(labels, limit).collect()]
-    good = spark.sparkContext.broadcast(frozenset(d for d, g in sample if g))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    # labels grow with the documents, so they are never broadcast; they are the side that is hashed
+    good = labelled(labels).where("good").hint("shuffle_hash")
+    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.col("good").isNotNull().alias("trusted"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), np.int64)
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text")), strict=True):
+            for trusted, text in zip(batch.column("trusted").to_pylist(), utf8(batch.column("text")), strict=True):
                 if words := text.split():
-                    own = np.bincount(features(words), minlength=BUCKETS) if len(words) > BUCKETS // 8 else None
-                    for k in (0, 1) if doc_id in good.value else (0,):
-                        if own is None:
-                            np.add.at(sums[k], features(words), 1)
-                        else:
-                            sums[k] += own
+                    at, own = features(words), sums[int(trusted)]
+                    if len(words) > BUCKETS // 8:
+                        own += np.bincount(at, minlength=BUCKETS)
+                    else:
+                        np.add.at(own, at, 1)
         if sums.any():
+            sums[0] += sums[1]
             cut = [(k, part, sums[k, part * SLICE : (part + 1) * SLICE].tobytes()) for k in (0, 1) for part in range(BUCKETS // SLICE)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*cut, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["trusted", "slice", "counts"])
 
@@ -153,7 +223,7 @@ def quality(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, min_words
 
     # slices of histograms are added 64 at a time, so that no task holds those of all partitions
     schema = "trusted int, slice int, counts binary, _k int"
-    step = map_batches(texts, count, "trusted int, slice int, counts binary").withColumn("_k", F.spark_partition_id())
+    step = map_batches(marked, count, "trusted int, slice int, counts binary").withColumn("_k", F.spark_partition_id())
     for _ in range(3):
         step = step.withColumn("_k", F.floor(F.col("_k") / 64).cast("int")).groupBy("trusted", "slice", "_k").applyInPandas(add, schema)
     step = step.groupBy("trusted", "slice").applyInPandas(add, schema).orderBy("slice").collect()  # two histograms
@@ -182,9 +252,5 @@ def quality(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, min_words
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, text_hash long"
     scored = stage(map_batches(texts, score, schema), "scores")
-    sample = [(r.doc_id, r.good) for r in labelled_sample(labels, limit, toxic=True).collect()]
-    known = F.broadcast(spark.createDataFrame(sample, "doc_id long, good boolean"))
-    judged = scored.where("not base_failed").join(known, "doc_id")
-    by_score = judged.groupBy(F.round("score", 9).alias("score")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    threshold = least_errors([tuple(r) for r in by_score.collect()])  # as many rows as the sample has texts
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
+    cut = threshold(scored.where("not base_failed").join(labelled(labels, toxic=True), "doc_id"))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(cut)))
